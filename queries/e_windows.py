@@ -112,7 +112,7 @@ def _e07(spark, sf):
 @query(
     "e08_run_id",
     f"""WITH a AS (SELECT *, CASE WHEN genet <> lag(genet) OVER {WIN} THEN 1 ELSE 0 END AS ch FROM {TELEMETRY})
-    SELECT event_id, 1 + sum(ch) OVER {WIN} AS run FROM a""",
+    SELECT event_id, CAST(1 + sum(ch) OVER {WIN} AS BIGINT) AS run FROM a""",
 )
 def _e08(spark, sf):
     return win.run_id(telemetry(spark, sf), "tank", ORDER, "genet", "run").select("event_id", "run")
@@ -235,8 +235,8 @@ def _e16b(spark, sf):
 
 @query(
     "e17_shift_to_baseline",
-    f"""WITH base AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS seas FROM orders GROUP BY 1),
-      s AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS day, l_extendedprice AS temp FROM lineitem),
+    f"""WITH base AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(sqrt(o_totalprice)) AS seas FROM orders GROUP BY 1),
+      s AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS day, sqrt(l_extendedprice) AS temp FROM lineitem),
       d AS (SELECT day, avg(temp) AS m, stddev_samp(temp) AS sd FROM s GROUP BY 1)
     SELECT l_orderkey, l_linenumber, l_partkey, temp, round(m, 3) AS mean_daily, round(sd, 3) AS sd_daily,
       round(temp - (m - seas), 3) + 0.0 AS adjusted, round(temp - (m - seas - 4), 3) + 0.0 AS thresh,
@@ -246,14 +246,14 @@ def _e17(spark, sf):
     base = (
         table(spark, sf, "orders")
         .groupBy(F.to_date("o_orderdate").alias("day"))
-        .agg(F.avg("o_totalprice").alias("seas"))
+        .agg(F.avg(F.sqrt("o_totalprice")).alias("seas"))
     )
     sub = table(spark, sf, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
         F.to_date("l_shipdate").alias("day"),
-        F.col("l_extendedprice").alias("temp"),
+        F.sqrt("l_extendedprice").alias("temp"),
     )
     out = win.shift_to_baseline(sub, base, "day", "temp", "seas", {"adjusted": 0, "thresh": 4, "extreme": 8})
     cols = ["mean_daily", "sd_daily", "adjusted", "thresh", "extreme"]

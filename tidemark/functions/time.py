@@ -34,7 +34,13 @@ SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 00:00 of the wall-clock reading."""
-    return F.bround(elapsed_seconds(ts, F.lit("1970-01-01 00:00:00")) * 1e6, 0).cast("long")
+    gap = ts.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+    def part(name: str, size: int) -> Column:
+        return F.extract(F.lit(name), gap).cast("long") * F.lit(size).cast("long")
+
+    whole = part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000)
+    return whole + (F.extract(F.lit("SECOND"), gap) * 1_000_000).cast("long")
 
 
 def parse_time(c: Column, layout: str) -> Column:
