@@ -21,11 +21,11 @@ def _set(spark, sf):
     "e19_pid_replay",
     f"""SELECT event_id, round(0.5 * e + 0.01 * coalesce(sum(e) OVER {BEFORE}, 0) + 0.00625 * CASE
       WHEN row_number() OVER {WIN} = 1 THEN 0 WHEN row_number() OVER {WIN} = 2 THEN lag(e) OVER {WIN} - 15
-      ELSE lag(e) OVER {WIN} - lag(temperature, 2) OVER {WIN} END, 5) + 0.0 AS pid FROM {E_SQL}""",
+      ELSE lag(e) OVER {WIN} - lag(temperature, 2) OVER {WIN} END, 7) + 0.0 AS pid FROM {E_SQL}""",
 )
 def _e19(spark, sf):
     out = ctl.pid_replay(_set(spark, sf), "tank", ORDER, "temp_set", "temperature", 0.5, 0.01, 0.00625)
-    return rounded(out.select("event_id", "pid"), 5, "pid")
+    return rounded(out.select("event_id", "pid"), 7, "pid")
 
 
 @query(

@@ -138,8 +138,9 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
 def running(df: DataFrame, by, order, specs: dict[str, tuple], chunk=None, descending: bool = False) -> DataFrame:
     """Add prefix aggregates ``{name: (kind, column[, "before"])}`` per series.
 
-    Kinds: sum, count, max, min, last (non-null), first (non-null). With ``"before"`` the current row
-    is left out. With ``descending`` the prefix runs from the largest order value down.
+    Kinds: sum, count, max, min, last (non-null), first (non-null), and total (the sum over the whole
+    series, from the chunk totals). With ``"before"`` the current row is left out. With ``descending`` the
+    prefix runs from the largest order value down.
     """
     by, order = as_list(by), as_list(order)
     keep = df.columns
@@ -148,10 +149,16 @@ def running(df: DataFrame, by, order, specs: dict[str, tuple], chunk=None, desce
     ends = {"last": "first", "first": "last"} if descending else {}
     partials, carries, merged = [], [], []
     chunks = Window.partitionBy(*by).orderBy(*_sorted([CHUNK], descending)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
     inside = Window.partitionBy(SERIES).orderBy(*_sorted(order, descending))
     for i, (name, spec) in enumerate(specs.items()):
         kind, col = spec[0], spec[1]
         col = F.col(col) if isinstance(col, str) else col
+        if kind == "total":
+            partials.append(F.sum(col).alias(f"__p{i}"))
+            carries.append(F.sum(f"__p{i}").over(whole).alias(f"__c{i}"))
+            merged.append(F.col(f"__c{i}").alias(name))
+            continue
         frame = inside.rowsBetween(Window.unboundedPreceding, -1 if "before" in spec[2:] else 0)
         partials.append(_PARTIAL[ends.get(kind, kind)](col, direction).alias(f"__p{i}"))
         carries.append(_CARRY[kind](F.col(f"__p{i}")).over(chunks).alias(f"__c{i}"))
