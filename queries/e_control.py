@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from queries.registry import TELEMETRY, query, rounded, telemetry
 from tidemark.operators import control as ctl
+from tidemark.session import cut_lineage
 
 ORDER = ["timestamp", "event_id"]
 WIN = "(PARTITION BY tank ORDER BY timestamp, event_id)"
@@ -77,7 +78,7 @@ def _e20b(spark, sf):
       FROM u GROUP BY tank""",
 )
 def _e21(spark, sf):
-    return rounded(ctl.duty_cycle(_states(spark, sf), "tank", ORDER, "on"), 6, "share_on", "mean_run_on")
+    return rounded(ctl.duty_cycle(cut_lineage(_states(spark, sf)), "tank", ORDER, "on"), 6, "share_on", "mean_run_on")
 
 
 @query(

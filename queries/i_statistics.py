@@ -315,8 +315,8 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
         ON x.level_a = y.level_a AND x.level_b = y.level_b AND x.id < y.id),
       sz AS (SELECT level_a, level_b, count(*) AS n, count(*) FILTER (g = level_a) AS na, count(*) FILTER (g = level_b) AS nb
         FROM r GROUP BY ALL),
-      q AS (SELECT level_a, level_b, n, sum(d2) / n AS sst, sum(CASE WHEN same THEN d2 / CASE WHEN g = level_a THEN na ELSE nb END END)
-        AS ssw FROM d JOIN sz USING (level_a, level_b) GROUP BY ALL)
+      q AS (SELECT level_a, level_b, n, sum(d2) / max(n) AS sst, sum(CASE WHEN same THEN d2 / CASE WHEN g = level_a THEN na ELSE nb END END)
+        AS ssw FROM d JOIN sz USING (level_a, level_b) GROUP BY level_a, level_b, n)
     SELECT level_a, level_b, n, 2 AS groups, round(sst, 5) AS ss_total, round(ssw, 5) AS ss_within,
       round((sst - ssw) / (ssw / (n - 2)), 5) AS f, round(1 - ssw / sst, 7) AS r2 FROM q""",
 )

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.special import t_quantile_expr
-from tidemark.operators.ordered import as_list, chunk_of, running, value_chunk, with_group_stats
+from tidemark.operators.ordered import as_list, chunk_of, running, value_chunk
+from tidemark.session import cut_lineage
 
 _STATS = {
     "mean": F.avg,
@@ -90,9 +90,9 @@ def quantiles(df: DataFrame, by, c: str, ps: Sequence[float], kind: int = 7, pre
     from running counts over value buckets, so no group is held by one task.
     """
     by = as_list(by)
-    counts = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("__m"))
-    counts = value_chunk(with_group_stats(counts, by, {"__n": F.sum("__m")}), by, c)
-    ranked = running(counts, by, [c], {"__to": ("sum", "__m")}, F.col("__bucket"))
+    counts = cut_lineage(df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("__m")))
+    ranks = {"__to": ("sum", "__m"), "__n": ("total", "__m")}
+    ranked = running(value_chunk(counts, by, c), by, [c], ranks, F.col("__bucket"))
     after = F.col("__to") - F.col("__m")
 
     def at(rank: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.operators.group_tests import anova_oneway, level_pairs
 from tidemark.operators.ordered import as_list, running, value_chunk, with_group_stats
 from tidemark.operators.windows import p_adjust
+from tidemark.session import cut_lineage
 
 # Blocks of at most 2**SMALL_LEVEL rows are kept in one chunk.
 SMALL_LEVEL = 12
@@ -40,14 +41,15 @@ def cross_sums(df: DataFrame, by, row_id: str, x: str, y: str) -> DataFrame:
     """Parts of the sum over the other rows of the group of ``|dx| |dy|``: several rows per row id, to be added up."""
     by = as_list(by)
     base = df.select(*by, row_id, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    ranked = _rank(base, by, row_id, "__x", "__r")
-    sized = with_group_stats(value_chunk(ranked, by, "__y"), by, {"__n": F.count(F.lit(1))})
+    ranks = {"__r": ("count", F.lit(1)), "__n": ("total", F.lit(1))}
+    chunked = value_chunk(base, by, ["__x", "__y"])
+    sized = cut_lineage(running(chunked, by, ["__x", row_id], ranks, F.col("__bucket___x")).drop("__bucket___x"))
     top = F.greatest(F.ceil(F.log2(F.col("__n").cast("double"))) - 1, F.lit(0)).cast("int")
     split = sized.withColumn("__level", F.explode(F.sequence(F.lit(0), top)))
     step = F.pow(F.lit(2.0), F.col("__level")).cast("long")
     half = F.floor((F.col("__r") - 1) / step)
     split = split.withColumn("__half", half % 2).withColumn("__block", F.floor(half / 2))
-    chunk = F.when(F.col("__level") < SMALL_LEVEL, F.lit(0)).otherwise(F.col("__bucket"))
+    chunk = F.when(F.col("__level") < SMALL_LEVEL, F.lit(0)).otherwise(F.col("__bucket___y"))
     parts = {"n": F.lit(1.0), "x": F.col("__x"), "y": F.col("__y"), "xy": F.col("__x") * F.col("__y")}
     specs = {}
     for side in (0, 1):
@@ -86,8 +88,12 @@ def sum_sq(df: DataFrame, by, row_id: str, cols: Sequence[str]) -> DataFrame:
 def gower_row_stats(df: DataFrame, by, row_id: str, cols: Sequence[str]) -> DataFrame:
     """Per row: size of its group, mean and mean-square Gower distance to all rows of the group (itself included)."""
     by = as_list(by)
-    scaled = scale_by_range(df.select(*by, row_id, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
-    return _row_stats(scaled, by, row_id, cols)
+    return _row_stats(_scaled(df, [*by, row_id], cols), by, row_id, cols)
+
+
+def _scaled(df: DataFrame, keep: list[str], cols: Sequence[str]) -> DataFrame:
+    """The numeric columns over their ranges, written once for the passes that follow."""
+    return cut_lineage(scale_by_range(df.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols]), cols))
 
 
 def _row_stats(scaled: DataFrame, by: list[str], row_id: str, cols: Sequence[str]) -> DataFrame:
@@ -96,7 +102,7 @@ def _row_stats(scaled: DataFrame, by: list[str], row_id: str, cols: Sequence[str
         x = F.col(c)
         sums = {f"__s{i}": ("sum", x), f"__t{i}": ("total", x), f"__q{i}": ("total", x * x)}
         sums["__n"] = ("total", F.lit(1))
-        wide = _rank(wide.drop("__n"), by, row_id, c, f"__r{i}", sums)
+        wide = cut_lineage(_rank(wide.drop("__n"), by, row_id, c, f"__r{i}", sums))
         dist = dist + x * (2 * F.col(f"__r{i}") - n) - 2 * F.col(f"__s{i}") + F.col(f"__t{i}")
         square = square + n * x * x - 2 * x * F.col(f"__t{i}") + F.col(f"__q{i}")
     p = float(len(cols))
@@ -123,7 +129,7 @@ def shuffled_labels(df: DataFrame, by, row_id: str, label: str, perms: int, seed
 
 def permanova(df: DataFrame, row_id: str, label: str, cols: Sequence[str], perms: int = 0, seed: int = 0, by=None):
     """One-way PERMANOVA: sums of squares, pseudo-F, R squared and the permutation p-value."""
-    scaled = scale_by_range(df.select(*as_list(by), row_id, label, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    scaled = _scaled(df, [*as_list(by), row_id, label], cols)
     return _permanova(scaled, row_id, label, cols, perms, seed, as_list(by))
 
 
@@ -131,7 +137,9 @@ def _permanova(scaled: DataFrame, row_id: str, label: str, cols, perms: int, see
     total = sum_sq(scaled, by, row_id, cols).select(
         *by, F.col("n").alias("n"), F.try_divide("sumsq", "n").alias("ss_total")
     )
-    rows = shuffled_labels(scaled, by, row_id, label, perms, seed) if perms else scaled.withColumn("perm", F.lit(0))
+    rows = scaled.withColumn("perm", F.lit(0))
+    if perms:
+        rows = cut_lineage(shuffled_labels(scaled, by, row_id, label, perms, seed))
     within = sum_sq(rows, [*by, "perm", label], row_id, cols).groupBy(*by, "perm").agg(
         F.count(F.lit(1)).alias("groups"), F.sum(F.col("sumsq") / F.col("n")).alias("ss_within")
     )
@@ -152,9 +160,10 @@ def pairwise_permanova(
     df: DataFrame, row_id: str, label: str, levels, cols: Sequence[str], perms: int, seed: int = 0, method: str = "bonferroni"
 ) -> DataFrame:
     """PERMANOVA of each pair of listed levels (ranges of the whole table) with adjusted p-values."""
-    scaled = scale_by_range(df.select(row_id, label, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    scaled = _scaled(df, [row_id, label], cols)
     pairs = level_pairs(scaled, label, levels)
-    return p_adjust(_permanova(pairs, row_id, label, cols, perms, seed, ["level_a", "level_b"]), "p", method, "p_adj")
+    table = cut_lineage(_permanova(pairs, row_id, label, cols, perms, seed, ["level_a", "level_b"]))
+    return p_adjust(table, "p", method, "p_adj")
 
 
 def dispersion_distances(df: DataFrame, row_id: str, label: str, cols: Sequence[str]) -> DataFrame:
@@ -162,9 +171,9 @@ def dispersion_distances(df: DataFrame, row_id: str, label: str, cols: Sequence[
 
     The centroid is the mean, not the spatial median.
     """
-    scaled = scale_by_range(df.select(row_id, label, *[F.col(c).cast("double").alias(c) for c in cols]), cols)
+    scaled = _scaled(df, [row_id, label], cols)
     rows = _row_stats(scaled, [label], row_id, cols)
-    centred = with_group_stats(rows, label, {"__m": F.avg("mean_d2")})
+    centred = with_group_stats(cut_lineage(rows), label, {"__m": F.avg("mean_d2")})
     z2 = F.greatest(F.col("mean_d2") - F.col("__m") / 2, F.lit(0.0))
     return centred.select(row_id, label, F.sqrt(z2).alias("z"))
 

@@ -10,6 +10,7 @@ from tidemark.functions.special import log_factorial_expr, normal_cdf_expr, norm
 from tidemark.operators.ordered import as_list, running, value_chunk, with_group_stats
 from tidemark.operators.series_stats import acf
 from tidemark.operators.windows import p_adjust
+from tidemark.session import cut_lineage
 
 
 def _group_table(df: DataFrame, group, y: str, by) -> DataFrame:
@@ -19,7 +20,7 @@ def _group_table(df: DataFrame, group, y: str, by) -> DataFrame:
     per = known.groupBy(*by, *as_list(group)).agg(
         F.count(y).alias("n"), F.avg(y).alias("m"), (F.var_pop(y) * F.count(y)).alias("ss")
     )
-    return with_group_stats(per, by, {"grand": F.sum(F.col("n") * F.col("m")) / F.sum("n")})
+    return with_group_stats(cut_lineage(per), by, {"grand": F.sum(F.col("n") * F.col("m")) / F.sum("n")})
 
 
 def anova_oneway(df: DataFrame, group, y: str, by=None) -> DataFrame:
@@ -82,7 +83,7 @@ def pairwise_means(df: DataFrame, factor: str, levels: Sequence[str], y: str, me
     )
     table = table.withColumn("z", F.try_divide("diff", "se"))
     table = table.withColumn("p", 2 * normal_cdf_expr(-F.abs("z")))
-    return p_adjust(table, "p", method, "p_adj")
+    return p_adjust(cut_lineage(table), "p", method, "p_adj")
 
 
 def normality(df: DataFrame, by, c: str) -> DataFrame:
@@ -97,7 +98,7 @@ def poisson_gof(df: DataFrame, c: str) -> DataFrame:
     """Observed and expected frequencies of a count under Poisson(mean), probabilities rescaled to the observed values."""
     counts = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("k")).agg(F.count(F.lit(1)).alias("observed"))
     sized = with_group_stats(
-        counts, None, {"__n": F.sum("observed"), "__lambda": F.sum(F.col("k") * F.col("observed")) / F.sum("observed")}
+        cut_lineage(counts), None, {"__n": F.sum("observed"), "__lambda": F.sum(F.col("k") * F.col("observed")) / F.sum("observed")}
     )
     log_p = F.col("k") * F.log("__lambda") - F.col("__lambda") - log_factorial_expr(F.col("k"))
     sized = sized.withColumn("__p", F.exp(log_p))

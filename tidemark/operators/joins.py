@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.time import elapsed_seconds, micros
 from tidemark.operators.ordered import as_list, lagged, running
 from tidemark.operators.windows import change_points
+from tidemark.session import cut_lineage
 
 DAY_US = 86_400_000_000
 
@@ -147,7 +148,7 @@ def nearest_asof(
     by, payload = as_list(by), as_list(payload)
     points = right.select(*by, micros(F.col(right_ts)).alias("__p"), F.struct(*payload).alias("__v"))
     points = points.groupBy(*by, "__p").agg(F.max("__v").alias("__v"))
-    near = lagged(points, by, ["__p"], {"__prev": ("__p", 1), "__next": ("__p", -1)}, chunk=365 * width_us)
+    near = lagged(cut_lineage(points), by, ["__p"], {"__prev": ("__p", 1), "__next": ("__p", -1)}, chunk=365 * width_us)
     reach = left.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).select(
         F.struct(micros(F.col("a")).alias("a"), micros(F.col("b")).alias("b"))
     )
@@ -171,7 +172,7 @@ def time_to_settle(
     running minimum per (series, set point) instead of a join of every change with all later rows.
     """
     by, order = as_list(by), as_list(order)
-    changes = change_points(df, by, order, setpoint, chunk).select(*by, F.col(ts), F.col(setpoint))
+    changes = cut_lineage(change_points(df, by, order, setpoint, chunk).select(*by, F.col(ts), F.col(setpoint)))
     cell = F.floor(F.col("__s") / (2 * tol))
     targets = changes.select(*by, F.col(setpoint).alias("__s")).distinct()
     targets = targets.withColumn("__cell", F.explode(F.array(cell - 1, cell, cell + 1)))

@@ -12,6 +12,9 @@ once on (series, chunk):
   one row per chunk, and the carried value is combined with the prefix inside the chunk.
 * ``with_group_stats`` - whole-series aggregates joined back (partial aggregation, no window).
 
+``running`` and ``with_group_stats`` read their input twice (once narrow, for the totals). Operators that chain
+several of them first write the small or shared intermediate with :func:`tidemark.session.cut_lineage`.
+
 Series keys are compared as one struct, so a NULL key is a series like any other.
 """
 
@@ -48,7 +51,7 @@ def chunk_of(df: DataFrame, order: Sequence[str], chunk=None) -> Column:
     raise ValueError(f"give chunk= for order column {lead} of type {kind.simpleString()}")
 
 
-def _keyed(df: DataFrame, by: list[str], order: list[str], chunk) -> DataFrame:
+def keyed(df: DataFrame, by: list[str], order: list[str], chunk) -> DataFrame:
     return df.withColumn(CHUNK, chunk_of(df, order, chunk)).withColumn(SERIES, F.struct(*by, CHUNK))
 
 
@@ -75,7 +78,7 @@ def neighbourhood(
     keep = df.columns
     inside = Window.partitionBy(SERIES).orderBy(*order)
     numbered = (
-        _keyed(df, by, order, chunk)
+        keyed(df, by, order, chunk)
         .withColumn(HEAD, F.row_number().over(inside))
         .withColumn(SIZE, F.count(F.lit(1)).over(Window.partitionBy(SERIES)))
     )
@@ -86,10 +89,10 @@ def neighbourhood(
         named = exprs(w)
         return part.select("*", *[c.alias(n) for n, c in named.items()])
 
+    # Both branches read the same columns of the same shuffle, so Spark runs it once and reuses it.
+    whole = Window.partitionBy(*[F.col(f"{SERIES}.{c}") for c in by]).orderBy(*order)
     inner = add(numbered, inside).filter(~near_edge)
-    edges = add(
-        numbered.filter((F.col(HEAD) <= span) | (tail <= span)), Window.partitionBy(*by).orderBy(*order)
-    ).filter(near_edge)
+    edges = add(numbered.filter((F.col(HEAD) <= span) | (tail <= span)), whole).filter(near_edge)
     out = inner.unionByName(edges)
     helpers = {SERIES, CHUNK, HEAD, SIZE}
     return out.select(*keep, *[c for c in out.columns if c not in keep and c not in helpers])
@@ -144,7 +147,7 @@ def running(df: DataFrame, by, order, specs: dict[str, tuple], chunk=None, desce
     """
     by, order = as_list(by), as_list(order)
     keep = df.columns
-    base = _keyed(df, by, order, chunk)
+    base = keyed(df, by, order, chunk)
     direction = F.struct(*order)
     ends = {"last": "first", "first": "last"} if descending else {}
     partials, carries, merged = [], [], []
@@ -185,12 +188,21 @@ def with_group_stats(df: DataFrame, by, stats: dict[str, Column]) -> DataFrame:
     return keyed.join(per, SERIES).select(*df.columns, *stats)
 
 
-def value_chunk(df: DataFrame, by, c: str, buckets: int = 1024) -> DataFrame:
-    """Add ``CHUNK`` = equal-width bucket of ``c`` between the group's extremes (monotone in ``c``)."""
-    spread = with_group_stats(df, by, {"__lo": F.min(c), "__hi": F.max(c)})
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(buckets)
-    bucket = F.floor(F.try_divide(F.col(c) - F.col("__lo"), width))
-    return spread.withColumn("__bucket", F.coalesce(bucket, F.lit(0))).drop("__lo", "__hi")
+def value_chunk(df: DataFrame, by, c, buckets: int = 1024) -> DataFrame:
+    """Add ``__bucket`` = equal-width bucket of ``c`` between the group's extremes (monotone in ``c``).
+
+    Several columns get ``__bucket_<column>`` each, from one pass.
+    """
+    names = {c: "__bucket"} if isinstance(c, str) else {x: f"__bucket_{x}" for x in c}
+    ends = {}
+    for x in names:
+        ends[f"__lo_{x}"], ends[f"__hi_{x}"] = F.min(x), F.max(x)
+    out = with_group_stats(df, by, ends)
+    for x, name in names.items():
+        low = F.col(f"__lo_{x}")
+        width = (F.col(f"__hi_{x}") - low) / F.lit(buckets)
+        out = out.withColumn(name, F.coalesce(F.floor(F.try_divide(F.col(x) - low, width)), F.lit(0)))
+    return out.drop(*ends)
 
 
 def all_of(conditions: Sequence[Column]) -> Column:

@@ -6,17 +6,23 @@ more than any other. The solves run in Arrow batches over one row per group.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.operators.ordered import all_of, as_list, lagged
-from tidemark.operators.windows import diff_n, lag_features, row_index, zscore
+from tidemark.operators.ordered import all_of, as_list, lagged, neighbourhood
+from tidemark.operators.windows import row_index, zscore
 from tidemark.session import cut_lineage
 
 
+# Executors need not have this package installed: the small solvers travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def ols_line(df: DataFrame, by, y: str, x: str) -> DataFrame:
     """Straight line per group: slope, intercept, R squared, and the equation as text."""
     fit = df.groupBy(*as_list(by)).agg(
@@ -110,8 +116,15 @@ def path_model(df: DataFrame, by_time: tuple, equations: dict[str, Sequence[str]
     by, order = by_time
     names = {p.rsplit("_lag", 1)[0] for ps in equations.values() for p in ps} | set(equations)
     z = zscore(df, None, {f"__z_{c}": c for c in sorted(names)}).withColumns({c: F.col(f"__z_{c}") for c in names})
-    for c in sorted({p.rsplit("_lag", 1)[0] for ps in equations.values() for p in ps if "_lag" in p}):
-        z = lag_features(z, by, order, c, list(lags), chunk)
+    lagging = sorted({p.rsplit("_lag", 1)[0] for ps in equations.values() for p in ps if "_lag" in p})
+    z = neighbourhood(
+        z,
+        by,
+        order,
+        lambda w: {f"{c}_lag{k}": F.when(F.col(c).isNotNull(), F.lag(c, k).over(w)) for c in lagging for k in lags},
+        before=max(lags),
+        chunk=chunk,
+    )
     z = cut_lineage(z.select(cluster, *{c for c in z.columns if not c.startswith("__") and c != cluster}))
     out = None
     for response, predictors in equations.items():
@@ -136,6 +149,7 @@ def _robust(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
     )
     bread = moments(complete, None, [y, *xs])
     one = meat.withColumn("m", bread.select(F.struct("n", "means", "covs")).scalar())
+    terms = list(x)
     one = one.select("clusters", "meat", F.col("m.n").alias("n"), F.col("m.means").alias("means"), F.col("m.covs").alias("covs"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,7 +164,7 @@ def _robust(df: DataFrame, y: str, xs: list[str], cluster: str) -> DataFrame:
                 adjust = g / max(g - 1, 1) * (row.n - 1) / (row.n - k)
                 v = inv @ np.asarray(row.meat, dtype=float).reshape(k, k) @ inv * adjust
                 se = np.sqrt(np.diag(v))
-                rows += [(t, e, s, e / s if s > 0 else None, row.n, 1 - rss / tss) for t, e, s in zip(x, b, se)]
+                rows += [(t, e, s, e / s if s > 0 else None, row.n, 1 - rss / tss) for t, e, s in zip(terms, b, se)]
             yield pd.DataFrame(rows, columns=["term", "estimate", "se", "z", "n", "r2"])
 
     return one.mapInPandas(solve, "term string, estimate double, se double, z double, n long, r2 double")
@@ -299,9 +313,12 @@ def adf(df: DataFrame, by, order, c: str, k: int, chunk=None) -> DataFrame:
     """Augmented Dickey-Fuller t statistic per series (constant and trend, ``k`` lagged differences)."""
     by, order = as_list(by), as_list(order)
     known = df.filter(F.col(c).isNotNull()).select(*by, *order, F.col(c).cast("double").alias("__y"))
-    stepped = diff_n(known, by, order, "__y", 1, "__d", chunk)
-    lags = {"__y1": ("__y", 1), **{f"__d1_{i}": ("__d1", i) for i in range(1, k + 1)}}
-    made = row_index(lagged(stepped, by, order, lags, chunk), by, order, "__t", chunk)
+
+    def exprs(w):
+        y = [F.col("__y")] + [F.lag("__y", i).over(w) for i in range(1, k + 2)]
+        return {"__y1": y[1], "__d1": y[0] - y[1], **{f"__d1_{i}": y[i] - y[i + 1] for i in range(1, k + 1)}}
+
+    made = row_index(neighbourhood(known, by, order, exprs, before=k + 1, chunk=chunk), by, order, "__t", chunk)
     made = made.withColumn("__t", F.col("__t").cast("double"))
     fit = ols(made, by, "__d1", ["__y1", "__t", *[f"__d1_{i}" for i in range(1, k + 1)]])
     return fit.filter(F.col("term") == "__y1").select(*by, "n", F.col("estimate").alias("gamma"), F.col("t").alias("adf"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.special import chi2_sf_expr
 from tidemark.operators.ordered import as_list, neighbourhood, running, with_group_stats
+from tidemark.session import cut_lineage
 
 
 def _centred(df: DataFrame, by: list[str], order: list[str], c: str) -> DataFrame:
@@ -83,7 +84,7 @@ def autocorrelated_groups(acf_rows: DataFrame, by) -> DataFrame:
 def kpss(df: DataFrame, by, order, c: str, lags: int, chunk=None) -> DataFrame:
     """KPSS level statistic with Bartlett weights over ``lags`` autocovariances."""
     by, order = as_list(by), as_list(order)
-    centred = _centred(df, by, order, c)
+    centred = cut_lineage(_centred(df, by, order, c))
     partial = running(centred, by, order, {"__s": ("sum", "__x")}, chunk)
     walk = partial.groupBy(*by).agg(F.sum(F.col("__s") * F.col("__s")).alias("__ss"))
     sums = _lag_products(centred, by, order, lags, chunk)

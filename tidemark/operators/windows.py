@@ -18,6 +18,7 @@ from tidemark.operators.ordered import (
     value_chunk,
     with_group_stats,
 )
+from tidemark.session import cut_lineage
 
 
 def diff_prev(df: DataFrame, by, order, c: str, out: str, chunk=None) -> DataFrame:
@@ -187,7 +188,7 @@ def find_peaks(df: DataFrame, by, order, c: str, m: int, out: str = "is_peak", c
 def peak_period(df: DataFrame, by, order, c: str, m: int, lag: int = 2, chunk=None) -> DataFrame:
     """Peaks with their row index and its difference to the peak ``lag`` peaks earlier."""
     peaks = row_index(find_peaks(df, by, order, c, m, "__peak", chunk), by, order, "peak_index", chunk)
-    peaks = peaks.filter("__peak").drop("__peak")
+    peaks = cut_lineage(peaks.filter("__peak").drop("__peak"))
     out = lagged(peaks, by, ["peak_index"], {"__prev": ("peak_index", lag)})
     return out.withColumn("period", F.col("peak_index") - F.col("__prev")).drop("__prev")
 
@@ -204,10 +205,11 @@ def p_adjust(df: DataFrame, p: str, method: str, out: str, by=None) -> DataFrame
         return counted.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("__n"))).drop("__n")
     if method != "bh":
         raise ValueError(method)
-    counts = value_chunk(known.groupBy(*by, p).agg(F.count(F.lit(1)).alias("__m")), by, p)
+    counts = cut_lineage(known.groupBy(*by, p).agg(F.count(F.lit(1)).alias("__m")))
     bucket = F.col("__bucket")
-    ranked = running(with_group_stats(counts, by, {"__n": F.sum("__m")}), by, [p], {"__rank": ("sum", "__m")}, bucket)
-    ranked = ranked.withColumn("__raw", F.col(p) * F.col("__n") / F.col("__rank"))
+    ranks = {"__rank": ("sum", "__m"), "__n": ("total", "__m")}
+    ranked = running(value_chunk(counts, by, p), by, [p], ranks, bucket)
+    ranked = cut_lineage(ranked.withColumn("__raw", F.col(p) * F.col("__n") / F.col("__rank")))
     adjusted = running(ranked, by, [p], {"__adj": ("min", "__raw")}, bucket, descending=True)
     table = adjusted.select(F.struct(*by, p).alias(SERIES), F.least(F.lit(1.0), F.col("__adj")).alias(out))
     return df.withColumn(SERIES, F.struct(*by, p)).join(table, SERIES, "left").select(*df.columns, out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +37,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, used between rounds of an iterative fit."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write an intermediate that several steps read to a table in the shared folder, and read it back.
+
+    Unlike an RDD checkpoint the table is columnar and has a known size, so later steps read only the columns they
+    need and join it by broadcast when it is small. It survives the loss of executors.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/tidemark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
