@@ -65,10 +65,10 @@ def t_quantile_expr(p: float, df: Column, exact_to: int = 100) -> Column:
 def normal_cdf_expr(x: Column) -> Column:
     """Standard normal distribution function (series near 0, continued fraction in the tails; about 1e-13)."""
     a = F.abs(x)
-    series, term = a, a
-    for k in range(1, 60):
-        term = term * a * a / F.lit(2.0 * k + 1)
-        series = series + term
+    series = F.lit(1.0)
+    for k in range(59, 0, -1):
+        series = series * (a * a) / F.lit(2.0 * k + 1) + 1
+    series = series * a
     density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
     tail = a + 1.0
     for k in range(60, 0, -1):
@@ -105,18 +105,18 @@ def chi2_sf_expr(x: Column, df: int) -> Column:
     """Upper tail of chi-square with a fixed whole number of degrees of freedom (finite sums)."""
     half = x / 2
     if df % 2 == 0:
-        term, total = F.lit(1.0), F.lit(1.0)
-        for k in range(1, df // 2):
-            term = term * half / F.lit(float(k))
-            total = total + term
+        total = F.lit(1.0)
+        for k in range(df // 2 - 1, 0, -1):
+            total = total * half / F.lit(float(k)) + 1
         return F.exp(-half) * total
     root = F.sqrt(x)
-    tail = 2 * (1 - normal_cdf_expr(root)) if df == 1 else 2 * normal_cdf_expr(-root)
-    term, total = root, F.lit(0.0)
-    for k in range(1, (df + 1) // 2):
-        total = total + term
-        term = term * x / F.lit(2.0 * k + 1)
-    return tail + F.exp(-half) * math.sqrt(2 / math.pi) * total
+    tail = 2 * normal_cdf_expr(-root)
+    if df == 1:
+        return tail
+    total = F.lit(1.0)
+    for k in range((df - 1) // 2 - 1, 0, -1):
+        total = total * x / F.lit(2.0 * k + 1) + 1
+    return tail + F.exp(-half) * math.sqrt(2 / math.pi) * root * total
 
 
 def log_factorial_expr(k: Column) -> Column:

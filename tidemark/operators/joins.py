@@ -146,21 +146,32 @@ def nearest_asof(
     intervals. The outer spans reach to the first and last left time.
     """
     by, payload = as_list(by), as_list(payload)
-    points = right.select(*by, micros(F.col(right_ts)).alias("__p"), F.struct(*payload).alias("__v"))
-    points = points.groupBy(*by, "__p").agg(F.max("__v").alias("__v"))
-    near = lagged(cut_lineage(points), by, ["__p"], {"__prev": ("__p", 1), "__next": ("__p", -1)}, chunk=365 * width_us)
     reach = left.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).select(
         F.struct(micros(F.col("a")).alias("a"), micros(F.col("b")).alias("b"))
     )
-    near = near.withColumn("__reach", reach.scalar())
+    spans = nearest_spans(right, right_ts, payload, reach.scalar(), by, width_us)
+    return between_spans(left, spans, ts, payload, by, width_us)
+
+
+def nearest_spans(right: DataFrame, right_ts: str, payload, reach: Column, by=None, width_us: int = DAY_US) -> DataFrame:
+    """The disjoint spans owned by each right row, within ``reach`` (a struct of microseconds ``a`` to ``b``)."""
+    by, payload = as_list(by), as_list(payload)
+    points = right.select(*by, micros(F.col(right_ts)).alias("__p"), F.struct(*payload).alias("__v"))
+    points = points.groupBy(*by, "__p").agg(F.max("__v").alias("__v"))
+    near = lagged(cut_lineage(points), by, ["__p"], {"__prev": ("__p", 1), "__next": ("__p", -1)}, chunk=365 * width_us)
+    near = near.withColumn("__reach", reach)
 
     def mid(a: str, b: str) -> Column:
         return F.floor((F.col(a) + F.col(b)) / 2) + 1
 
     lo = F.greatest(F.coalesce(mid("__prev", "__p"), F.col("__reach.a")), F.col("__reach.a"))
     hi = F.least(F.coalesce(mid("__p", "__next"), F.col("__reach.b") + 1), F.col("__reach.b") + 1)
-    spans = near.select(*by, lo.alias("__lo"), hi.alias("__hi"), "__v.*")
-    return _between(left, _pieces(spans, width_us), ts, by, payload, width_us, "left")
+    return near.select(*by, lo.alias("__lo"), hi.alias("__hi"), "__v.*")
+
+
+def between_spans(left: DataFrame, spans: DataFrame, ts: str, payload, by=None, width_us: int = DAY_US) -> DataFrame:
+    """Attach the payload of the span holding each row's time; also for a stream on the left."""
+    return _between(left, _pieces(spans, width_us), ts, as_list(by), as_list(payload), width_us, "left")
 
 
 def time_to_settle(
