@@ -63,15 +63,15 @@ def t_quantile_expr(p: float, df: Column, exact_to: int = 100) -> Column:
 
 
 def normal_cdf_expr(x: Column) -> Column:
-    """Standard normal distribution function (series near 0, continued fraction in the tails; about 1e-13)."""
+    """Standard normal distribution function (series near 0, continued fraction in the tails; about 1e-12)."""
     a = F.abs(x)
     series = F.lit(1.0)
-    for k in range(59, 0, -1):
+    for k in range(40, 0, -1):
         series = series * (a * a) / F.lit(2.0 * k + 1) + 1
     series = series * a
     density = F.exp(-a * a / 2) / math.sqrt(2 * math.pi)
     tail = a + 1.0
-    for k in range(60, 0, -1):
+    for k in range(40, 0, -1):
         tail = a + F.lit(float(k)) / tail
     upper = F.when(a < 3.0, 0.5 - density * series).otherwise(density / tail)
     return F.when(x >= 0, 1 - upper).otherwise(upper)

@@ -109,53 +109,55 @@ def join_gaps(stretches: DataFrame, site, max_gap: int = 2) -> DataFrame:
     return events.withColumn("duration", F.datediff("date_end", "date_start") + 1)
 
 
+EVENT = ["event_no", "date_start", "date_end", "duration"]
+
+
 def event_days(flagged: DataFrame, events: DataFrame, site, t: str = "t") -> DataFrame:
     """Daily rows of each event (including merged gap days)."""
     days = F.explode(F.sequence("date_start", "date_end", F.expr("INTERVAL 1 DAY"))).alias(t)
-    return events.select(*as_list(site), "event_no", days).join(flagged, [*as_list(site), t])
+    return events.select(*as_list(site), *EVENT, days).join(flagged, [*as_list(site), t])
+
+
+def _measures(t: str, c: str) -> dict[str, Column]:
+    anomaly = F.col("__i")
+    return {
+        "date_peak": F.min_by(t, F.struct(-anomaly, F.col(t))),
+        "intensity_max": F.max(anomaly),
+        "intensity_mean": F.avg(anomaly),
+        "intensity_cumulative": F.sum(anomaly),
+        "intensity_max_relThresh": F.max(F.col(c) - F.col("thresh")),
+        "intensity_max_abs": F.max(c),
+    }
 
 
 def event_metrics(flagged: DataFrame, events: DataFrame, site, t: str = "t", c: str = "temp") -> DataFrame:
     """Duration, start, peak and end dates, and intensities above the seasonal mean (peak = earliest maximum)."""
-    site = as_list(site)
     days = event_days(flagged, events, site, t).withColumn("__i", F.col(c) - F.col("seas"))
-    measures = days.groupBy(*site, "event_no").agg(
-        F.min_by(t, F.struct(-F.col("__i"), F.col(t))).alias("date_peak"),
-        F.max("__i").alias("intensity_max"),
-        F.avg("__i").alias("intensity_mean"),
-        F.sum("__i").alias("intensity_cumulative"),
-        F.max(F.col(c) - F.col("thresh")).alias("intensity_max_relThresh"),
-        F.max(c).alias("intensity_max_abs"),
-    )
-    return events.join(measures, [*site, "event_no"])
+    return days.groupBy(*as_list(site), *EVENT).agg(*[m.alias(n) for n, m in _measures(t, c).items()])
 
 
-def event_rates(flagged: DataFrame, metrics: DataFrame, site, t: str = "t", c: str = "temp") -> DataFrame:
-    """Add ``rate_onset`` and ``rate_decline`` per day.
+def event_rates(flagged: DataFrame, events: DataFrame, site, t: str = "t", c: str = "temp") -> DataFrame:
+    """The metrics of :func:`event_metrics` with ``rate_onset`` and ``rate_decline`` per day.
 
     The edge anomaly is the mean of the event's edge day and the day outside it; an event touching the end of the
-    series has no rate there.
+    series has no rate there. ``flagged`` must hold every calendar day.
     """
     site = as_list(site)
-    anomaly = flagged.select(*site, F.col(t).alias("__t"), (F.col(c) - F.col("seas")).alias("__i"))
-    names = {"__before": F.date_sub("date_start", 1), "__first": F.col("date_start")}
-    names.update({"__last": F.col("date_end"), "__after": F.date_add("date_end", 1)})
-    wanted = metrics.select(*site, "event_no", F.explode(F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*names.values())
-    )).alias("__edge", "__t"))
-    at = wanted.join(anomaly, [*site, "__t"])
-    edges = at.groupBy(*site, "event_no").agg(
-        *[F.max(F.when(F.col("__edge") == n, F.col("__i"))).alias(n) for n in names]
+    w = Window.partitionBy(*site).orderBy(t)
+    sided = flagged.withColumn("__i", F.col(c) - F.col("seas"))
+    sided = sided.withColumns(
+        {"__onset": (F.lag("__i").over(w) + F.col("__i")) / 2, "__decline": (F.col("__i") + F.lead("__i").over(w)) / 2}
     )
-    out = metrics.join(edges, [*site, "event_no"], "left")
-    onset = F.col("intensity_max") - (F.col("__before") + F.col("__first")) / 2
-    decline = F.col("intensity_max") - (F.col("__last") + F.col("__after")) / 2
+    edges = {"__from": F.min_by("__onset", t), "__to": F.max_by("__decline", t)}
+    out = event_days(sided, events, site, t).groupBy(*site, *EVENT)
+    out = out.agg(*[m.alias(n) for n, m in {**_measures(t, c), **edges}.items()])
+    top = F.col("intensity_max")
     return out.withColumns(
         {
-            "rate_onset": onset / (F.datediff("date_peak", "date_start") + 0.5),
-            "rate_decline": decline / (F.datediff("date_end", "date_peak") + 0.5),
+            "rate_onset": (top - F.col("__from")) / (F.datediff("date_peak", "date_start") + 0.5),
+            "rate_decline": (top - F.col("__to")) / (F.datediff("date_end", "date_peak") + 0.5),
         }
-    ).drop(*names)
+    ).drop(*edges)
 
 
 def event_table(events: DataFrame, since: str | None = None, months: Sequence[int] | None = None) -> DataFrame:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.operators import heatwave as hw
 from tidemark.operators.ordered import as_list
-from tidemark.operators.windows import rolling
 from tidemark.session import cut_lineage
 
 
@@ -28,8 +27,9 @@ def smoothed_daily(readings: DataFrame, site, ts: str, c: str, days: int = 1) ->
     site = as_list(site)
     daily = hw.daily_series(readings, site, ts, c)
     if days > 1:
-        daily = rolling(daily, site, "t", "temp", days, {"__mean": "mean"}, chunk="year")
-        daily = daily.withColumn("temp", F.col("__mean")).drop("__mean").filter("temp is not null")
+        trailing = Window.partitionBy(*site).orderBy("t").rowsBetween(1 - days, 0)
+        full = F.count("temp").over(trailing) == days
+        daily = daily.withColumn("temp", F.when(full, F.avg("temp").over(trailing))).filter("temp is not null")
     return hw.complete_days(cut_lineage(daily), site)
 
 
@@ -45,13 +45,11 @@ def detect(
 ) -> Heatwaves:
     """Climatology, threshold exceedance and events with metrics and rates of a complete daily series.
 
-    The flagged days and the event spans (both at most one row per site and day) are cut, as every later step
-    reads them.
+    The flagged days (one row per site and day) are cut, as the events and their measures both read them.
     """
     clim = hw.climatology(daily, site, half_width, pctile, period)
     if smooth:
         clim = hw.smooth_circular(clim, site, smooth)
     flagged = cut_lineage(hw.exceedance(daily, clim, site))
-    events = cut_lineage(hw.join_gaps(hw.runs(flagged, site, min_days), site, max_gap))
-    measured = hw.event_rates(flagged, hw.event_metrics(flagged, events, site), site)
-    return Heatwaves(daily, clim, flagged, measured)
+    events = hw.join_gaps(hw.runs(flagged, site, min_days), site, max_gap)
+    return Heatwaves(daily, clim, flagged, hw.event_rates(flagged, events, site))
