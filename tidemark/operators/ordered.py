@@ -10,7 +10,7 @@ once on (series, chunk):
   per-series window.
 * ``running`` - prefix aggregates. Chunk totals are aggregated map-side, their prefix is taken over
   one row per chunk, and the carried value is combined with the prefix inside the chunk.
-* ``with_group_stats`` - whole-series aggregates joined back (partial aggregation, no window).
+* ``with_group_stats`` - whole-series aggregates, written as a small table and joined back (no window).
 
 ``running`` and ``with_group_stats`` read their input twice (once narrow, for the totals). Operators that chain
 several of them first write the small or shared intermediate with :func:`tidemark.session.cut_lineage`.
@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.window import WindowSpec
 
+from tidemark.session import cut_lineage
+
 SERIES, CHUNK, HEAD, SIZE = "__series", "__chunk", "__head", "__size"
 
 
@@ -176,16 +178,18 @@ def running(df: DataFrame, by, order, specs: dict[str, tuple], chunk=None, desce
 def with_group_stats(df: DataFrame, by, stats: dict[str, Column]) -> DataFrame:
     """Add whole-group aggregates to every row: partial aggregation and a join back on the group.
 
-    Without ``by`` the aggregate is one row and enters as a scalar subquery.
+    The group table is written first. Its size is then known when the join is planned: with few groups Spark broadcasts
+    it and the rows are not shuffled at all, with many it joins by key. Without ``by`` the aggregate is one row and
+    enters as a scalar subquery.
     """
     by = as_list(by)
     aggs = [c.alias(n) for n, c in stats.items()]
     if not by:
         one = df.agg(*aggs).select(F.struct(*stats).alias("__one")).scalar()
         return df.withColumn("__one", one).select(*df.columns, *[F.col(f"__one.{n}").alias(n) for n in stats])
-    keyed = df.withColumn(SERIES, F.struct(*by))
-    per = keyed.groupBy(SERIES).agg(*aggs)
-    return keyed.join(per, SERIES).select(*df.columns, *stats)
+    keyed_rows = df.withColumn(SERIES, F.struct(*by))
+    per = cut_lineage(keyed_rows.groupBy(SERIES).agg(*aggs))
+    return keyed_rows.join(per, SERIES).select(*df.columns, *stats)
 
 
 def value_chunk(df: DataFrame, by, c, buckets: int = 1024) -> DataFrame:
