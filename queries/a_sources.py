@@ -152,7 +152,7 @@ def _a08(spark, sf):
 def _a09(spark, sf):
     path = run_folder(spark, "telemetry")
     t = telemetry(spark, sf).select("event_id", "tank", "temperature", F.to_date("timestamp").alias("date"))
-    logs.write_table(t.repartition("date"), path, "parquet", partition_by="date")
+    logs.write_table(t.repartitionByRange("date", "event_id"), path, "parquet", partition_by="date")
     return logs.read_table(spark, path).withColumn("date", F.col("date").cast("date"))
 
 

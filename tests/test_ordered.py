@@ -157,3 +157,28 @@ def test_cohort_labels(spark):
     got = {r.d: (r.week, r.weeks) for r in win.cohort(df, "t").collect()}
     assert got[0] == (0, None) and got[7] == (1, 1) and got[21] == (3, 1) and got[28] == (4, 2)
     assert got[35] == (5, 2) and got[49] == (7, 3)
+
+
+@pytest.mark.parametrize("unit", ["day", "hour"])
+def test_hot_chunks_are_split_without_changing_results(spark, monkeypatch, unit):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 5)
+    monkeypatch.setattr(ordered, "PARTS_PER_HOT_CHUNK", 2)
+    df = spark.range(120).select(
+        F.lit("hot").alias("k"),
+        F.col("id").alias("i"),
+        F.expr("timestamp_ntz'2024-02-28 22:00:00' + make_dt_interval(0, 0, 0, id * id)").alias("t"),
+    )
+    keyed = ordered.keyed(df, ["k"], ["t", "i"], unit)
+    assert keyed.select(ordered.CHUNK).distinct().count() > df.select(F.date_trunc(unit, "t")).distinct().count()
+    got = ordered.running(df, "k", ["t", "i"], {"n": ("count", F.lit(1))}, chunk=unit).collect()
+    assert all(r.n == r.i + 1 for r in got) and len(got) == 120
+    lags = ordered.lagged(df, "k", ["t", "i"], {"p": ("i", 2), "f": ("i", -1)}, chunk=unit).collect()
+    assert all(r.p == (r.i - 2 if r.i > 1 else None) and r.f == (r.i + 1 if r.i < 119 else None) for r in lags)
+
+
+def test_hot_numeric_chunks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
+    df = spark.range(-40, 40).select(F.lit("k").alias("k"), F.col("id").alias("i"))
+    got = win.row_index(df, "k", "i", "n", chunk=16).collect()
+    assert all(r.n == r.i + 41 for r in got)
+    assert ordered.keyed(df, ["k"], ["i"], 16).select(ordered.CHUNK).distinct().count() > 5

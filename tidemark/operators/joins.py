@@ -18,6 +18,7 @@ from tidemark.operators.windows import change_points
 from tidemark.session import cut_lineage
 
 DAY_US = 86_400_000_000
+HOUR_US = DAY_US // 24
 
 
 def _full_on(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,7 +139,7 @@ def range_join(df: DataFrame, ranges: DataFrame, ts: str, lo: str, hi: str, by=N
 
 
 def nearest_asof(
-    left: DataFrame, right: DataFrame, ts: str, right_ts: str, payload, by=None, width_us: int = DAY_US
+    left: DataFrame, right: DataFrame, ts: str, right_ts: str, payload, by=None, width_us: int = HOUR_US
 ) -> DataFrame:
     """Attach the right row whose time is closest; the earlier one wins a tie, the larger payload a repeat.
 
@@ -153,12 +154,12 @@ def nearest_asof(
     return between_spans(left, spans, ts, payload, by, width_us)
 
 
-def nearest_spans(right: DataFrame, right_ts: str, payload, reach: Column, by=None, width_us: int = DAY_US) -> DataFrame:
+def nearest_spans(right: DataFrame, right_ts: str, payload, reach: Column, by=None, width_us: int = HOUR_US) -> DataFrame:
     """The disjoint spans owned by each right row, within ``reach`` (a struct of microseconds ``a`` to ``b``)."""
     by, payload = as_list(by), as_list(payload)
     points = right.select(*by, micros(F.col(right_ts)).alias("__p"), F.struct(*payload).alias("__v"))
     points = points.groupBy(*by, "__p").agg(F.max("__v").alias("__v"))
-    near = lagged(cut_lineage(points), by, ["__p"], {"__prev": ("__p", 1), "__next": ("__p", -1)}, chunk=365 * width_us)
+    near = lagged(cut_lineage(points), by, ["__p"], {"__prev": ("__p", 1), "__next": ("__p", -1)}, chunk=365 * DAY_US)
     near = near.withColumn("__reach", reach)
 
     def mid(a: str, b: str) -> Column:
@@ -169,7 +170,7 @@ def nearest_spans(right: DataFrame, right_ts: str, payload, reach: Column, by=No
     return near.select(*by, lo.alias("__lo"), hi.alias("__hi"), "__v.*")
 
 
-def between_spans(left: DataFrame, spans: DataFrame, ts: str, payload, by=None, width_us: int = DAY_US) -> DataFrame:
+def between_spans(left: DataFrame, spans: DataFrame, ts: str, payload, by=None, width_us: int = HOUR_US) -> DataFrame:
     """Attach the payload of the span holding each row's time; also for a stream on the left."""
     return _between(left, _pieces(spans, width_us), ts, as_list(by), as_list(payload), width_us, "left")
 

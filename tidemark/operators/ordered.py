@@ -3,7 +3,8 @@
 ``Window.partitionBy(series)`` sends a whole series to one task, so a series that holds a third of
 the table stalls the job. Every operator here cuts a series into *chunks* (a monotone function of
 the leading order column: a day of a timestamp, a month of a date, a span of a number) and shuffles
-once on (series, chunk):
+once on (series, chunk). A chunk that still holds too many rows is split again (see ``keyed``).
+
 
 * ``neighbourhood`` - expressions looking a fixed number of rows back and ahead. Rows away from the
   chunk edges are computed inside their chunk; only the few edge rows of each chunk meet in a
@@ -26,10 +27,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.window import WindowSpec
 
+from tidemark.functions.time import micros
 from tidemark.session import cut_lineage
 
 SERIES, CHUNK, HEAD, SIZE = "__series", "__chunk", "__head", "__size"
 
+# A chunk is split when it holds more rows than a task sorts comfortably.
+HOT_ROWS = 10_000_000
+PARTS_PER_HOT_CHUNK = 16
+
+# Longest length of each calendar unit in microseconds.
+DAY_US = 86_400_000_000
+LENGTH_US = {
+    "minute": 60_000_000.0,
+    "hour": 3_600_000_000.0,
+    "day": 1.0 * DAY_US,
+    "week": 7.0 * DAY_US,
+    "month": 31.0 * DAY_US,
+    "quarter": 92.0 * DAY_US,
+    "year": 366.0 * DAY_US,
+}
+
 
 def as_list(x) -> list[str]:
     return [] if x is None else [x] if isinstance(x, str) else list(x)
@@ -53,8 +71,32 @@ def chunk_of(df: DataFrame, order: Sequence[str], chunk=None) -> Column:
     raise ValueError(f"give chunk= for order column {lead} of type {kind.simpleString()}")
 
 
+def _position(df: DataFrame, lead: str, chunk) -> Column:
+    """Place of a row inside its chunk, from 0 to below 1; monotone in the leading order column."""
+    kind = df.schema[lead].dataType
+    if isinstance(kind, T.NumericType):
+        width = F.lit(float(chunk or 65536))
+        return F.col(lead) / width - F.floor(F.col(lead) / width)
+    unit = chunk or ("month" if isinstance(kind, T.DateType) else "day")
+    return (micros(F.col(lead)) - micros(F.col(CHUNK))) / F.lit(LENGTH_US[unit])
+
+
 def keyed(df: DataFrame, by: list[str], order: list[str], chunk) -> DataFrame:
-    return df.withColumn(CHUNK, chunk_of(df, order, chunk)).withColumn(SERIES, F.struct(*by, CHUNK))
+    """Add the chunk and the shuffle key (series, chunk).
+
+    A chunk with more than ``HOT_ROWS`` rows is cut further, in equal spans of the order column. The chunks that need it
+    number at most (all rows / HOT_ROWS), which bounds the table that is broadcast: a million rows for 10^13.
+    """
+    rows = df.withColumn(CHUNK, chunk_of(df, order, chunk))
+    if not isinstance(chunk, Column):
+        counts = rows.groupBy(F.struct(*by, CHUNK).alias(SERIES)).agg(F.count(F.lit(1)).alias("__rows"))
+        parts = F.ceil(F.col("__rows") / HOT_ROWS) * PARTS_PER_HOT_CHUNK
+        hot = counts.filter(F.col("__rows") > HOT_ROWS).select(SERIES, parts.alias("__parts"))
+        rows = rows.withColumn(SERIES, F.struct(*by, CHUNK)).join(F.broadcast(hot), SERIES, "left").drop(SERIES)
+        part = F.floor(_position(df, order[0], chunk) * F.col("__parts"))
+        part = F.when(F.col("__parts").isNotNull(), part).otherwise(F.lit(0))
+        rows = rows.withColumn(CHUNK, F.struct(F.col(CHUNK).alias("at"), part.alias("part"))).drop("__parts")
+    return rows.withColumn(SERIES, F.struct(*by, CHUNK))
 
 
 def _sorted(order: list[str], descending: bool) -> list[Column]:
