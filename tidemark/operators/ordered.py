@@ -30,7 +30,7 @@ from pyspark.sql.window import WindowSpec
 from tidemark.functions.time import micros
 from tidemark.session import cut_lineage
 
-SERIES, CHUNK, HEAD, SIZE = "__series", "__chunk", "__head", "__size"
+SERIES, CHUNK, HEAD, SIZE, CUT = "__series", "__chunk", "__head", "__size", "__cut"
 
 # A chunk is split when it holds more rows than a task sorts comfortably.
 HOT_ROWS = 10_000_000
@@ -81,6 +81,17 @@ def _position(df: DataFrame, lead: str, chunk) -> Column:
     return (micros(F.col(lead)) - micros(F.col(CHUNK))) / F.lit(LENGTH_US[unit])
 
 
+def chunked(df: DataFrame, by, order, chunk=None) -> tuple[DataFrame, Column]:
+    """Fix the chunks once for a chain of operators on the same series: the table with ``__cut``, and that column.
+
+    Pass the column on as ``chunk``; the operators then do not count the rows of the chunks again.
+    """
+    if isinstance(chunk, Column):
+        return df, chunk
+    by, order = as_list(by), as_list(order)
+    return keyed(df, by, order, chunk).withColumnRenamed(CHUNK, CUT).drop(SERIES), F.col(CUT)
+
+
 def keyed(df: DataFrame, by: list[str], order: list[str], chunk) -> DataFrame:
     """Add the chunk and the shuffle key (series, chunk).
 

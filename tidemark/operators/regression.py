@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.operators.ordered import all_of, as_list, lagged, neighbourhood
+from tidemark.operators.ordered import all_of, as_list, chunked, lagged, neighbourhood
 from tidemark.operators.windows import row_index, zscore
 from tidemark.session import cut_lineage
 
@@ -318,7 +318,8 @@ def adf(df: DataFrame, by, order, c: str, k: int, chunk=None) -> DataFrame:
         y = [F.col("__y")] + [F.lag("__y", i).over(w) for i in range(1, k + 2)]
         return {"__y1": y[1], "__d1": y[0] - y[1], **{f"__d1_{i}": y[i] - y[i + 1] for i in range(1, k + 1)}}
 
-    made = row_index(neighbourhood(known, by, order, exprs, before=k + 1, chunk=chunk), by, order, "__t", chunk)
+    cut, at = chunked(known, by, order, chunk)
+    made = row_index(neighbourhood(cut, by, order, exprs, before=k + 1, chunk=at), by, order, "__t", at)
     made = made.withColumn("__t", F.col("__t").cast("double"))
     fit = ols(made, by, "__d1", ["__y1", "__t", *[f"__d1_{i}" for i in range(1, k + 1)]])
     return fit.filter(F.col("term") == "__y1").select(*by, "n", F.col("estimate").alias("gamma"), F.col("t").alias("adf"))

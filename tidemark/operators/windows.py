@@ -12,6 +12,7 @@ from tidemark.functions.time import elapsed
 from tidemark.operators.ordered import (
     SERIES,
     as_list,
+    chunked,
     lagged,
     neighbourhood,
     running,
@@ -108,12 +109,10 @@ def change_flag(df: DataFrame, by, order, c: str, out: str, chunk=None) -> DataF
 
 def run_id(df: DataFrame, by, order, c: str, out: str, chunk=None) -> DataFrame:
     """Number of the run of equal values a row belongs to, from 1."""
-    flagged = change_flag(df, by, order, c, "__change", chunk)
-    return (
-        running(flagged, by, order, {out: ("sum", F.col("__change"))}, chunk)
-        .withColumn(out, F.col(out) + 1)
-        .drop("__change")
-    )
+    cut, at = chunked(df, by, order, chunk)
+    flagged = change_flag(cut, by, order, c, "__change", at)
+    numbered = running(flagged, by, order, {out: ("sum", F.col("__change"))}, at)
+    return numbered.withColumn(out, F.col(out) + 1).select(*df.columns, out)
 
 
 def change_points(df: DataFrame, by, order, c: str, chunk=None) -> DataFrame:
@@ -187,8 +186,9 @@ def find_peaks(df: DataFrame, by, order, c: str, m: int, out: str = "is_peak", c
 
 def peak_period(df: DataFrame, by, order, c: str, m: int, lag: int = 2, chunk=None) -> DataFrame:
     """Peaks with their row index and its difference to the peak ``lag`` peaks earlier."""
-    peaks = row_index(find_peaks(df, by, order, c, m, "__peak", chunk), by, order, "peak_index", chunk)
-    peaks = cut_lineage(peaks.filter("__peak").drop("__peak"))
+    cut, at = chunked(df, by, order, chunk)
+    peaks = row_index(find_peaks(cut, by, order, c, m, "__peak", at), by, order, "peak_index", at)
+    peaks = cut_lineage(peaks.filter("__peak").select(*df.columns, "peak_index"))
     out = lagged(peaks, by, ["peak_index"], {"__prev": ("peak_index", lag)})
     return out.withColumn("period", F.col("peak_index") - F.col("__prev")).drop("__prev")
 
