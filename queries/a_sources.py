@@ -34,7 +34,7 @@ def _log_files(spark, sf, trailing: bool) -> str:
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("Timestamp"),
         F.col("tank").cast("double").alias("Chill set"),
         "event_id",
-        F.col("temperature").alias("28-00000eb5045f"),
+        F.col("temperature").alias("28-0000000001"),
         *([F.lit(None).cast("string").alias("_")] if trailing else []),
     )
     logs.write_table(out.repartition(4), path, "csv")
@@ -46,10 +46,10 @@ LOG = T.StructType(
         T.StructField("timestamp", T.StringType()),
         T.StructField("chill_set", T.DoubleType()),
         T.StructField("event_id", T.LongType()),
-        T.StructField("x28_00000eb5045f", T.DoubleType()),
+        T.StructField("x28_0000000001", T.DoubleType()),
     ]
 )
-LOG_SQL = f"""SELECT timestamp, CAST(tank AS DOUBLE) AS chill_set, event_id, temperature AS x28_00000eb5045f FROM {TELEMETRY}"""
+LOG_SQL = f"""SELECT timestamp, CAST(tank AS DOUBLE) AS chill_set, event_id, temperature AS x28_0000000001 FROM {TELEMETRY}"""
 
 
 @query("a01_scan_logs", LOG_SQL)
