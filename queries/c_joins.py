@@ -8,27 +8,30 @@ from queries.registry import PANEL, TELEMETRY, panel, query, rounded, table, tel
 from tidemark.operators import joins, scalar
 
 
-def _day(spark, sf, rest: int, n: str):
-    t = telemetry(spark, sf).filter(F.col("event_id") % 5 == rest)
+COOL, WARM, HOT = "temperature < 40", "temperature BETWEEN 20 AND 80", "temperature > 50"
+
+
+def _day(spark, sf, seen: str, n: str):
+    t = telemetry(spark, sf).filter(seen)
     return t.groupBy("tank", "genet", F.to_date("timestamp").alias("date")).agg(
         F.count(F.lit(1)).alias(n), F.max("event_id").alias("time")
     )
 
 
-def _day_sql(rest: int, n: str) -> str:
+def _day_sql(seen: str, n: str) -> str:
     return (
         f"(SELECT tank, genet, CAST(timestamp AS DATE) AS date, count(*) AS {n} FROM {TELEMETRY}"
-        f" WHERE event_id % 5 = {rest} GROUP BY ALL)"
+        f" WHERE {seen} GROUP BY ALL)"
     )
 
 
 @query(
     "c01_full_panel",
-    f"""SELECT * FROM {_day_sql(0, "open")} FULL JOIN {_day_sql(1, "alive")} USING (tank, genet, date)
-      FULL JOIN {_day_sql(2, "sized")} USING (tank, genet, date)""",
+    f"""SELECT * FROM {_day_sql(COOL, "open")} FULL JOIN {_day_sql(WARM, "alive")} USING (tank, genet, date)
+      FULL JOIN {_day_sql(HOT, "sized")} USING (tank, genet, date)""",
 )
 def _c01(spark, sf):
-    parts = [_day(spark, sf, 0, "open"), _day(spark, sf, 1, "alive"), _day(spark, sf, 2, "sized").drop("time")]
+    parts = [_day(spark, sf, COOL, "open"), _day(spark, sf, WARM, "alive"), _day(spark, sf, HOT, "sized").drop("time")]
     return joins.full_panel(parts, ["tank", "genet", "date"])
 
 
@@ -86,7 +89,7 @@ def _c05(spark, sf):
 
 
 RANGES = """(SELECT n_nationkey, n_name, TIMESTAMP '2024-01-02' + to_hours(n_nationkey * 26) AS lo,
-  TIMESTAMP '2024-01-02' + to_hours(n_nationkey * 26 + 60) AS hi FROM nation WHERE n_nationkey % 6 <> 0)"""
+  TIMESTAMP '2024-01-02' + to_hours(n_nationkey * 26 + 60) AS hi FROM nation WHERE n_regionkey <> 2)"""
 
 
 def _ranges(spark, sf):
@@ -94,7 +97,7 @@ def _ranges(spark, sf):
     hours = F.col("n_nationkey") * 26
     return (
         table(spark, sf, "nation")
-        .filter("n_nationkey % 6 <> 0")
+        .filter("n_regionkey <> 2")
         .select(
             "n_nationkey",
             "n_name",
@@ -132,7 +135,7 @@ def _c06b(spark, sf):
 
 @query(
     "c07_range_join",
-    f"""SELECT tank, n_name, count(*) AS n, round(avg(temperature), 6) AS avg_temp, min(temperature) AS min_temp,
+    f"""SELECT tank, n_name, count(*) AS n, round(avg(temperature), 9) AS avg_temp, min(temperature) AS min_temp,
       max(temperature) AS max_temp FROM {TELEMETRY} JOIN {RANGES} ON timestamp BETWEEN lo AND hi GROUP BY ALL""",
 )
 def _c07(spark, sf):
@@ -144,7 +147,7 @@ def _c07(spark, sf):
         F.min("temperature").alias("min_temp"),
         F.max("temperature").alias("max_temp"),
     )
-    return rounded(out, 6, "avg_temp")
+    return rounded(out, 9, "avg_temp")
 
 
 @query(
@@ -169,7 +172,7 @@ def _c08(spark, sf):
 @query(
     "c08_nearest_asof_global",
     """WITH p AS (SELECT date_trunc('hour', ts) AS at, round(avg(value), 6) AS temp_set FROM events
-        WHERE user_id % 2 = 0 GROUP BY ALL),
+        WHERE event_type = 'signup' GROUP BY ALL),
       b AS (SELECT event_id, ts, p.at, p.temp_set FROM events ASOF LEFT JOIN p ON ts >= p.at),
       f AS (SELECT event_id, p.at, p.temp_set FROM events ASOF LEFT JOIN p ON ts <= p.at)
     SELECT event_id, CASE WHEN b.at IS NULL OR f.at - ts < ts - b.at THEN f.temp_set ELSE b.temp_set END AS temp_set
@@ -178,7 +181,7 @@ def _c08(spark, sf):
 def _c08b(spark, sf):
     ev = table(spark, sf, "events")
     profile = (
-        ev.filter("user_id % 2 = 0")
+        ev.filter("event_type = 'signup'")
         .groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at"))
         .agg(F.round(F.avg("value"), 6).alias("temp_set"))
     )

@@ -250,7 +250,7 @@ def _i17(spark, sf):
     return rounded(rounded(out, 6, "skewness", "kurtosis", "p"), 4, "jb")
 
 
-CUST = """(SELECT c_custkey AS id, c_mktsegment AS g, c_acctbal AS a, CAST((c_custkey * 7919) % 1009 AS DOUBLE) AS b FROM customer)"""
+CUST = """(SELECT c_custkey AS id, c_mktsegment AS g, c_acctbal AS a, CAST(c_nationkey AS DOUBLE) AS b FROM customer)"""
 GOWER = f"""s AS (SELECT id, g, a / (SELECT max(a) - min(a) FROM {CUST}) AS a, b / (SELECT max(b) - min(b) FROM {CUST}) AS b
   FROM {CUST})"""
 D = "((abs(x.a - y.a) + abs(x.b - y.b)) / 2)"
@@ -261,7 +261,7 @@ def customers(spark, sf):
         F.col("c_custkey").alias("id"),
         F.col("c_mktsegment").alias("g"),
         F.col("c_acctbal").alias("a"),
-        ((F.col("c_custkey") * 7919) % 1009).cast("double").alias("b"),
+        F.col("c_nationkey").cast("double").alias("b"),
     )
 
 

@@ -77,8 +77,11 @@ def _s03(spark, sf):
     return rounded(out, 6, "avg_temp", "mean_last_3_days", "min_last_3_days", "max_last_3_days")
 
 
-def _cells(rest: int, cols: str) -> str:
-    return f"""(SELECT CAST(timestamp AS DATE) AS date, tank, genet, {cols} FROM {TELEMETRY} WHERE event_id % 5 <> {rest} GROUP BY ALL)"""
+SEEN = {"behavior": "temperature < 120", "counts": "temperature > 5", "sizes": "temperature < 60"}
+
+
+def _cells(part: str, cols: str) -> str:
+    return f"""(SELECT CAST(timestamp AS DATE) AS date, tank, genet, {cols} FROM {TELEMETRY} WHERE {SEEN[part]} GROUP BY ALL)"""
 
 
 PARTS = ", ".join(
@@ -91,11 +94,11 @@ PHASE = "(PARTITION BY tank, genet, mhw ORDER BY date)"
 
 @query(
     "s04_panel_features",
-    f"""WITH b AS {_cells(0, PARTS)},
-      c AS {_cells(1, '''count(*) + 3 AS n, count(*) AS alive, count(*) FILTER (temperature < 30) AS dying_dead,
+    f"""WITH b AS {_cells('behavior', PARTS)},
+      c AS {_cells('counts', '''count(*) + 3 AS n, count(*) AS alive, count(*) FILTER (temperature < 30) AS dying_dead,
         count(*) FILTER (temperature > 80) AS floating, CASE WHEN min(event_id) % 13 <> 0 THEN count(*) FILTER (event_id % 2 = 0) END
         AS removed''')},
-      z AS {_cells(2, "round(avg(temperature), 6) AS avg_biomass_g")},
+      z AS {_cells("sizes", "round(avg(temperature), 6) AS avg_biomass_g")},
       m AS (SELECT *, CASE WHEN date < DATE '2024-01-12' THEN 'during' ELSE 'after' END AS mhw,
         n - coalesce(open, 0) - coalesce(partial_open, 0) - coalesce(partial_closed, 0) - coalesce(closed, 0) AS rest
         FROM b FULL JOIN c USING (date, tank, genet) FULL JOIN z USING (date, tank, genet) WHERE date >= DATE '2024-01-03'),
@@ -119,17 +122,17 @@ def _s04(spark, sf):
     def count(cond):
         return F.count(F.when(cond, 1))
 
-    behavior = t.filter("event_id % 5 <> 0").groupBy(*keys).agg(
+    behavior = t.filter(SEEN["behavior"]).groupBy(*keys).agg(
         *[F.nullif(count(v.between(a, b)), F.lit(0)).alias(c) for c, (a, b) in bounds.items()]
     )
-    counts = t.filter("event_id % 5 <> 1").groupBy(*keys).agg(
+    counts = t.filter(SEEN["counts"]).groupBy(*keys).agg(
         (F.count(F.lit(1)) + 3).alias("n"),
         F.count(F.lit(1)).alias("alive"),
         count(v < 30).alias("dying_dead"),
         count(v > 80).alias("floating"),
         F.when(F.min("event_id") % 13 != 0, count(F.col("event_id") % 2 == 0)).alias("removed"),
     )
-    sizes = t.filter("event_id % 5 <> 2").groupBy(*keys).agg(F.round(F.avg("temperature"), 6).alias("avg_biomass_g"))
+    sizes = t.filter(SEEN["sizes"]).groupBy(*keys).agg(F.round(F.avg("temperature"), 6).alias("avg_biomass_g"))
     merged = pn.merge_panel(behavior, counts, sizes, keys, "2024-01-03", "2024-01-12")
     out = pn.growth_features(merged, ["tank", "genet"], chunk="week")
     cols = ["mhw", "percent_open", "removed_cum", "n_true", "growth_rate_cont", "diff_n", "growth_rate", "total_biomass"]

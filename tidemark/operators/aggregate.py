@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.special import t_quantile_expr
-from tidemark.operators.ordered import as_list, chunk_of, running, value_chunk
+from tidemark.operators.ordered import CHUNK, SERIES, as_list, keyed, running, value_chunk
 from tidemark.session import cut_lineage
 
 _STATS = {
@@ -176,11 +176,17 @@ def dispersion(df: DataFrame, by, c: str) -> DataFrame:
 
 
 def collect_series(df: DataFrame, by, order, c: str, chunk=None, out: str = "series") -> DataFrame:
-    """Ordered array of values per series and chunk (a day or month by default), so an array stays bounded."""
+    """Ordered array of values per series and chunk (a day or month by default), so an array stays bounded.
+
+    A chunk with too many rows gives several arrays, numbered by ``part``.
+    """
     by, order = as_list(by), as_list(order)
-    keyed = df.withColumn("chunk", chunk_of(df, order, chunk))
     pairs = F.array_sort(F.collect_list(F.struct(*order, F.col(c).alias("__c"))))
-    return keyed.groupBy(*by, "chunk").agg(F.transform(pairs, lambda s: s["__c"]).alias(out))
+    grouped = keyed(df, by, order, chunk).groupBy(SERIES).agg(F.transform(pairs, lambda s: s["__c"]).alias(out))
+    key = F.col(SERIES)
+    return grouped.select(
+        *[key[b].alias(b) for b in by], key[CHUNK]["at"].alias("chunk"), key[CHUNK]["part"].alias("part"), out
+    )
 
 
 def coverage(df: DataFrame, by) -> DataFrame:
