@@ -157,14 +157,14 @@ def op9_training_order(spark: SparkSession, sf: str) -> DataFrame:
     r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
-u AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM w),
+u AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
 g AS (
-  SELECT rid, at, word, lead(word, 1) OVER o AS word2, lead(word, 2) OVER o AS word3
-  FROM u WINDOW o AS (PARTITION BY rid ORDER BY at)),
-r AS (SELECT rid, at, word3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, word, word2, word3) > 1 AS again FROM g),
+  SELECT rid, pos, word, lead(word, 1) OVER o AS word2, lead(word, 2) OVER o AS word3
+  FROM u WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+r AS (SELECT rid, pos, word3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, word, word2, word3) > 1 AS again FROM g),
 v AS (
   SELECT rid, again OR coalesce(lag(again, 1) OVER o, false) OR coalesce(lag(again, 2) OVER o, false) AS covered
-  FROM r WINDOW o AS (PARTITION BY rid ORDER BY at)),
+  FROM r WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 n AS (SELECT rid, count(*) FILTER (WHERE covered) AS n_repeat_words FROM v GROUP BY rid),
 k AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
