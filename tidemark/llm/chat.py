@@ -91,8 +91,7 @@ class Flattener:
         return {"segment": "".join(self.pieces), "loss": self.loss, "attachments": self.attachments}
 
 
-@F.arrow_udf(FLAT)
-def flattened(roles: pa.Array, parts: pa.Array) -> pa.Array:
+def _flattened(roles: pa.Array, parts: pa.Array) -> pa.Array:
     out = []
     for role, turn in zip(roles.to_pylist(), parts.to_pylist(), strict=True):
         visitor = Flattener(role or "")
@@ -121,7 +120,7 @@ def format_chats(
     parts = F.col(parts_col) if parts_col else text_part(F.col(text_col))
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts")
-    ).withColumn("flat", flattened("role", "parts"))
+    ).withColumn("flat", F.arrow_udf(_flattened, FLAT)("role", "parts"))
     along = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "flat.segment")
     size = F.char_length("flat.segment").cast("long")
     placed = rows.select(
@@ -153,9 +152,12 @@ def format_chats(
 READ = "struct<n_turns: long, turns_sha256: string, loss_chars: long, loss_sha256: string>"
 
 
-@F.arrow_udf(READ)
-def read_back(formatted: pa.Array, loss_spans: pa.Array) -> pa.Array:
+def read_back(formatted: Column, loss_spans: Column) -> Column:
     """What a reader of the output finds: the turns it holds, and the text under the loss mask."""
+    return F.arrow_udf(_read_back, READ)(formatted, loss_spans)
+
+
+def _read_back(formatted: pa.Array, loss_spans: pa.Array) -> pa.Array:
     out = []
     for text, mask in zip(formatted.to_pylist(), loss_spans.to_pylist(), strict=True):
         turns, at = [], 0

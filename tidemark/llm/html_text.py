@@ -168,12 +168,11 @@ def main_text(html: str) -> str:
     return "\n\n".join(x.text for x in content(parser.lines))
 
 
-@F.arrow_udf("string")
-def extracted(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _extracted(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in pages:
         yield pa.array([main_text(h.as_py() or "") for h in batch], pa.string())
 
 
 def main_texts(pages: DataFrame, html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
     """Every row with its main ``text``."""
-    return unpacked(pages.select(packed(pages, carry), extracted(F.col(html_col)).alias("text")), "text")
+    return unpacked(pages.select(packed(pages, carry), F.arrow_udf(_extracted, "string")(F.col(html_col)).alias("text")), "text")

@@ -169,14 +169,17 @@ def spans(text: str) -> list[tuple[str, int, int]]:
 SPANS = "array<struct<kind: string, start: long, end: long>>"
 
 
-@F.arrow_udf(SPANS)
-def found_spans(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _found_spans(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     for batch in texts:
         found = [spans(t.as_py() or "") for t in batch]
         yield pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], kind)
 
 
+def found_spans(text: Column) -> Column:
+    return F.arrow_udf(_found_spans, SPANS)(text)
+
+
 def personal_data(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Every row with ``spans``: array of (kind, start, end), end exclusive, in code points."""
     return unpacked(docs.select(packed(docs, carry), found_spans(F.col(text_col)).alias("spans")), "spans")

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import packed, unpacked, written
 
@@ -56,8 +56,7 @@ def measure(text: str) -> tuple[int, int, int, int, int]:
     return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-@F.arrow_udf(f"struct<{', '.join(x.replace(' ', ': ') for x in MEASURES.split(', '))}>")
-def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [x.split()[0] for x in MEASURES.split(", ")]
     for batch in texts:
         found = [measure(t or "") for t in batch.to_pylist()]
@@ -65,6 +64,10 @@ def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
+def measured(text: Column) -> Column:
+    return F.arrow_udf(_measured, f"struct<{', '.join(x.replace(' ', ': ') for x in MEASURES.split(', '))}>")(text)
+
+
 def host_rates(rows: DataFrame) -> DataFrame:
     """Documents, failures and drawn failure rate of each host.
 

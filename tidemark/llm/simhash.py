@@ -199,7 +199,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, part_rows: int = PART_ROWS)
 
 
 def components(found: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b); the root is a component's smallest node."""
+    """(node, root) of every linked node but the roots; the root is a component's smallest node."""
     edges = found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, before = written(edges, "links"), None
     while True:
