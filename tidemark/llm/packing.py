@@ -252,7 +252,7 @@ def packed_documents(
     """One row per piece: the carried columns, ``piece``, ``start``, ``length``, ``ids_crc32``, ``ids`` if asked for,
     ``sequence_id`` and ``offset``."""
     cut = docs.select(
-        packed(docs, carry), F.col(id_col).alias("id"), F.explode(pieces(capacity, vocabulary, end, with_ids)(F.col(text_col))).alias("p")
+        packed(docs, carry), F.col(id_col).alias("id"), F.explode(pieces(capacity, vocabulary, end, "<u4" if with_ids else None)(F.col(text_col))).alias("p")
     ).select("row", "id", "p.*")
     table = written(cut if with_ids else cut.drop("ids"), "pieces")
     outputs = ["piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"]

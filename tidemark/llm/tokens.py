@@ -80,23 +80,38 @@ class Pieces(dict):
             return self.by_tokenizer(text)
         return b"".join(map(self.of_chunk, SPACES.split(text)))
 
-    def of_block(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, plain ones together by their distinct chunks."""
+    def reduced(self, texts: list[str]) -> tuple[list[bool], list[bytes], np.ndarray, np.ndarray]:
+        """Which texts are plain; ids of their distinct chunks; the chunks of all of them in order; each text's bounds there."""
         plain = [bool(PLAIN.fullmatch(t)) and not any(x in t for x in self.added) for t in texts]
         block = pa.array([t.lower() if p else "" for t, p in zip(texts, plain, strict=True)], pa.large_string())
         # Marks that end a word are pieces of their own; apart from it, fewer chunks differ.
         chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(block, *MARKS))
         found = chunks.flatten().dictionary_encode()
         known = list(map(self.of_chunk, found.dictionary.to_pylist()))
+        return plain, known, found.indices.to_numpy(), chunks.offsets.to_numpy()
+
+    def of_block(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text."""
+        plain, known, at, offsets = self.reduced(texts)
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        every, start, at = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, found.indices.to_numpy()
-        count = size[at]
+        every, start, count = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size, size[at]
         ends = np.cumsum(count)
-        ids = every[np.repeat((start[at] - ends + count).astype(np.int32), count) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        bounds = np.concatenate([[0], ends])[chunks.offsets.to_numpy()]
+        ids = every[
+            np.repeat((start[at] - ends + count).astype(np.int32), count)
+            + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        ]
+        bounds = np.concatenate([[0], ends])[offsets]
         for text, p, a, b in zip(texts, plain, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             yield ids[a:b].tobytes() if p else self.ids(text)
 
+    def counts(self, texts: list[str]) -> Iterator[int]:
+        """Number of ids of each text."""
+        plain, known, at, offsets = self.reduced(texts)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ends = np.concatenate([[0], np.cumsum(size[at])])[offsets]
+        for text, p, n in zip(texts, plain, np.diff(ends).tolist(), strict=True):
+            yield n if p else len(self.ids(text)) // 4
+
     def by_tokenizer(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -114,25 +129,46 @@ def known_pieces(vocabulary: str) -> Pieces:
     return cache[vocabulary]
 
 
+def blocks(batch: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, some bytes at a time."""
+    block, held = [], 0
+    for value in batch:
+        block.append(text := value.as_py() or "")
+        held += len(text)
+        if held > BLOCK:
+            yield block
+            block, held = [], 0
+    yield block
+
+
 PIECE = "struct<piece: int, start: long, length: int, ids_crc32: long, ids: binary>"
 
 
-def pieces(size: int, vocabulary: str = VOCABULARY, end: int = END, with_ids: bool = False):
+def pieces(size: int, vocabulary: str = VOCABULARY, end: int = END, ids_as: str | None = None):
     """Expression of a text: its ids and ``end``, cut into pieces of at most ``size``.
 
-    ``ids`` are little-endian 32-bit numbers, null unless asked for; ``ids_crc32`` is their checksum.
+    ``ids_crc32`` is the checksum of the ids as little-endian 32-bit numbers; ``ids`` holds them as numbers of the type
+    ``ids_as`` (``<u4`` or ``<u2``), or is null.
     """
     last = array("I", [end]).tobytes()
     kind = pa.struct(
         [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]
     )
 
-    def cut(ids: bytes) -> list[tuple]:
+    def stored(ids: bytes) -> bytes | None:
+        if ids_as in (None, "<u4"):
+            return ids if ids_as else None
+        numbers = np.frombuffer(ids, "<u4")
+        if numbers.max() > np.iinfo(ids_as).max:
+            raise ValueError(f"token ids need more than {ids_as}")
+        return numbers.astype(ids_as).tobytes()
+
+    def cut(ids: bytes) -> list[dict]:
         from zlib import crc32
 
         parts = [ids[at : at + 4 * size] for at in range(0, len(ids), 4 * size)]
         return [
-            {"piece": k, "start": k * size, "length": len(p) // 4, "ids_crc32": crc32(p), "ids": p if with_ids else None}
+            {"piece": k, "start": k * size, "length": len(p) // 4, "ids_crc32": crc32(p), "ids": stored(p)}
             for k, p in enumerate(parts)
         ]
 
@@ -140,14 +176,18 @@ def pieces(size: int, vocabulary: str = VOCABULARY, end: int = END, with_ids: bo
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = known_pieces(vocabulary)
         for batch in texts:
-            out, block, held = [], [], 0
-            for value in batch:
-                block.append(text := value.as_py() or "")
-                held += len(text)
-                if held > BLOCK:
-                    out += [cut(ids + last) for ids in known.of_block(block)]
-                    block, held = [], 0
-            out += [cut(ids + last) for ids in known.of_block(block)]
-            yield pa.array(out, pa.list_(kind))
+            yield pa.array([cut(ids + last) for block in blocks(batch) for ids in known.of_block(block)], pa.list_(kind))
+
+    return of
+
+
+def piece_counts(size: int, vocabulary: str = VOCABULARY):
+    """Expression of a text: the number of its pieces, without making them."""
+
+    @F.arrow_udf("long")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = known_pieces(vocabulary)
+        for batch in texts:
+            yield pa.array([n // size + 1 for block in blocks(batch) for n in known.counts(block)], pa.int64())
 
     return of

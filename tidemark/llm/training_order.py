@@ -1,13 +1,15 @@
 """Training-order materialisation: sequences in a keyed random order, as fixed-stride files.
 
-Sequences are numbered densely; a keyed Feistel network over the next even power of two, walked on until it lands below
+Sequences are numbered densely: one pass counts them per task of the scan, the next numbers them from there on, as
+``zipWithIndex`` does, so nothing but the files and one shuffle holds the ids. A keyed Feistel network over the next even power of two, walked on until it lands below
 their number, sends each number to a global slot: a permutation that needs no shuffle buffer and that anyone with the key
 can invert. Slots are cut into shards by range; each shard is sorted by slot in one task and written as one file of
 fixed-stride records, so a reader finds slot k at (k mod rows per shard) x stride and can resume anywhere.
 
 Record: id (8 bytes), piece (4), length (4), then the token ids, 2 bytes each, padded with zeros; all little-endian. Files
 are written under a name of the attempt and renamed when whole, with equal contents in every attempt, so a task that is
-run again does no harm. The manifest lists each shard's rows, bytes and checksum.
+run again does no harm. A writer fails unless the slots of its shard follow one another without a gap, which also guards the
+numbering. The manifest lists each shard's rows, bytes and checksum.
 
 Cases: a null or empty text is a sequence of the end id; a null id is written as the least 64-bit number and read as null;
 longer texts are cut into pieces of the sequence length, none is dropped; repeated rows are sequences of their own; an
@@ -27,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.tokens import END, VOCABULARY, pieces
+from tidemark.llm.tokens import END, VOCABULARY, piece_counts, pieces
 from tidemark.session import checkpoint_root
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,7 +76,7 @@ def slots(n: int, key: int):
     return of
 
 
-def _writer(folder: str, length: int):
+def _writer(folder: str, length: int, shard_rows: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
@@ -90,15 +92,13 @@ def _writer(folder: str, length: int):
                 done.append({"shard": now["shard"], "rows": now["rows"], "bytes": now["bytes"], "crc32": now["crc32"], "file": f"{folder}/{name}"})
 
         for batch in batches:
-            shard = batch["shard"].to_numpy()
+            shard, slot = batch["shard"].to_numpy(), batch["slot"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             records = np.zeros(len(shard), record_type(length))
             records["id"] = batch["id"].fill_null(NO_ID).to_numpy()
             records["piece"], records["length"] = batch["piece"].to_numpy(), batch["length"].to_numpy()
             for k, ids in enumerate(batch["ids"]):
-                tokens = np.frombuffer(ids.as_buffer(), "<u4")
-                if len(tokens) and tokens.max() > 0xFFFF:
-                    raise ValueError("token ids need more than 2 bytes")
+                tokens = np.frombuffer(ids.as_buffer(), "<u2")
                 records["ids"][k, : len(tokens)] = tokens
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -108,6 +108,8 @@ def _writer(folder: str, length: int):
                     s = int(shard[a])
                     out = store.open_output_stream(f"{path}/.shard-{s:06d}.bin.{attempt}")
                     now = {"shard": s, "rows": 0, "bytes": 0, "crc32": 0, "out": out}
+                if (slot[a:b] != np.arange(b - a) + shard[a] * shard_rows + now["rows"]).any():
+                    raise ValueError(f"shard {shard[a]}: slots with gaps or repeats")
                 data = records[a:b].tobytes()
                 now["out"].write(data)
                 now |= {"rows": now["rows"] + b - a, "bytes": now["bytes"] + len(data), "crc32": crc32(data, now["crc32"])}
@@ -132,24 +134,23 @@ def write_training_order(
     """Writes the shards below ``folder`` (by default a new one in the shared folder) and returns the manifest:
     (shard, rows, bytes, crc32, file)."""
     spark = docs.sparkSession
-    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(pieces(length, vocabulary, end, True)(F.col(text_col))).alias("p"))
-    table = written(cut.select("id", "p.piece", "p.length", "p.ids", F.monotonically_increasing_id().alias("at")), "sequences")
-    # The stored place is (task, row of the task); rows are dense in each task, so counts per task make them dense in all.
-    task = F.shiftright("at", 33)
-    tasks = table.groupBy(task.alias("task")).agg(F.count("*").alias("n"))
-    starts = written(
-        tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("first"), "n"), "starts"
-    )
+    counts = docs.select(F.spark_partition_id().alias("task"), piece_counts(length, vocabulary)(F.col(text_col)).alias("n"))
+    tasks = counts.groupBy("task").agg(F.sum("n").alias("n"))
+    starts = written(tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("first"), "n"), "starts")
     n = starts.agg(F.sum("n")).first()[0] or 0
     folder = folder or f"{checkpoint_root(spark)}/tidemark-llm/order-{uuid.uuid4().hex}"
     _make(folder)
+    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(pieces(length, vocabulary, end, "<u2")(F.col(text_col))).alias("p"))
+    placed = cut.select("id", "p.piece", "p.length", "p.ids", F.monotonically_increasing_id().alias("at"))
+    placed = placed.withColumn("task", F.shiftright("at", 33).cast("int"))
+    # One row per task of the scan, of which the driver keeps far more than that.
     number = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
-    numbered = table.withColumn("task", task).join(starts.select("task", "first"), "task").withColumn("number", number)
+    numbered = placed.join(F.broadcast(starts.select("task", "first")), "task").withColumn("number", number)
     dealt = numbered.select("id", "piece", "length", "ids", slots(n, key)("number").alias("slot"))
     dealt = dealt.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
     shards = max(1, -(-n // shard_rows))
     sorted_ = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
-    manifest = sorted_.mapInArrow(_writer(folder, length), "shard long, rows long, bytes long, crc32 long, file string")
+    manifest = sorted_.mapInArrow(_writer(folder, length, shard_rows), "shard long, rows long, bytes long, crc32 long, file string")
     return written(manifest, "manifest")
 
 
