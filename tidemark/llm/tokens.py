@@ -27,9 +27,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VOCABULARY = "word_bpe_49k.json"
 #: Id that ends a document; pieces that a worker remembers (and a quarter as many chunks of several).
-END, REMEMBERED = 1, 500_000
+END, REMEMBERED = 1, 300_000
 #: Bytes of text that are reduced to distinct chunks at a time.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 
 #: Fixed values of the tokenizer's format: its white space, plain text, and the pieces of plain text in lower case.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
