@@ -14,6 +14,8 @@ from tidemark.session import checkpoint_root
 # Functions for Python workers travel by value, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows up to which a side of a join is broadcast; their number is counted before.
+BROADCAST_ROWS = 20_000
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,6 +46,11 @@ def unpacked(df: DataFrame, *outputs: str) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in names], *outputs)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a stored table of ``rows`` rows) marked for broadcast if it is small; else Spark joins it by its key."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python process of a worker, across tasks."""
     return vars(sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")))

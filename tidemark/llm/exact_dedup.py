@@ -33,8 +33,8 @@ def folded(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _digit(at: int, width: int) -> Column:
-    return F.substring(folded(F.col("text")).cast("binary"), at + 1, width)
+def _digit(text: Column, at: int, width: int) -> Column:
+    return F.substring(folded(text).cast("binary"), at + 1, width)
 
 
 def exact_groups(
@@ -42,17 +42,17 @@ def exact_groups(
 ) -> DataFrame:
     """Every row with ``keep_id`` (the largest id of its group), ``group_size``, ``kept`` and ``text_sha256``.
 
-    ``carry`` names the input columns to return (all by default). The digest is output only; nothing is compared by it.
+    ``carry`` names the input columns to return (all by default); ``text_col`` may be a field of one of them, and the text
+    is then not held twice. The digest is output only; nothing is compared by it.
     """
-    rows = docs.select(packed(docs, carry), F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns(
-        {
-            "sha": F.unhex(F.sha2(folded(F.col("text")), 256)),
-            "length": F.octet_length(folded(F.col("text"))),
-        }
-    )
-    first = rows.select("length", _digit(0, FIRST_DIGIT).alias("digit"))
+    held = carry is None or text_col.split(".")[0] in carry
+    text = F.col(f"row.{text_col}") if held else F.col("text")
+    own = [] if held else ["text"]
+    rows = docs.select(packed(docs, carry), F.col(id_col).alias("id"), *[F.col(text_col).alias(c) for c in own])
+    rows = rows.withColumns({"sha": F.unhex(F.sha2(folded(text), 256)), "length": F.octet_length(folded(text))})
+    first = rows.select("length", _digit(text, 0, FIRST_DIGIT).alias("digit"))
     shared = first.groupBy("length", "digit").agg(F.count("*").alias("n")).filter("n > 1")
-    tagged = rows.withColumn("digit", _digit(0, FIRST_DIGIT)).join(
+    tagged = rows.withColumn("digit", _digit(text, 0, FIRST_DIGIT)).join(
         shared.select("length", "digit", F.lit(True).alias("more")), ["length", "digit"], "left"
     )
     one = ~F.coalesce(F.col("more"), F.lit(False))
@@ -65,7 +65,7 @@ def exact_groups(
             F.monotonically_increasing_id().alias("rid"),
             F.lit(0).cast("long").alias("group"),
             one.alias("done"),
-            F.when(~one, F.col("text")).alias("text"),
+            *[F.when(~one, F.col(c)).alias(c) for c in own],
             F.col("id").alias("keep_id"),
             F.lit(1).cast("long").alias("group_size"),
             F.lit(True).alias("kept"),
@@ -74,7 +74,7 @@ def exact_groups(
     )
     finished, at, width = [table.filter("done")], 0, FIRST_DIGIT + SECOND_DIGIT
     while True:
-        left = table.filter("not done").withColumn("digit", _digit(at, width))
+        left = table.filter("not done").withColumn("digit", _digit(text, at, width))
         counted = left.groupBy("group", "length", "digit").agg(
             F.count("*").alias("n"), F.max(F.struct("id", "rid")).alias("last")
         )
@@ -89,7 +89,7 @@ def exact_groups(
                 "rid",
                 F.col("last.rid").alias("group"),
                 ((F.col("n") == 1) | ended).alias("done"),
-                F.when((F.col("n") > 1) & ~ended, F.col("text")).alias("text"),
+                *[F.when((F.col("n") > 1) & ~ended, F.col(c)).alias(c) for c in own],
                 F.col("last.id").alias("keep_id"),
                 F.col("n").alias("group_size"),
                 (F.col("last.rid") == F.col("rid")).alias("kept"),

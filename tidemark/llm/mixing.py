@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import WORD, packed, unpacked, written
+from tidemark.llm.common import WORD, packed, small, unpacked, written
 
 UNIT_BITS = 24
 UNIT = 1 << UNIT_BITS
@@ -143,10 +143,15 @@ def mix(
         F.least(F.ceil(F.col("n") / cell_rows), F.lit(65536)).alias("parts"),
     )
 
+    full = written(full, "mix-full")
+    n_full = full.count()
+
     def cut(df: DataFrame) -> DataFrame:
+        if not n_full:
+            return df.withColumn("part", F.lit(0).cast("long"))
         part = F.floor(F.conv(F.substring("tie", 1, 4), 16, 10).cast("long") * F.col("parts") / 65536)
         same = F.col("source").eqNullSafe(F.col("full_source")) & (F.col("size") == F.col("full_size"))
-        return df.join(full, same, "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).drop(*full.columns)
+        return df.join(small(full, n_full), same, "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).drop(*full.columns)
 
     along = Window.partitionBy("source").orderBy(F.desc("size"), "part")
     starts = (

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import packed, small, unpacked, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,7 +69,7 @@ def measured(text: Column) -> Column:
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """Documents, failures and drawn failure rate of each host.
+    """Documents, failures and drawn failure rate of each host (column ``rated``).
 
     The prior's mean is the rate of all documents; its strength follows from how much more the hosts' rates vary than
     counting alone explains (moments, weighted by documents), between 1 and a million.
@@ -77,6 +77,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
     hosts = rows.groupBy("host").agg(
         F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
     )
+    hosts = written(hosts, "hosts")
     docs, failed, n, squares = hosts.agg(
         F.sum("host_docs"),
         F.sum("host_failed"),
@@ -85,7 +86,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
     ).first()
     mean, strength = fitted_prior(docs or 0, failed or 0, n, squares or 0.0)
     drawn = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", drawn)
+    return small(hosts.select(F.col("host").alias("rated"), "host_docs", "host_failed", drawn.alias("host_rate")), n)
 
 
 def fitted_prior(docs: int, failed: int, hosts: int, squares: float) -> tuple[float, float]:
@@ -110,7 +111,7 @@ def quality(
     rows = docs.select(packed(docs, carry), F.col(host_col).alias("host"), measured(F.col(text_col)).alias("m"))
     failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT * F.col("m.n_words"))
     rows = written(rows.select("row", "host", "m.*", failed.alias("base_failed")), "quality")
-    rates = host_rates(rows).withColumnRenamed("host", "rated")
+    rates = host_rates(rows)
     joined = rows.join(rates, F.col("host").eqNullSafe(F.col("rated")))
     joined = joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
     return unpacked(joined, *names, "base_failed", "host_docs", "host_failed", "host_rate", "kept")
