@@ -21,15 +21,16 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import written
-from tidemark.llm.tokens import END, VOCABULARY, piece_counts, pieces
+from tidemark.llm.tokens import END, VOCABULARY, blocks, known_pieces, piece_counts
 from tidemark.session import checkpoint_root
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,12 +69,37 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS, back:
     return out.astype(np.int64)
 
 
-def slots(n: int, key: int):
-    @F.arrow_udf("long")
-    def of(numbers: pa.Array) -> pa.Array:
-        return pa.array(permuted(numbers.to_numpy(zero_copy_only=False), n, key))
+def _numbered(first: dict[int, int], n: int, key: int, length: int, vocabulary: str, end: int):
+    """Rows (id, text) of a task, whose pieces are numbered from ``first`` of the task on, as rows with their slots."""
 
-    return of
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        known, last = known_pieces(vocabulary), np.array([end], "<u4").tobytes()
+        at = first.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            ids, row = batch["id"].fill_null(NO_ID).to_numpy(), 0
+            for block in blocks(batch["text"]):
+                flat = [np.frombuffer(x + last, "<u4") for x in known.of_block(block)]
+                if any(x.max() > 0xFFFF for x in flat):
+                    raise ValueError("token ids need more than 2 bytes")
+                parts = [(i, k, x[a : a + length]) for i, x in enumerate(flat) for k, a in enumerate(range(0, len(x), length))]
+                numbers = np.arange(at, at + len(parts))
+                at += len(parts)
+                own = np.fromiter((p[0] for p in parts), np.int64, len(parts)) + row
+                row += len(block)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[own]),
+                        pa.array(np.fromiter((p[1] for p in parts), np.int32, len(parts))),
+                        pa.array(np.fromiter((len(p[2]) for p in parts), np.int32, len(parts))),
+                        pa.array([p[2].astype("<u2").tobytes() for p in parts], pa.binary()),
+                        pa.array(permuted(numbers, n, key)),
+                    ],
+                    ["id", "piece", "length", "ids", "slot"],
+                )
+
+    return number
 
 
 def _writer(folder: str, length: int, shard_rows: int):
@@ -95,7 +121,7 @@ def _writer(folder: str, length: int, shard_rows: int):
             shard, slot = batch["shard"].to_numpy(), batch["slot"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             records = np.zeros(len(shard), record_type(length))
-            records["id"] = batch["id"].fill_null(NO_ID).to_numpy()
+            records["id"] = batch["id"].to_numpy()
             records["piece"], records["length"] = batch["piece"].to_numpy(), batch["length"].to_numpy()
             for k, ids in enumerate(batch["ids"]):
                 tokens = np.frombuffer(ids.as_buffer(), "<u2")
@@ -135,18 +161,17 @@ def write_training_order(
     (shard, rows, bytes, crc32, file)."""
     spark = docs.sparkSession
     counts = docs.select(F.spark_partition_id().alias("task"), piece_counts(length, vocabulary)(F.col(text_col)).alias("n"))
-    tasks = counts.groupBy("task").agg(F.sum("n").alias("n"))
-    starts = written(tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("first"), "n"), "starts")
-    n = starts.agg(F.sum("n")).first()[0] or 0
+    # One row per task of the scan.
+    tasks = sorted(map(tuple, counts.groupBy("task").agg(F.sum("n")).collect()))
+    ends = list(accumulate(k for _, k in tasks))
+    n = ends[-1] if ends else 0
+    first = {task: end_ - k for (task, k), end_ in zip(tasks, ends, strict=True)}
     folder = folder or f"{checkpoint_root(spark)}/tidemark-llm/order-{uuid.uuid4().hex}"
     _make(folder)
-    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(pieces(length, vocabulary, end, "<u2")(F.col(text_col))).alias("p"))
-    placed = cut.select("id", "p.piece", "p.length", "p.ids", F.monotonically_increasing_id().alias("at"))
-    placed = placed.withColumn("task", F.shiftright("at", 33).cast("int"))
-    # One row per task of the scan, of which the driver keeps far more than that.
-    number = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
-    numbered = placed.join(F.broadcast(starts.select("task", "first")), "task").withColumn("number", number)
-    dealt = numbered.select("id", "piece", "length", "ids", slots(n, key)("number").alias("slot"))
+    # Tokenizing, numbering and the permutation share one Python process per task.
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        _numbered(first, n, key, length, vocabulary, end), "id long, piece int, length int, ids binary, slot long"
+    )
     dealt = dealt.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
     shards = max(1, -(-n // shard_rows))
     sorted_ = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
