@@ -60,13 +60,12 @@ def _f05(spark, sf):
 
 @query(
     "g01_append",
-    f"""SELECT event_id, temperature FROM {TELEMETRY} WHERE tank < 4 UNION ALL
-      SELECT event_id, temperature FROM {TELEMETRY} WHERE genet = 'view'""",
+    f"SELECT event_id, temperature FROM {TELEMETRY} UNION ALL SELECT event_id, -temperature AS temperature FROM {TELEMETRY}",
 )
 def _g01(spark, sf):
     t = telemetry(spark, sf)
     return sel.append(
-        t.filter("tank < 4").select("event_id", "temperature"), t.filter("genet = 'view'").select("temperature", "event_id")
+        t.select("event_id", "temperature"), t.select((-F.col("temperature")).alias("temperature"), "event_id")
     )
 
 
@@ -75,23 +74,13 @@ def _g02(spark, sf):
     return sel.distinct(table(spark, sf, "lineitem"), ["l_suppkey", "l_returnflag", "l_linestatus"])
 
 
-@query(
-    "g03_common_keys",
-    """SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT
-      SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45""",
-)
+@query("g03_common_keys", "SELECT l_partkey FROM lineitem INTERSECT SELECT 3 * l_suppkey FROM lineitem")
 def _g03(spark, sf):
     li = table(spark, sf, "lineitem")
-    return sel.common_keys(
-        li.filter("l_returnflag = 'A'").select("l_partkey"),
-        li.filter("l_returnflag = 'R' AND l_quantity > 45").select("l_partkey"),
-    )
+    return sel.common_keys(li.select("l_partkey"), li.select((F.col("l_suppkey") * 3).alias("l_partkey")))
 
 
-@query(
-    "g04_minus_keys",
-    "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000",
-)
+@query("g04_minus_keys", "SELECT c_custkey FROM customer EXCEPT SELECT 2 * o_custkey FROM orders")
 def _g04(spark, sf):
-    rich = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
-    return sel.minus_keys(table(spark, sf, "customer").select("c_custkey"), rich)
+    other = table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"))
+    return sel.minus_keys(table(spark, sf, "customer").select("c_custkey"), other)

@@ -78,14 +78,16 @@ def _h01(spark, sf):
 
 @query(
     "h02_complete_days",
-    """WITH d AS (SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS t, avg(sqrt(l_extendedprice)) AS temp FROM lineitem
-      WHERE l_tax > 0.06 GROUP BY ALL),
+    """WITH d AS (SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS t, avg(CASE WHEN l_tax > 0.06 THEN sqrt(l_extendedprice) END) AS temp
+      FROM lineitem GROUP BY ALL),
       cal AS (SELECT site, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM d GROUP BY site)
     SELECT site, t, round(temp, 5) AS temp FROM cal LEFT JOIN d USING (site, t)""",
 )
 def _h02(spark, sf):
-    kept = table(spark, sf, "lineitem").filter("l_tax > 0.06").select(
-        F.col("l_returnflag").alias("site"), F.col("l_shipdate").alias("ts"), F.sqrt("l_extendedprice").alias("temp")
+    kept = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("site"),
+        F.col("l_shipdate").alias("ts"),
+        F.when(F.col("l_tax") > 0.06, F.sqrt("l_extendedprice")).alias("temp"),
     )
     return rounded(hw.complete_days(hw.daily_series(kept, "site", "ts", "temp"), "site"), 5, "temp")
 

@@ -195,12 +195,11 @@ def coverage(df: DataFrame, by) -> DataFrame:
 
 
 def cov_to_cor(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Correlation matrix in long form (i, j, r), all pairs from one aggregation."""
+    """Correlation matrix in long form (i, j, r), all pairs from one aggregation, each over the rows that have both."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    sd = {c: F.stddev_samp(c) for c in cols}
     cells = []
     for a, b in pairs:
-        r = F.try_divide(F.covar_samp(a, b), sd[a] * sd[b])
+        r = F.corr(a, b)
         for i, j in {(a, b), (b, a)}:
             cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), r.alias("r")))
     return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("m")).select("m.*")

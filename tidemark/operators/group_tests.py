@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -121,18 +122,16 @@ def replicate_constants(b: int, seed: int) -> list[tuple[int, int]]:
     return [(pow(GEN_A, i + 1 + seed, PRIME), pow(GEN_C, i + 1 + seed, PRIME)) for i in range(b)]
 
 
-# Cumulative probabilities of Poisson(1) from 0 up.
-POISSON1 = [
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.999998874797402,
-]
+def poisson1() -> list[float]:
+    """Cumulative probabilities of Poisson(1) from 0 up, to the last one below 1 in double precision."""
+    terms, out = [math.exp(-1)], []
+    while (total := math.fsum(terms)) < 1.0:
+        out.append(total)
+        terms.append(terms[-1] / len(terms))
+    return out
+
+
+POISSON1 = poisson1()
 
 
 def bootstrap_ci(df: DataFrame, by, row_id: str, c: str, b: int, seed: int = 0, lo: float = 0.025, hi: float = 0.975):

@@ -20,7 +20,9 @@ def merge_panel(behavior: DataFrame, counts: DataFrame, sizes: DataFrame, keys:
 
     Tanks below 6 are cold, above 10 extreme, the rest severe. The phase is ``during`` before ``phase_end``.
     """
-    merged = full_panel([behavior, counts, sizes], keys).filter(F.col("date") >= F.lit(since).cast("date"))
+    # ``date`` is a key: a filter above the full joins would not reach the inputs.
+    recent = [x.filter(F.col("date") >= F.lit(since).cast("date")) for x in (behavior, counts, sizes)]
+    merged = full_panel(recent, keys)
     merged = merged.withColumn("treatment", band(F.col("tank"), [6, 11], ["cold", "severe", "extreme"]))
     filled = fill_residual(merged, CATEGORIES, "n")
     n, part = F.col("n"), F.col

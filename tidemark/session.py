@@ -33,9 +33,15 @@ def _local_folder() -> str:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Without that setting only a session in one process (a local test) gets a temporary folder: on a cluster each executor
+    would write to its own disk.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _local_folder()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
