@@ -168,8 +168,10 @@ def mix(
         F.struct("step", "offset", "large", "rest_step").alias("goal"),
     )
     inside = Window.partitionBy("cell").orderBy("tie")
-    placed = cut(rows).withColumn("cell", F.struct("source", "size", "part")).join(starts, "cell")
-    nth = F.col("before") + F.row_number().over(inside)
+    # Ranked before the join, which finds the rows dealt by cell: whole rows are shuffled once.
+    ordered = cut(rows).withColumn("cell", F.struct("source", "size", "part")).withColumn("nth", F.row_number().over(inside))
+    placed = ordered.join(starts, "cell")
+    nth = F.col("before") + F.col("nth")
     crossed = _whole(nth, "goal.") - _whole(nth - 1, "goal.")
     mixed = placed.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return unpacked(mixed, "size", "source_size", "target", "copies", "taken")
