@@ -153,6 +153,12 @@ def mix(
         same = F.col("source").eqNullSafe(F.col("full_source")) & (F.col("size") == F.col("full_size"))
         return df.join(small(full, n_full), same, "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).drop(*full.columns)
 
+    # Plain columns, alike on both sides whatever their nullability; rows ranked by cell are joined without another shuffle.
+    cell = ["cell_source", "cell_null", "size", *["part"] * bool(n_full)]
+
+    def celled(df: DataFrame) -> DataFrame:
+        return df.withColumns({"cell_source": F.coalesce("source", F.lit("")), "cell_null": F.col("source").isNull()})
+
     along = Window.partitionBy("source").orderBy(F.desc("size"), "part")
     starts = (
         cut(narrow)
@@ -160,17 +166,11 @@ def mix(
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(along) - F.col("n"))
     )
-    starts = starts.join(goal, F.col("source").eqNullSafe(F.col("goal_source"))).select(
-        F.struct("source", "size", "part").alias("cell"),
-        "before",
-        "source_size",
-        "target",
-        F.struct("step", "offset", "large", "rest_step").alias("goal"),
+    starts = celled(starts.join(goal, F.col("source").eqNullSafe(F.col("goal_source")))).select(
+        *cell, "before", "source_size", "target", F.struct("step", "offset", "large", "rest_step").alias("goal")
     )
-    inside = Window.partitionBy("cell").orderBy("tie")
-    # Ranked before the join, which finds the rows dealt by cell: whole rows are shuffled once.
-    ordered = cut(rows).withColumn("cell", F.struct("source", "size", "part")).withColumn("nth", F.row_number().over(inside))
-    placed = ordered.join(starts, "cell")
+    inside = Window.partitionBy(*cell).orderBy("tie")
+    placed = celled(cut(rows)).withColumn("nth", F.row_number().over(inside)).join(starts, cell)
     nth = F.col("before") + F.col("nth")
     crossed = _whole(nth, "goal.") - _whole(nth - 1, "goal.")
     mixed = placed.withColumn("copies", crossed.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
