@@ -114,9 +114,8 @@ def _d07(spark, sf):
 )
 def _d08(spark, sf):
     t = telemetry_gaps(spark, sf)
-    seven = agg.quantiles(t, "tank", "temperature", [0.05, 0.5, 0.95])
-    one = agg.quantiles(t, "tank", "temperature", [0.25, 0.9], kind=1, prefix="d")
-    return rounded(seven.join(one, "tank"), 5, "q5", "q50", "q95")
+    both = agg.quantiles(t, "tank", "temperature", [0.05, 0.5, 0.95], inverse={"d25": 0.25, "d90": 0.9})
+    return rounded(both, 5, "q5", "q50", "q95")
 
 
 @query(

@@ -210,9 +210,11 @@ def test_path_model_robust_errors(spark):
 def test_exp_decay_recovers_parameters(spark):
     rows = [("a", float(t), 12 * np.exp(-0.3 * t) + 0.01 * (-1) ** t) for t in range(12)] + [("b", 1.0, 5.0)]
     df = spark.createDataFrame([(k, t, float(v)) for k, t, v in rows], "k string, t double, v double")
-    got = reg.fit_exp_decay(df, "k", "t", "v").collect()
-    assert [r.k for r in got] == ["a"]
+    got = reg.fit_exp_decay(df, "k", "t", "v").orderBy("k").collect()
+    assert [(r.k, r.converged) for r in got] == [("a", True), ("b", False)]
     assert got[0].y0 == pytest.approx(12, abs=0.02) and got[0]["lambda"] == pytest.approx(0.3, abs=0.002)
+    short = reg.fit_exp_decay(df, "k", "t", "v", iters=1).orderBy("k").collect()
+    assert [(r.k, r.converged) for r in short] == [("a", False), ("b", False)] and short[0].y0 == pytest.approx(12, abs=1)
 
 
 def pairs(values, cols):

@@ -1,12 +1,13 @@
 """The chunked operators against plain loops, with chunks far smaller than the series."""
 
+import math
 import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ordered, windows as win
+from tidemark.operators import aggregate, ordered, windows as win
 
 
 def series(n=60, seed=1, keys=("a", "b", None)):
@@ -182,3 +183,19 @@ def test_hot_numeric_chunks_are_split(spark, monkeypatch):
     got = win.row_index(df, "k", "i", "n", chunk=16).collect()
     assert all(r.n == r.i + 41 for r in got)
     assert ordered.keyed(df, ["k"], ["i"], 16).select(ordered.CHUNK).distinct().count() > 5
+
+
+def test_collected_series_do_not_depend_on_how_many_rows_a_chunk_holds(spark, monkeypatch):
+    df = spark.range(40).select(F.lit("k").alias("k"), F.col("id").alias("i"), (F.col("id") * 2).alias("v"))
+    for hot in (3, 10_000_000):
+        monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+        got = aggregate.collect_series(df, "k", "i", "v", chunk=25).orderBy("chunk").collect()
+        assert [(r.chunk, r.series) for r in got] == [(0, list(range(0, 50, 2))), (1, list(range(50, 80, 2)))]
+
+
+def test_quantiles_of_both_kinds_share_one_ranking(spark):
+    rng = random.Random(4)
+    values = [math.exp(rng.gauss(0, 4)) for _ in range(101)]
+    got = aggregate.quantiles(spark.createDataFrame([(v,) for v in values], "v double"), None, "v", [0.9], inverse={"low": 0.25}).first()
+    ranked = sorted(values)
+    assert got.q90 == pytest.approx(ranked[90]) and got.low == ranked[25]

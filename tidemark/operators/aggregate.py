@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.special import t_quantile_expr
-from tidemark.operators.ordered import CHUNK, SERIES, as_list, keyed, running, value_chunk
+from tidemark.operators.ordered import as_list, chunk_of, running, value_chunk
 from tidemark.session import cut_lineage
 
 _STATS = {
@@ -83,11 +83,14 @@ def nested_summary(df: DataFrame, levels: Sequence[Sequence[str]], c: str, fns=(
     return summarise(per, levels[-1], value, fns)
 
 
-def quantiles(df: DataFrame, by, c: str, ps: Sequence[float], kind: int = 7, prefix: str = "q") -> DataFrame:
+def quantiles(
+    df: DataFrame, by, c: str, ps: Sequence[float], kind: int = 7, prefix: str = "q", inverse: dict[str, float] | None = None
+) -> DataFrame:
     """Exact quantiles per group, one column per probability (``q25`` for 0.25).
 
-    Type 7 interpolates, type 1 is the inverse of the distribution function. Equal values are counted, ranks come
-    from running counts over value buckets, so no group is held by one task.
+    Type 7 interpolates, type 1 is the inverse of the distribution function; ``inverse`` names further columns of type 1
+    that share the ranking. Equal values are counted, ranks come from running counts over value buckets, so no group is
+    held by one task.
     """
     by = as_list(by)
     counts = cut_lineage(df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("__m")))
@@ -99,9 +102,9 @@ def quantiles(df: DataFrame, by, c: str, ps: Sequence[float], kind: int = 7, pre
         return F.max(F.when((after < rank) & (rank <= F.col("__to")), F.col(c)))
 
     aggs = []
-    for p in ps:
-        name = f"{prefix}{p * 100:g}".replace(".", "_")
-        if kind == 7:
+    wanted = [(f"{prefix}{p * 100:g}".replace(".", "_"), p, kind) for p in ps]
+    for name, p, kind_ in wanted + [(name, p, 1) for name, p in (inverse or {}).items()]:
+        if kind_ == 7:
             h = (F.col("__n") - 1) * F.lit(float(p))
             low, share = F.floor(h), F.max(h - F.floor(h))
             x, y = at(low + 1), at(F.least(low + 2, F.col("__n")))
@@ -176,17 +179,14 @@ def dispersion(df: DataFrame, by, c: str) -> DataFrame:
 
 
 def collect_series(df: DataFrame, by, order, c: str, chunk=None, out: str = "series") -> DataFrame:
-    """Ordered array of values per series and chunk (a day or month by default), so an array stays bounded.
+    """Ordered array of values per series and chunk (a day or month by default): one row each, however many values.
 
-    A chunk with too many rows gives several arrays, numbered by ``part``.
+    The rows depend on ``chunk`` alone; a shorter one bounds the arrays of a dense series.
     """
     by, order = as_list(by), as_list(order)
     pairs = F.array_sort(F.collect_list(F.struct(*order, F.col(c).alias("__c"))))
-    grouped = keyed(df, by, order, chunk).groupBy(SERIES).agg(F.transform(pairs, lambda s: s["__c"]).alias(out))
-    key = F.col(SERIES)
-    return grouped.select(
-        *[key[b].alias(b) for b in by], key[CHUNK]["at"].alias("chunk"), key[CHUNK]["part"].alias("part"), out
-    )
+    grouped = df.groupBy(*by, chunk_of(df, order, chunk).alias("chunk"))
+    return grouped.agg(F.transform(pairs, lambda s: s["__c"]).alias(out))
 
 
 def coverage(df: DataFrame, by) -> DataFrame:

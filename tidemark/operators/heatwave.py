@@ -206,9 +206,8 @@ def duration_summary(events: DataFrame) -> DataFrame:
         F.min("d").alias("min"),
         F.max("d").alias("max"),
     )
-    upper = quantiles(d, "__g", "d", [0.9, 0.95])
-    quart = quantiles(d, "__g", "d", [0.25, 0.5, 0.75], kind=1)
-    joined = moments.join(upper, "__g").join(quart, "__g").drop("__g")
+    ranked = quantiles(d, "__g", "d", [0.9, 0.95], inverse={"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    joined = moments.join(ranked, "__g").drop("__g")
     return joined.withColumn("se", F.col("sd") / F.sqrt(F.col("n").cast("double")))
 
 

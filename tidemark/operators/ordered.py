@@ -95,15 +95,15 @@ def chunked(df: DataFrame, by, order, chunk=None) -> tuple[DataFrame, Column]:
 def keyed(df: DataFrame, by: list[str], order: list[str], chunk) -> DataFrame:
     """Add the chunk and the shuffle key (series, chunk).
 
-    A chunk with more than ``HOT_ROWS`` rows is cut further, in equal spans of the order column. The chunks that need it
-    number at most (all rows / HOT_ROWS), which bounds the table that is broadcast: a million rows for 10^13.
+    A chunk with more than ``HOT_ROWS`` rows is cut further, in equal spans of the order column. The table of such chunks
+    grows with the data, so Spark picks how to join it from its size at run time.
     """
     rows = df.withColumn(CHUNK, chunk_of(df, order, chunk))
     if not isinstance(chunk, Column):
         counts = rows.groupBy(F.struct(*by, CHUNK).alias(SERIES)).agg(F.count(F.lit(1)).alias("__rows"))
         parts = F.ceil(F.col("__rows") / HOT_ROWS) * PARTS_PER_HOT_CHUNK
         hot = counts.filter(F.col("__rows") > HOT_ROWS).select(SERIES, parts.alias("__parts"))
-        rows = rows.withColumn(SERIES, F.struct(*by, CHUNK)).join(F.broadcast(hot), SERIES, "left").drop(SERIES)
+        rows = rows.withColumn(SERIES, F.struct(*by, CHUNK)).join(hot, SERIES, "left").drop(SERIES)
         part = F.floor(_position(df, order[0], chunk) * F.col("__parts"))
         part = F.when(F.col("__parts").isNotNull(), part).otherwise(F.lit(0))
         rows = rows.withColumn(CHUNK, F.struct(F.col(CHUNK).alias("at"), part.alias("part"))).drop("__parts")

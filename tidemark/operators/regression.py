@@ -249,7 +249,10 @@ def _glm_row(df, name, y, xs, family, link):
 
 
 def fit_exp_decay(df: DataFrame, by, t: str, y: str, iters: int = 30, tol: float = 1e-9) -> DataFrame:
-    """``y = y0 exp(-lambda t)`` per group by Gauss-Newton from a log-linear start; no row without convergence.
+    """``y = y0 exp(-lambda t)`` per group by Gauss-Newton from a log-linear start.
+
+    Every group has a row; ``converged`` tells whether its last step was at most ``tol``. A group without a start (no
+    positive value, or one time only) or without a next step keeps what it has.
 
     Least squares needs only n, sum y and sum y^2 per distinct ``t``: the data are read once, and the steps (one
     aggregation for all groups each) run on that table.
@@ -275,7 +278,7 @@ def fit_exp_decay(df: DataFrame, by, t: str, y: str, iters: int = 30, tol: float
         F.exp(F.try_divide(F.col("l") - F.col("b") * F.col("ct"), F.col("c"))).alias("y0"),
         (-F.col("b")).alias("lambda"),
         F.lit(float("inf")).alias("step"),
-    ).filter("y0 is not null")
+    )
     e = F.exp(-F.col("lambda") * tt)
     g = -F.col("y0") * tt * e
     rest = F.col("sy") - F.col("n") * F.col("y0") * e
@@ -290,16 +293,17 @@ def fit_exp_decay(df: DataFrame, by, t: str, y: str, iters: int = 30, tol: float
         det = F.col("a") * F.col("d") - F.col("b") * F.col("b")
         dy = F.try_divide(F.col("d") * F.col("u") - F.col("b") * F.col("v"), det)
         dl = F.try_divide(F.col("a") * F.col("v") - F.col("b") * F.col("u"), det)
+        known = (dy + dl).isNotNull() & ~F.isnan(dy + dl)
         moved = sums.select(
             *by,
-            (F.col("y0") + dy).alias("y0"),
-            (F.col("lambda") + dl).alias("lambda"),
-            F.greatest(F.abs(F.try_divide(dy, "y0")), F.abs(dl)).alias("step"),
+            F.when(known, F.col("y0") + dy).otherwise(F.col("y0")).alias("y0"),
+            F.when(known, F.col("lambda") + dl).otherwise(F.col("lambda")).alias("lambda"),
+            F.when(known, F.greatest(F.abs(F.try_divide(dy, "y0")), F.abs(dl))).alias("step"),
         )
-        params = cut_lineage(moved.filter("y0 is not null and lambda is not null and not isnan(y0) and not isnan(lambda)"))
+        params = cut_lineage(moved)
         if params.filter(F.col("step") > tol).isEmpty():
             break
-    return params.filter(F.col("step") <= tol).drop("step")
+    return params.withColumn("converged", F.coalesce(F.col("step") <= tol, F.lit(False))).drop("step")
 
 
 def _join(df: DataFrame, params: DataFrame, by: list[str]) -> DataFrame:
