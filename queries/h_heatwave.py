@@ -42,8 +42,9 @@ def ctes(site: str = "'all'", smooth: bool = True) -> str:
     daily AS (SELECT cal.site, cal.t, r.temp, dayofyear(cal.t) + CASE WHEN month(cal.t) >= 3 AND NOT (year(cal.t) % 4 = 0
       AND (year(cal.t) % 100 <> 0 OR year(cal.t) % 400 = 0)) THEN 1 ELSE 0 END AS doy
       FROM cal LEFT JOIN r ON cal.site = r.site AND cal.t = r.t),
-    c0 AS (SELECT site, (doy - 1 + k + 366) % 366 + 1 AS doy, avg(temp) AS seas, quantile_cont(temp, 0.9) AS thresh
-      FROM daily, (SELECT unnest(range(-5, 6)) AS k) WHERE temp IS NOT NULL GROUP BY ALL),
+    c0 AS (SELECT site, CAST(strftime(make_date(2000, month(u), day(u)), '%j') AS INTEGER) AS doy, avg(temp) AS seas,
+      quantile_cont(temp, 0.9) AS thresh FROM (SELECT site, temp, t + CAST(k AS INTEGER) AS u FROM daily,
+        (SELECT unnest(range(-5, 6)) AS k) WHERE temp IS NOT NULL) GROUP BY ALL),
     c1 AS (SELECT * FROM c0 WHERE doy <> 60 UNION ALL SELECT site, 60, avg(seas), avg(thresh) FROM c0
       WHERE doy IN (59, 61) GROUP BY site),
     clim AS (SELECT site, (doy - 1 + k + 366) % 366 + 1 AS doy, avg(seas) AS seas, avg(thresh) AS thresh

@@ -32,7 +32,7 @@ def scale_by_range(df: DataFrame, cols: Sequence[str], by=None) -> DataFrame:
 
 
 def _rank(df: DataFrame, by: list[str], row_id: str, c: str, out: str, extra: dict | None = None) -> DataFrame:
-    chunked = value_chunk(df, by, c)
+    chunked = value_chunk(df, by, c, row_id)
     specs = {out: ("count", F.lit(1)), **(extra or {})}
     return running(chunked, by, [c, row_id], specs, F.col("__bucket")).drop("__bucket")
 
@@ -42,14 +42,14 @@ def cross_sums(df: DataFrame, by, row_id: str, x: str, y: str) -> DataFrame:
     by = as_list(by)
     base = df.select(*by, row_id, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     ranks = {"__r": ("count", F.lit(1)), "__n": ("total", F.lit(1))}
-    chunked = value_chunk(base, by, ["__x", "__y"])
+    chunked = value_chunk(base, by, ["__x", "__y"], row_id)
     sized = cut_lineage(running(chunked, by, ["__x", row_id], ranks, F.col("__bucket___x")).drop("__bucket___x"))
     top = F.greatest(F.ceil(F.log2(F.col("__n").cast("double"))) - 1, F.lit(0)).cast("int")
     split = sized.withColumn("__level", F.explode(F.sequence(F.lit(0), top)))
     step = F.pow(F.lit(2.0), F.col("__level")).cast("long")
     half = F.floor((F.col("__r") - 1) / step)
     split = split.withColumn("__half", half % 2).withColumn("__block", F.floor(half / 2))
-    chunk = F.when(F.col("__level") < SMALL_LEVEL, F.lit(0)).otherwise(F.col("__bucket___y"))
+    chunk = F.when(F.col("__level") >= SMALL_LEVEL, F.col("__bucket___y"))
     parts = {"n": F.lit(1.0), "x": F.col("__x"), "y": F.col("__y"), "xy": F.col("__x") * F.col("__y")}
     specs = {}
     for side in (0, 1):

@@ -165,7 +165,7 @@ def bootstrap_ci(df: DataFrame, by, row_id: str, c: str, b: int, seed: int = 0,
 
 def _with_normal_scores(df: DataFrame, by: list[str], row_id: str, c: str) -> DataFrame:
     known = with_group_stats(df.filter(F.col(c).isNotNull()), by, {"__n": F.count(F.lit(1))})
-    ranked = running(value_chunk(known, by, c), by, [c, row_id], {"__i": ("count", F.lit(1))}, F.col("__bucket"))
+    ranked = running(value_chunk(known, by, c, row_id), by, [c, row_id], {"__i": ("count", F.lit(1))}, F.col("__bucket"))
     out = ranked.withColumn("position", (F.col("__i") - 0.5) / F.col("__n"))
     return out.withColumn("theoretical", normal_quantile_expr(F.col("position")))
 

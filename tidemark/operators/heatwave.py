@@ -38,6 +38,12 @@ def doy366(d: Column) -> Column:
     return F.dayofyear(d) + F.when(~leap & (F.month(d) >= 3), 1).otherwise(0)
 
 
+def _near_days(df: DataFrame, t: str, slot: str, half: int) -> DataFrame:
+    """Copy each day to the slots of the calendar days within ``half`` of it: of common years, none to slot 60."""
+    day = F.explode(F.array(*[F.date_add(F.col(t), k) for k in range(-half, half + 1)])).alias("__day")
+    return df.select("*", day).withColumn(slot, doy366(F.col("__day"))).drop("__day")
+
+
 def _spread(df: DataFrame, slot: str, half: int) -> DataFrame:
     """Copy each row to the slots within ``half`` of its own, around the year's end."""
     near = F.array(*[F.pmod(F.col(slot) - 1 + k, F.lit(SLOTS)) + 1 for k in range(-half, half + 1)])
@@ -53,16 +59,16 @@ def climatology(
     t: str = "t",
     c: str = "temp",
 ) -> DataFrame:
-    """Mean ``seas`` and percentile ``thresh`` per day-of-year slot from the days within ``half_width`` slots.
+    """Mean ``seas`` and percentile ``thresh`` per day-of-year slot from the days within ``half_width`` days.
 
     Slot 60 (Feb 29) is the mean of its neighbours. Days are exploded to their slots, so the rest is one equi-key
-    aggregation; a slot holds (2 half_width + 1) values per year.
+    aggregation; a slot holds (2 half_width + 1) values per year, in common and in leap years.
     """
     site = as_list(site)
     base = daily.filter(F.col(c).isNotNull())
     if period is not None:
         base = base.filter(F.col(t).between(F.lit(period[0]).cast("date"), F.lit(period[1]).cast("date")))
-    slots = _spread(base.select(*site, doy366(F.col(t)).alias("doy"), F.col(c).alias("__v")), "doy", half_width)
+    slots = _near_days(base.select(*site, F.col(t).alias("__t"), F.col(c).alias("__v")), "__t", "doy", half_width)
     clim = slots.groupBy(*site, "doy").agg(
         F.avg("__v").alias("seas"), F.percentile("__v", F.lit(float(pctile))).alias("thresh")
     )

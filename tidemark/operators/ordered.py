@@ -21,6 +21,7 @@ Series keys are compared as one struct, so a NULL key is a series like any other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -36,6 +37,9 @@ SERIES, CHUNK, HEAD, SIZE, CUT = "__series", "__chunk", "__head", "__size", "__c
 HOT_ROWS = 10_000_000
 PARTS_PER_HOT_CHUNK = 16
 
+# Spans of values: rows a span is to hold, and the least number of spans.
+ROWS_PER_SPAN, LEAST_SPANS = 1_000_000, 32
+
 # Longest length of each calendar unit in microseconds.
 DAY_US = 86_400_000_000
 LENGTH_US = {
@@ -245,21 +249,41 @@ def with_group_stats(df: DataFrame, by, stats: dict[str, Column]) -> DataFrame:
     return keyed_rows.join(per, SERIES).select(*df.columns, *stats)
 
 
-def value_chunk(df: DataFrame, by, c, buckets: int = 1024) -> DataFrame:
-    """Add ``__bucket`` = equal-width bucket of ``c`` between the group's extremes (monotone in ``c``).
+def _span(bounds: Column, value: Column, steps: Sequence[int]) -> Column:
+    """Number of sorted bounds at or below the value, by halving."""
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, s: F.when(F.get(bounds, at + s - 1) <= value, at + s).otherwise(at),
+    )
+
+
+def value_chunk(df: DataFrame, by, c, tie: str | None = None) -> DataFrame:
+    """Add ``__bucket``: a span of ``c`` within its group, monotone in ``c``, with about as many rows as the other spans.
 
-    Several columns get ``__bucket_<column>`` each, from one pass.
+    The bounds are quantiles from one mergeable sketch per group, so a skewed column or an outlier does not fill one span;
+    their number follows the number of rows. With ``tie``, a numeric column, the bucket is monotone in (``c``, ``tie``) and
+    a value that fills whole spans alone is cut at quantiles of ``tie``. NULLs are in the first span. Several columns get
+    ``__bucket_<column>`` each, from one pass.
     """
     names = {c: "__bucket"} if isinstance(c, str) else {x: f"__bucket_{x}" for x in c}
-    ends = {}
-    for x in names:
-        ends[f"__lo_{x}"], ends[f"__hi_{x}"] = F.min(x), F.max(x)
-    out = with_group_stats(df, by, ends)
+    rows = df.count()
+    spans = max(LEAST_SPANS, 2 ** math.ceil(math.log2(max(rows, 1) / ROWS_PER_SPAN)))
+    steps = [2**k for k in reversed(range(spans.bit_length() - 1))]
+    shares = [i / spans for i in range(1, spans)]
+    cut = {x: F.percentile_approx(x, shares, max(10_000, 4 * spans)) for x in [*names, *as_list(tie)]}
+    out = with_group_stats(df, by, {f"__at_{x}": q for x, q in cut.items()})
     for x, name in names.items():
-        low = F.col(f"__lo_{x}")
-        width = (F.col(f"__hi_{x}") - low) / F.lit(buckets)
-        out = out.withColumn(name, F.coalesce(F.floor(F.try_divide(F.col(x) - low, width)), F.lit(0)))
-    return out.drop(*ends)
+        bounds, value = F.col(f"__at_{x}"), F.col(x)
+        span = _span(bounds, value, steps)
+        if tie is not None:
+            out = out.withColumn("__span", span)
+            below = [F.get(bounds, F.col("__span") - k) == value for k in (1, 2)]
+            alone = F.coalesce(below[0] & below[1], F.lit(False))
+            part = F.when(alone, _span(F.col(f"__at_{tie}"), F.col(tie), steps)).otherwise(F.lit(0))
+            span = F.struct(F.col("__span").alias("span"), (~alone).alias("rest"), part.alias("part"))
+        out = out.withColumn(name, span).drop("__span")
+    return out.drop(*[f"__at_{x}" for x in cut])
 
 
 def all_of(conditions: Sequence[Column]) -> Column:
