@@ -277,6 +277,23 @@ def _i18(spark, sf):
 SLACK = "1.4901161193847656e-08"
 
 
+def phi_sql(z: str) -> str:
+    """Normal distribution function in SQL: the density times the sum of z^(2k+1) / (2k+1)!!, by logarithms."""
+    size = f"greatest(abs({z}), 1e-300)"
+    term = f"exp((2 * k + 1) * ln({size}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))"
+    return f"(0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum([{term} for k in range(0, 120)]))"
+
+
+def quantile_steps(source: str, p: str) -> str:
+    """CTEs z0..z4 over ``source``: a rough normal quantile of ``p``, improved by Newton's method; the last has it as z."""
+    start = f"sign({p} - 0.5) * 5.5556 * (1 - pow(least({p}, 1 - {p}) / greatest({p}, 1 - {p}), 0.1186))"
+    steps = [f"z0 AS (SELECT *, {start} AS z FROM {source})"]
+    slope = "(exp(-z * z / 2) / sqrt(2 * pi()))"
+    for i in range(4):
+        steps.append(f"z{i + 1} AS (SELECT * REPLACE (z - ({phi_sql('z')} - {p}) / {slope} AS z) FROM z{i})")
+    return ", ".join(steps)
+
+
 def _permanova_sql(perms: int, seed: int) -> str:
     return f"""{GOWER}, n AS (SELECT id, g, row_number() OVER (ORDER BY id) AS k FROM s),
       h AS (SELECT id, p, row_number() OVER (PARTITION BY p ORDER BY md5(id || ':' || p || ':{seed}'), id) AS k
@@ -347,11 +364,14 @@ def _i22(spark, sf):
       round(2 * groups + n * (1 + ln(2 * pi() * ss_within / n)), 4) AS aic_g,
       round(2 * groups + n * ln(ss_within / (n - groups)), 4) AS aic_mse,
       round(groups + n * (1 + ln(2 * pi() * ss_within / (n - groups))), 4) AS aic_pi,
-      round(2 * groups + n * ln(ss_within / n) + 2.0 * groups * (groups + 1) / (n - groups - 1), 4) AS aicc FROM o""",
+      round(2 * groups + n * ln(ss_within / n) + 2.0 * groups * (groups + 1) / (n - groups - 1), 4) AS aicc,
+      round(2 * groups + n * ln(ss_within / (n - groups)) + 2.0 * groups * (groups + 1) / (n - groups - 1), 4) AS aicc_mse,
+      round(groups + n * (1 + ln(2 * pi() * ss_within / (n - groups))) + 2.0 * groups * (groups + 1) / (n - groups - 1), 4)
+        AS aicc_pi FROM o""",
 )
 def _i23(spark, sf):
     out = dist.permanova_ic(dist.permanova(customers(spark, sf), "id", "g", ["a", "b"]))
-    cols = ["aic", "aic_g", "aic_mse", "aic_pi", "aicc"]
+    cols = ["aic", "aic_g", "aic_mse", "aic_pi", "aicc", "aicc_mse", "aicc_pi"]
     return rounded(rounded(out.select("adj_r2", *cols), 4, *cols), 6, "adj_r2")
 
 
@@ -376,15 +396,18 @@ def _i24(spark, sf):
 
 @query(
     "i25_pairwise_means",
-    """WITH g AS (SELECT event_type AS f, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM events GROUP BY 1),
-      e AS (SELECT sum(ss) / (sum(n) - count(*)) AS mse FROM g)
-    SELECT a.f AS level_a, b.f AS level_b, round(a.m - b.m, 6) + 0.0 AS diff, round(sqrt(mse * (1 / a.n + 1 / b.n)), 6) AS se,
-      round((a.m - b.m) / sqrt(mse * (1 / a.n + 1 / b.n)), 5) + 0.0 AS z FROM g a JOIN g b ON a.f < b.f, e""",
+    f"""WITH g AS (SELECT event_type AS f, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM events GROUP BY 1),
+      e AS (SELECT sum(ss) / (sum(n) - count(*)) AS mse FROM g),
+      t AS (SELECT a.f AS level_a, b.f AS level_b, a.m - b.m AS diff, sqrt(mse * (1 / a.n + 1 / b.n)) AS se, diff / se AS z
+        FROM g a JOIN g b ON a.f < b.f, e),
+      p AS (SELECT *, 2 * (1 - {phi_sql('abs(z)')}) AS p FROM t)
+    SELECT level_a, level_b, round(diff, 6) + 0.0 AS diff, round(se, 6) AS se, round(z, 5) + 0.0 AS z, round(p, 6) + 0.0 AS p,
+      round(least(1.0, p * count(*) OVER ()), 6) + 0.0 AS p_adj FROM p""",
 )
 def _i25(spark, sf):
     ev = table(spark, sf, "events")
     out = gt.pairwise_means(ev, "event_type", ["click", "error", "purchase", "signup", "view"], "value")
-    return rounded(rounded(out.drop("p", "p_adj"), 6, "diff", "se"), 5, "z")
+    return rounded(rounded(out, 6, "diff", "se", "p", "p_adj"), 5, "z")
 
 
 @query(
@@ -400,19 +423,23 @@ def _i26(spark, sf):
 
 @query(
     "i27_qq_points",
-    """SELECT event_type, event_id, value AS sample, round((row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)
-      - 0.5) / count(*) OVER (PARTITION BY event_type), 7) AS position FROM events""",
+    f"""WITH q AS (SELECT event_type, event_id, value AS sample, (row_number() OVER (PARTITION BY event_type ORDER BY value, event_id)
+      - 0.5) / count(*) OVER (PARTITION BY event_type) AS position FROM events), {quantile_steps('q', 'position')}
+    SELECT event_type, event_id, sample, round(position, 7) AS position, round(z, 3) + 0.0 AS theoretical FROM z4""",
 )
 def _i27(spark, sf):
     out = gt.qq_points(table(spark, sf, "events"), "event_type", "event_id", "value")
-    return rounded(out.drop("theoretical"), 7, "position")
+    return rounded(rounded(out, 7, "position"), 3, "theoretical")
 
 
 @query(
     "k06_residual_table",
-    """WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders)
-    SELECT o_orderkey, round(a + b * o_custkey, 3) AS fitted, round(o_totalprice - a - b * o_custkey, 3) + 0.0 AS residual,
-      round(sqrt(abs(o_totalprice - a - b * o_custkey)), 4) AS scale FROM orders, f""",
+    f"""WITH f AS (SELECT regr_slope(o_totalprice, o_custkey) AS b, regr_intercept(o_totalprice, o_custkey) AS a FROM orders),
+      r AS (SELECT o_orderkey, a + b * o_custkey AS fitted, o_totalprice - (a + b * o_custkey) AS residual FROM orders, f),
+      q AS (SELECT *, (row_number() OVER (ORDER BY residual, o_orderkey) - 0.5) / count(*) OVER () AS position FROM r),
+      {quantile_steps('q', 'position')}
+    SELECT o_orderkey, round(fitted, 3) AS fitted, round(residual, 3) + 0.0 AS residual, round(sqrt(abs(residual)), 4) AS scale,
+      round(z, 3) + 0.0 AS theoretical FROM z4""",
 )
 def _k06(spark, sf):
     o = table(spark, sf, "orders")
@@ -422,7 +449,7 @@ def _k06(spark, sf):
         )
     )
     fitted = o.withColumn("l", line.scalar()).withColumn("yhat", F.col("l.a") + F.col("l.b") * F.col("o_custkey"))
-    out = gt.residual_table(fitted, "o_orderkey", "o_totalprice", "yhat").drop("theoretical")
-    return rounded(rounded(out, 3, "fitted", "residual"), 4, "scale")
+    out = gt.residual_table(fitted, "o_orderkey", "o_totalprice", "yhat")
+    return rounded(rounded(out, 3, "fitted", "residual", "theoretical"), 4, "scale")
 
 

@@ -161,6 +161,15 @@ def test_climatology_wraps_the_year(spark):
     assert hw.smooth_circular(hw.climatology(spark.createDataFrame(rows, "site string, t date, temp double"), "site"), "site").count() == 366
 
 
+def test_climatology_window_is_eleven_days_around_the_leap_day_slot(spark):
+    days = [dt.date(2021, 1, 1) + dt.timedelta(days=i) for i in range(365)]
+    rows = [("s", d, float(d == dt.date(2021, 2, 24))) for d in days]
+    clim = hw.climatology(spark.createDataFrame(rows, "site string, t date, temp double"), "site").collect()
+    seas = {r.doy: r.seas for r in clim}
+    assert len(seas) == 366
+    assert all(seas[k] == pytest.approx(1 / 11) for k in range(50, 60)) and seas[61] == pytest.approx(1 / 11) and seas[62] == 0
+
+
 def test_acf_small_case(spark):
     df = spark.createDataFrame([("s", i, float(i)) for i in (1, 2, 3, 4)], "k string, i int, v double")
     got = {r.lag: r.acf for r in ss.acf(df, "k", "i", "v", 2, chunk=1).collect()}

@@ -199,3 +199,29 @@ def test_quantiles_of_both_kinds_share_one_ranking(spark):
     got = aggregate.quantiles(spark.createDataFrame([(v,) for v in values], "v double"), None, "v", [0.9], inverse={"low": 0.25}).first()
     ranked = sorted(values)
     assert got.q90 == pytest.approx(ranked[90]) and got.low == ranked[25]
+
+
+def test_value_spans_of_a_skewed_column_are_even(spark):
+    df = spark.range(20_000).select("id", F.exp(-F.col("id") / 100.0).alias("v"))
+    spans = ordered.value_chunk(df, None, "v").groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"))
+    rows = spans.orderBy("__bucket").collect()
+    assert len(rows) == ordered.LEAST_SPANS
+    assert max(r.n for r in rows) < 2 * 20_000 / len(rows)
+    assert [r.a for r in rows] == sorted(r.a for r in rows)
+
+
+def test_value_spans_cut_a_hot_value_by_the_tie_column(spark):
+    value = F.when(F.col("id") % 10 < 8, 5.0).otherwise(F.col("id") % 97)
+    df = spark.range(20_000).select("id", value.alias("v"))
+    spans = ordered.value_chunk(df, None, "v", "id")
+    assert max(r["count"] for r in spans.groupBy("__bucket").count().collect()) < 3 * 20_000 / ordered.LEAST_SPANS
+    ranked = ordered.running(spans, None, ["v", "id"], {"i": ("count", F.lit(1))}, F.col("__bucket"))
+    got = [r.i for r in ranked.orderBy("v", "id").select("i").collect()]
+    assert got == list(range(1, 20_001))
+
+
+def test_value_spans_of_empty_null_and_equal_values(spark):
+    assert ordered.value_chunk(spark.createDataFrame([], "id long, v double"), None, "v", "id").count() == 0
+    rows = [("a", i, None if i % 3 else 1.0) for i in range(9)] + [(None, 9, 2.0)]
+    out = ordered.value_chunk(spark.createDataFrame(rows, "k string, id long, v double"), "k", "v").collect()
+    assert len(out) == 10 and {r["__bucket"] for r in out if r.v is None} == {0}
