@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from queries.a_sources import KINDS, hourly_wide
 from queries.registry import PANEL, TELEMETRY, TELEMETRY_GAPS, panel, query, rounded, table, telemetry, telemetry_gaps
-from tidemark.functions.special import t_quantile
 from tidemark.operators import aggregate as agg, shape
 
 
@@ -77,16 +76,32 @@ def _d05(spark, sf):
     return rounded(out.withColumn("grain", F.col("grain").cast("long")), 6, "mean", "sd")
 
 
-T_ROWS = ", ".join(f"({k}, {t_quantile(0.95, k)!r})" for k in range(1, 201))
+def t_cdf_sql() -> str:
+    """P(|T| < t) for whole degrees of freedom, by the finite sums over cos(theta) with tan(theta) = t / sqrt(df)."""
+    cos, sin = "cos(atan(t / sqrt(df)))", "sin(atan(t / sqrt(df)))"
+    even = f"exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow({cos}, 2 * j)"
+    odd = f"sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow({cos}, 2 * j + 1)"
+    return f"""CASE WHEN df % 2 = 0 THEN {sin} * list_sum([{even} for j in range(0, df // 2)])
+      ELSE 2 / pi() * (atan(t / sqrt(df)) + {sin} * coalesce(list_sum([{odd} for j in range(0, (df - 1) // 2)]), 0)) END"""
+
+
+def t_steps(p: float, rounds: int = 12) -> str:
+    """CTEs t0.. from ``a`` (n): the ``p`` quantile of Student's t per df = n - 1, by Newton's method from below."""
+    density = "exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + t * t / df, -(df + 1) / 2)"
+    steps = ["t0 AS (SELECT DISTINCT n - 1 AS df, CAST(1 AS DOUBLE) AS t FROM a WHERE n > 1)"]
+    for i in range(rounds):
+        step = f"t - ({t_cdf_sql()} - {2 * p - 1!r}) / (2 * {density})"
+        steps.append(f"t{i + 1} AS MATERIALIZED (SELECT df, {step} AS t FROM t{i})")
+    return ", ".join(steps)
 
 
 @query(
     "d06_mean_ci",
-    f"""WITH q(df, t) AS (VALUES {T_ROWS}), a AS (SELECT user_id, count(*) AS n, avg(value) AS mean,
-      stddev_samp(value) AS sd FROM events GROUP BY 1)
+    f"""WITH a AS (SELECT user_id, count(*) AS n, avg(value) AS mean,
+      stddev_samp(value) AS sd FROM events GROUP BY 1), {t_steps(0.95)}
     SELECT user_id, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(sd / sqrt(n), 6) AS se,
       round(t * sd / sqrt(n), 5) AS ci, round(mean - t * sd / sqrt(n), 5) AS lower,
-      round(mean + t * sd / sqrt(n), 5) AS upper FROM a LEFT JOIN q ON q.df = n - 1""",
+      round(mean + t * sd / sqrt(n), 5) AS upper FROM a LEFT JOIN t12 ON df = n - 1""",
 )
 def _d06(spark, sf):
     out = agg.mean_ci(table(spark, sf, "events"), "user_id", "value")

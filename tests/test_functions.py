@@ -96,6 +96,15 @@ def test_t_quantile_expansion_meets_exact(spark):
         assert got == pytest.approx(sp.t_quantile(0.95, k), abs=2e-7)
 
 
+@pytest.mark.parametrize("p", [0.005, 0.95, 0.975, 0.995])
+def test_t_quantiles_agree_on_both_sides_of_the_change_of_method(spark, p):
+    for k in (99, 100, 101, 102, 1000):
+        exact = sp.t_quantile(p, k)
+        assert one(spark, sp.t_quantile_expr(p, F.lit(k))) == pytest.approx(exact, abs=1e-8)
+        if k >= 100:
+            assert one(spark, sp.t_quantile_expr(p, F.lit(k), exact_to=10)) == pytest.approx(exact, abs=1e-8)
+
+
 @pytest.mark.parametrize("x", [-8.0, -3.2, -1.0, 0.0, 0.3, 2.9, 3.1, 6.0])
 def test_normal_cdf(spark, x):
     assert one(spark, sp.normal_cdf_expr(F.lit(x))) == pytest.approx(0.5 * math.erfc(-x / math.sqrt(2)), rel=1e-9)

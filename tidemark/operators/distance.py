@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.group_tests import anova_oneway, level_pairs
-from tidemark.operators.ordered import as_list, running, value_chunk, with_group_stats
+from tidemark.operators.ordered import ROWS_PER_SPAN, as_list, running, value_chunk, with_group_stats
 from tidemark.operators.windows import p_adjust
 from tidemark.session import cut_lineage
 
@@ -116,12 +116,14 @@ def _row_stats(scaled: DataFrame, by: list[str], row_id: str, cols: Sequence[str
 def shuffled_labels(df: DataFrame, by, row_id: str, label: str, perms: int, seed: int) -> DataFrame:
     """Rows for permutation 0 (as given) and 1..perms, in which labels move by the rank of md5(id:perm:seed)."""
     by = as_list(by)
-    natural = running(df.select(*by, row_id, label), by, [row_id], {"__k": ("count", F.lit(1))})
+    spans = value_chunk(df.select(*by, row_id, label), by, row_id)
+    natural = running(spans, by, [row_id], {"__k": ("count", F.lit(1))}, F.col("__bucket"))
     labels = natural.select(*by, "__k", F.col(label).alias("__label"))
     drawn = df.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(perms))))
     drawn = drawn.withColumn("__h", F.md5(F.concat_ws(":", F.col(row_id).cast("string"), "perm", F.lit(str(seed)))))
+    digits = max(2, math.ceil(math.log(max(df.count(), 1) / ROWS_PER_SPAN, 16)))  # leading hex digits: even spans of hashes
     ranked = running(
-        drawn, [*by, "perm"], ["__h", row_id], {"__k": ("count", F.lit(1))}, F.substring("__h", 1, 3)
+        drawn, [*by, "perm"], ["__h", row_id], {"__k": ("count", F.lit(1))}, F.substring("__h", 1, digits)
     )
     moved = ranked.join(labels, [*by, "__k"]).withColumn(label, F.col("__label"))
     return df.withColumn("perm", F.lit(0)).unionByName(moved.select(*df.columns, "perm"))
