@@ -1,9 +1,10 @@
 """Quality rules on documents and on the hosts they come from.
 
-Each document is measured from its whole text and tested by its own rules. Failures are then counted per host, each host's
-failure rate is drawn towards the rate of all hosts by a beta prior fitted to the hosts themselves, and a host whose drawn
-rate is too high loses its remaining documents as well. A host with few documents is drawn most, so a handful of short
-pages does not condemn it.
+Each document is measured from its whole text and tested by its own rules: two base rules, and with ``every_rule`` also the
+share of symbols, of repeated lines and the mean word length. Failures are then counted per host, each host's failure rate
+is drawn towards the rate of all hosts by a beta prior fitted to the hosts themselves, and a host whose drawn rate is too
+high loses its remaining documents as well. A host with few documents is drawn most, so a handful of short pages does not
+condemn it.
 
 Cases: a null text has no words and fails; the null host is a host of its own; repeated rows count as often as they
 occur; an empty table gives no rows; with no or only failures the prior has strength 1. Input columns named like an output
@@ -27,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_WORDS = 50
 MAX_REPEAT = 50
 MAX_HOST_RATE = 0.8
+#: Symbols a word and repeated lines in percent, and mean characters of a word.
+MAX_SYMBOLS, MAX_DUP_LINES, WORD_CHARS = 10, 50, (3, 10)
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -48,24 +51,39 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def filled_lines(text: str) -> list[str]:
+    return [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
+
+
 def measure(text: str) -> tuple[int, int, int, int, int]:
     words = text.encode().split()  # of bytes: at the six white-space characters of ASCII only
     word_chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     symbols = sum(map(text.count, "#*$%&|<>"))
-    lines = [x for x in text.split("\n") if x.strip(" \t\v\f\r")]
+    lines = filled_lines(text)
     return len(words), word_chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
 def _measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    names = [x.split()[0] for x in MEASURES.split(", ")]
+    names = [*(x.split()[0] for x in MEASURES.split(", ")), "n_lines"]
     for batch in texts:
-        found = [measure(t or "") for t in batch.to_pylist()]
+        found = [(*measure(t or ""), len(filled_lines(t or ""))) for t in batch.to_pylist()]
         columns = list(zip(*found, strict=True)) or [[] for _ in names]
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
 def measured(text: Column) -> Column:
-    return F.arrow_udf(_measured, f"struct<{', '.join(x.replace(' ', ': ') for x in MEASURES.split(', '))}>")(text)
+    kinds = ", ".join(x.replace(" ", ": ") for x in MEASURES.split(", "))
+    return F.arrow_udf(_measured, f"struct<{kinds}, n_lines: long>")(text)
+
+
+def rules_failed(m: Column) -> Column:
+    """By the rules beyond the base rules; whole numbers only."""
+    return (
+        (100 * m["n_symbols"] > MAX_SYMBOLS * m["n_words"])
+        | (100 * m["n_dup_lines"] > MAX_DUP_LINES * m["n_lines"])
+        | (m["word_chars"] < WORD_CHARS[0] * m["n_words"])
+        | (m["word_chars"] > WORD_CHARS[1] * m["n_words"])
+    )
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
@@ -75,7 +93,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
     counting alone explains (moments, weighted by documents), between 1 and a million.
     """
     hosts = rows.groupBy("host").agg(
-        F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
+        F.count("*").alias("host_docs"), F.sum(F.col("failed").cast("long")).alias("host_failed")
     )
     hosts = written(hosts, "hosts")
     docs, failed, n, squares = hosts.agg(
@@ -105,13 +123,18 @@ def quality(
     text_col: str = "text",
     carry: list[str] | None = None,
     max_host_rate: float = MAX_HOST_RATE,
+    every_rule: bool = False,
 ) -> DataFrame:
-    """Every row with its measures, ``base_failed``, its host's counts and rate, and ``kept``."""
+    """Every row with its measures, ``base_failed``, its host's counts and rate, and ``kept``.
+
+    ``every_rule``: documents and hosts are judged by all rules, not by the base rules alone.
+    """
     names = [x.split()[0] for x in MEASURES.split(", ")]
     rows = docs.select(packed(docs, carry), F.col(host_col).alias("host"), measured(F.col(text_col)).alias("m"))
-    failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT * F.col("m.n_words"))
-    rows = written(rows.select("row", "host", "m.*", failed.alias("base_failed")), "quality")
+    base = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT * F.col("m.n_words"))
+    failed = base | rules_failed(F.col("m")) if every_rule else base
+    rows = written(rows.select("row", "host", "m.*", base.alias("base_failed"), failed.alias("failed")), "quality")
     rates = host_rates(rows)
     joined = rows.join(rates, F.col("host").eqNullSafe(F.col("rated")))
-    joined = joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate))
+    joined = joined.withColumn("kept", ~F.col("failed") & (F.col("host_rate") <= max_host_rate))
     return unpacked(joined, *names, "base_failed", "host_docs", "host_failed", "host_rate", "kept")
