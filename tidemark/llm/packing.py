@@ -3,13 +3,16 @@
 Only how many pieces there are of each length is needed to plan: one row per length, at most as many as a sequence has
 tokens, whatever the size of the data. The plan is made from these counts on the driver:
 
-1. Long lengths, in falling order, are cut into groups of equal cardinality, and each group is rounded up to its longest.
+1. Long lengths that many pieces share are sizes of their own. The others, in falling order, are cut into groups of equal
+   cardinality, and each group is rounded up to its longest.
 2. For these few sizes, configurations (how many of each size share a sequence) are found by column generation: the
    fractional optimum over all configurations, a knapsack giving the next one to enter. Whole parts are taken; what is left
    over, a few pieces per size, is packed best fit by hand.
 3. The real pieces take the places of their group, longest first, so each sequence has room beyond what was planned.
 4. Short lengths, longest first, go to the fullest sequence that still takes them, or open new ones.
 
+Which lengths count as long is tried at several limits, and the plan with the fewest sequences is taken.
+
 The plan is a table of runs: pieces ``first`` to ``last`` of a length go to consecutive sequences at a common offset. Its
 size is bounded by the lengths and configurations, so it is broadcast. Pieces get a rank among those of their length,
 counted in two levels so that a length which a third of all pieces share is split over tasks, and look up their run.
@@ -30,13 +33,22 @@ from tidemark.llm.common import packed, unpacked, written
 from tidemark.llm.tokens import END, VOCABULARY, pieces
 
 CAPACITY = 4096
-#: Lengths from capacity / LONG on are planned by configurations, in at most GROUPS groups. Rounding costs room that only
-#: short pieces can fill; with LONG 2 the plan comes within 0.01 % of total / capacity on the test data, with 4 within 0.4 %.
-LONG, GROUPS, ENTERING = 2, 64, 3000
+#: Lengths from capacity / LONG on are planned by configurations, in about GROUPS groups; ``fewest`` tries all of LONGS.
+#: Rounding costs room that only short pieces can fill; with LONG 2 the plan comes within 0.01 % of total / capacity on the
+#: test data, with 4 within 0.4 %. On a few heavy lengths it is the other way round.
+LONG, LONGS, GROUPS, ENTERING = 2, (2, 4, 8), 64, 3000
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(rounded size, [(length, pieces)]) of groups of equal cardinality, sizes falling."""
+    """(rounded size, [(length, pieces)]), sizes falling: lengths with a group's pieces or more by themselves, the others in
+    groups of equal cardinality."""
+    share = -(-sum(counts.values()) // groups)
+    exact = [(length, [(length, n)]) for length, n in counts.items() if n >= share]
+    rest = {length: n for length, n in counts.items() if n < share}
+    return sorted(exact + equal_groups(rest, groups), key=lambda g: -g[0])
+
+
+def equal_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple[int, int]]]]:
     total = sum(counts.values())
     out, open_, room = [], [], -(-total // groups)
     for length in sorted(counts, reverse=True):
@@ -205,6 +217,18 @@ class Plan:
             heapq.heappush(self.rooms, room)
 
 
+def fewest(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with the fewest sequences; the first of equals."""
+    least, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
+    for long in LONGS:
+        plan = Plan(counts, capacity, long)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == least:
+            break
+    return best
+
+
 def ranked(rows: DataFrame, counts: DataFrame, cell_rows: int) -> DataFrame:
     """``rank`` of each row among those of its length, from 0. ``counts``: (length, n)."""
     parts = counts.filter(F.col("n") > cell_rows).select("length", F.ceil(F.col("n") / cell_rows).alias("parts"))
@@ -223,7 +247,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, cell_rows: int = 100_000) ->
     """Rows (id, piece, length, ids_crc32, and any others) with ``sequence_id`` and ``offset``."""
     counts = written(rows.groupBy("length").agg(F.count("*").alias("n")), "lengths")
     # One row per length, at most ``capacity`` of them.
-    plan = Plan({r.length: r.n for r in counts.collect()}, capacity)
+    plan = fewest({r.length: r.n for r in counts.collect()}, capacity)
     kind = "at_length int, first long, last long, sequence long, per int, at long"
     runs = rows.sparkSession.createDataFrame([tuple(map(int, r)) for r in plan.runs], kind)
     found = ranked(rows, counts, cell_rows).join(
