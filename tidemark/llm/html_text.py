@@ -3,7 +3,8 @@
 The standard library's parser streams events. Text between the boundaries of blocks makes lines; each line knows its tags,
 the characters inside links and the container it stands in. Elements that never hold the article (menus, headers,
 footers, sidebars, forms, scripts, styles, and any element whose class, id or role names an advert, a notice, comments or
-the like) are passed over with all they hold.
+the like) are passed over with all they hold. A form or a block with such a name may be the layout around the article: its
+lines are recorded, and if the page's article lies in it and not outside, they count like any others.
 
 Each line's ratio of characters to tags is smoothed by a Gaussian over its neighbours, and lines at or above the threshold
 form the clusters of content. A cluster selects its region: the whole article (or main element) it lies in, so that a
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -49,14 +51,16 @@ NAMES = frozenset(
     " subscribe toolbar widget".split()
 )
 ENDED_BY_NEXT = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"])}
+#: Before a name, as in "no-sidebar", these say how the page is laid out, not what the element is.
+LAYOUT = frozenset("no not with without has".split())
 SPACED = frozenset(["br", "td", "th", "img", "wbr"])
 
 SIGMA = 1.5
 
 
-def passed_over(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def hidden(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in PASSED:
-        return True
+        return tag != "form"
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in attrs:
@@ -64,16 +68,26 @@ def passed_over(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
             return True
-        if name in ("class", "id", "role") and NAMES.intersection(re.split("[^a-z0-9]+", (value or "").lower())):
-            return True
     return False
 
 
+def named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for name, value in attrs:
+        for token in (value or "").lower().split() if name in ("class", "id", "role") else ():
+            words = re.split("[^a-z0-9]+", token)
+            if any(w in NAMES and before not in LAYOUT for before, w in zip(["", *words], words, strict=False)):
+                return True
+    return tag == "form"
+
+
 class Line:
-    __slots__ = ("text", "tags", "linked", "article", "container")
+    __slots__ = ("text", "tags", "linked", "article", "container", "wrappers")
 
-    def __init__(self, text: str, tags: int, linked: int, article: int, container: int):
+    def __init__(self, text: str, tags: int, linked: int, article: int, container: int, wrappers: tuple[int, ...]):
         self.text, self.tags, self.linked, self.article, self.container = text, tags, linked, article, container
+        self.wrappers = wrappers
 
 
 class Lines(HTMLParser):
@@ -83,19 +97,22 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.elements = 0
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, passed over, article it is in, number
+        self.linked = self.elements = 0
+        self.tags: dict[tuple[int, ...], int] = defaultdict(int)  # by the wrappers they stand in
+        self.articles: dict[int, tuple[bool, tuple[int, ...]]] = {}  # main, wrappers it stands in
+        # tag, passed over, article it is in, number, forms and named blocks it is in
+        self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
 
     @property
-    def top(self) -> tuple[str, bool, int, int]:
-        return self.open[-1] if self.open else ("", False, 0, 0)
+    def top(self) -> tuple[str, bool, int, int, tuple[int, ...]]:
+        return self.open[-1] if self.open else ("", False, 0, 0, ())
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             container = next((e[3] for e in reversed(self.open) if e[0] in BLOCKS and e[0] not in ENDED_BY_NEXT and e[0][1:].isalpha()), 0)
-            self.lines.append(Line(text, self.tags, self.linked, self.top[2], container))
-            self.tags = 0
+            wrappers = self.top[4]
+            self.lines.append(Line(text, self.tags.pop(wrappers, 0), self.linked, self.top[2], container, wrappers))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -104,16 +121,23 @@ class Lines(HTMLParser):
             if self.open and tag in ENDED_BY_NEXT.get(self.open[-1][0], ()):
                 self.handle_endtag(self.open[-1][0])
             self.cut()
-        _, passed, article, _ = self.top
+        _, passed, article, _, wrappers = self.top
         if not passed:
-            self.tags += 1
+            self.tags[wrappers] += 1
             if tag in SPACED:
                 self.parts.append(" ")
         if tag in VOID:
             return
+        passed = passed or hidden(tag, attrs)
+        if not passed and named(tag, attrs):
+            if tag in BLOCKS:
+                wrappers = (*wrappers, self.elements)
+            else:
+                passed = True
         if not article and (tag in ("article", "main") or ("role", "main") in attrs):
             article = self.elements
-        self.open.append((tag, passed or passed_over(tag, attrs), article, self.elements))
+            self.articles[article] = (tag != "article", wrappers)
+        self.open.append((tag, passed, article, self.elements, wrappers))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -127,7 +151,7 @@ class Lines(HTMLParser):
             if tag not in BLOCKS and self.open[k][0] in BLOCKS:
                 break  # an inline end tag without its start
         if not self.top[1]:
-            self.tags += 1
+            self.tags[self.top[4]] += 1
 
     def handle_data(self, data):
         if not self.top[1]:
@@ -138,6 +162,20 @@ class Lines(HTMLParser):
     def close(self):
         super().close()
         self.cut()
+        around = self.around()
+        self.lines = [x for x in self.lines if around.issuperset(x.wrappers)]
+
+    def around(self) -> set[int]:
+        """Forms and named blocks that are the layout around the article: the fewest that any article or main element
+        lies in. An article, unlike a main element, must hold more text than the page has outside of such blocks."""
+        held: dict[int, int] = defaultdict(int)
+        for x in self.lines:
+            if x.article and x.wrappers == self.articles[x.article][1]:
+                held[x.article] += len(x.text)
+        outside = sum(len(x.text) for x in self.lines if not x.wrappers)
+        regions = [self.articles[a] for a, n in held.items() if self.articles[a][0] or not self.articles[a][1] or n > outside]
+        least = min((len(wrappers) for _, wrappers in regions), default=0)
+        return {w for _, wrappers in regions if len(wrappers) == least for w in wrappers}
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
