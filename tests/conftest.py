@@ -7,6 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from tidemark.session import local_session  # noqa: E402
+from tools.check import TABLES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +24,6 @@ def spark():
 def con():
     c = duckdb.connect()
     c.execute("SET TimeZone='UTC'")
-    for t in "region nation customer supplier part orders lineitem events".split():
+    for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
