@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, exact_dedup, hard_negatives, html_text, mixing, packing, personal_data, quality, sharding, simhash, training_order
+from tidemark.llm import chat, conversation_repair, exact_dedup, hard_negatives, html_text, mixing, packing, personal_data, quality, sharding, simhash, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,30 @@ def op11_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("label", moved)
     return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults planted by the checksum of (conversation, turn)."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    times = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(kind == 4, "user").otherwise(role)
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times))).drop("col")
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    audits, repaired = conversation_repair.repaired(damaged(turns))
+    digests = conversation_repair.digests(repaired).select(F.col("conv_id").alias("digested"), "sha256")
+    found = audits.join(digests, audits.conv_id.eqNullSafe(F.col("digested")), "left").withColumnRenamed("conv_id", "audited")
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("audited")), "left")
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in conversation_repair.NAMES]
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", none).alias("repaired_sha256")
+    )
