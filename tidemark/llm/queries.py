@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, conversation_repair, exact_dedup, hard_negatives, html_text, mixing, packing, personal_data, quality, sharding, simhash, training_order
+from tidemark.llm import chat, conversation_repair, exact_dedup, hard_negatives, html_text, language_model, mixing, packing, personal_data, quality, sharding, simhash, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -245,3 +245,9 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", none).alias("repaired_sha256")
     )
+
+
+@query()
+def op13_language_model(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    return language_model.scored(documents(spark, sf), part != 1, carry=["doc_id"])
