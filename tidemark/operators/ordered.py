@@ -200,9 +200,9 @@ def _combine(kind: str, carry: Column, local: Column) -> Column:
 def running(df: DataFrame, by, order, specs: dict[str, tuple], chunk=None, descending: bool = False) -> DataFrame:
     """Add prefix aggregates ``{name: (kind, column[, "before"])}`` per series.
 
-    Kinds: sum, count, max, min, last (non-null), first (non-null), and total (the sum over the whole
-    series, from the chunk totals). With ``"before"`` the current row is left out. With ``descending`` the
-    prefix runs from the largest order value down.
+    Kinds: sum, count, max, min, last (non-null), first (non-null), next (the first non-null at or after the row), and
+    total (the sum over the whole series, from the chunk totals). With ``"before"`` the current row is left out. With
+    ``descending`` the prefix runs from the largest order value down.
     """
     by, order = as_list(by), as_list(order)
     keep = df.columns
@@ -221,6 +221,15 @@ def running(df: DataFrame, by, order, specs: dict[str, tuple], chunk=None, desce
             carries.append(F.sum(f"__p{i}").over(whole).alias(f"__c{i}"))
             merged.append(F.col(f"__c{i}").alias(name))
             continue
+        if kind == "next":
+            # The last one of the reversed order: a frame that only grows, unlike one that reaches to the end.
+            partials.append(_PARTIAL["last" if descending else "first"](col, direction).alias(f"__p{i}"))
+            after = Window.partitionBy(*by).orderBy(*_sorted([CHUNK], not descending)).rowsBetween(Window.unboundedPreceding, -1)
+            carries.append(F.last(f"__p{i}", ignorenulls=True).over(after).alias(f"__c{i}"))
+            back = Window.partitionBy(SERIES).orderBy(*_sorted(order, not descending))
+            local = F.last(col, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+            merged.append(F.coalesce(local, F.col(f"__c{i}")).alias(name))
+            continue
         frame = inside.rowsBetween(Window.unboundedPreceding, -1 if "before" in spec[2:] else 0)
         partials.append(_PARTIAL[ends.get(kind, kind)](col, direction).alias(f"__p{i}"))
         carries.append(_CARRY[kind](F.col(f"__p{i}")).over(chunks).alias(f"__c{i}"))
