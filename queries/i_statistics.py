@@ -91,7 +91,7 @@ def _i04(spark, sf):
 )
 def _i05(spark, sf):
     made, xs = reg.design(table(spark, sf, "lineitem"), {"l_returnflag": ["A", "N", "R"]})
-    out = reg.glm(made, "l_linenumber", xs, "poisson", "log")
+    out = reg.glm(made, "l_linenumber", xs, "poisson", "log").select("term", "estimate", "se")
     return rounded(rounded(out, 5, "estimate"), 6, "se")
 
 
@@ -106,7 +106,7 @@ def _i05(spark, sf):
 def _i05b(spark, sf):
     ev = table(spark, sf, "events").groupBy("user_id", (F.col("event_type") == "click").cast("double").alias("click"))
     cells = ev.agg(F.avg((F.col("value") > 50).cast("double")).alias("share"), F.count(F.lit(1)).alias("trials"))
-    out = reg.glm(cells, "share", ["click"], "binomial", "logit", weight="trials")
+    out = reg.glm(cells, "share", ["click"], "binomial", "logit", weight="trials").select("term", "estimate", "se")
     return rounded(rounded(out, 5, "estimate"), 6, "se")
 
 
@@ -126,6 +126,39 @@ def _i06(spark, sf):
     return rounded(reg.model_grid(li, "y", grid), 3, "loglik", "aic", "aicc", "bic")
 
 
+def _grid_sql(y, table_sql, loglik):
+    """Criteria of the models over two factors whose fitted means are plain means."""
+    parts = {"null": ("1", 1), "n": ("l_returnflag = 'N'", 2), "n+r": ("l_returnflag", 3)}
+    fits = " UNION ALL ".join(
+        f"SELECT '{name}' AS model, {k} AS k, {y} AS y, avg({y}) OVER (PARTITION BY {by}) AS mu FROM {table_sql}"
+        for name, (by, k) in parts.items()
+    )
+    return f"""WITH f AS ({fits}), l AS (SELECT model, count(*) AS n, k, sum({loglik}) AS ll FROM f GROUP BY model, k)
+    SELECT model, n, k, round(ll, 3) AS loglik, round(2 * k - 2 * ll, 3) AS aic,
+      round(2 * k - 2 * ll + 2.0 * k * (k + 1) / (n - k - 1), 3) AS aicc, round(k * ln(n) - 2 * ll, 3) AS bic, true AS converged FROM l
+    UNION ALL SELECT 'twice', count(*), NULL, NULL, NULL, NULL, NULL, false FROM {table_sql}"""
+
+
+def _factor_grid(spark, sf, y, family, link):
+    made, (n, r) = reg.design(table(spark, sf, "lineitem").withColumn("y", y), {"l_returnflag": ["A", "N", "R"]})
+    made = made.withColumn("n2", F.col(n) * 2)
+    grid = {"null": [], "n": [n], "n+r": [n, r], "twice": [n, "n2"]}
+    return rounded(reg.model_grid(made, "y", grid, family, link), 3, "loglik", "aic", "aicc", "bic")
+
+
+@query("i06_model_grid_poisson", _grid_sql("l_linenumber", "lineitem", "y * ln(mu) - mu - lgamma(y + 1)"))
+def _i06b(spark, sf):
+    return _factor_grid(spark, sf, F.col("l_linenumber"), "poisson", "log")
+
+
+@query(
+    "i06_model_grid_binomial",
+    _grid_sql("CAST(l_quantity > 20 AS INTEGER)", "lineitem", "CASE WHEN y = 1 THEN ln(mu) ELSE ln(1 - mu) END"),
+)
+def _i06c(spark, sf):
+    return _factor_grid(spark, sf, (F.col("l_quantity") > 20).cast("int"), "binomial", "logit")
+
+
 ANOVA = f"""g AS (SELECT tank, count(*) AS n, avg(temperature) AS m, var_pop(temperature) * count(*) AS ss FROM {TELEMETRY}
     GROUP BY tank), w AS (SELECT *, (SELECT avg(temperature) FROM {TELEMETRY}) AS gm FROM g),
   a AS (SELECT sum(n * (m - gm) * (m - gm)) AS sb, sum(ss) AS sw, count(*) - 1 AS db, CAST(sum(n) AS BIGINT) - count(*) AS dw,

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import itertools
 import random
 
@@ -316,3 +317,45 @@ def test_hot_series_is_spread_over_tasks(spark):
         assert max(r["count"] for r in hot) < 0.5 * 20000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("by", ["g", None])
+def test_bootstrap_equals_plain_sums(spark, by):
+    rows = [(i, None if i % 9 == 0 else "ab"[i % 2], float(i * 7 % 13) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    got = {r["g"] if by else None: r for r in gt.bootstrap_ci(df, by, "id", "v", 20, seed=3).collect()}
+    constants = gt.replicate_constants(20, 3)
+    for key in {r[1] if by else None for r in rows}:
+        means = []
+        for m, o in constants:
+            s = w = 0.0
+            for i, g, v in rows:
+                if v is not None and (not by or g == key):
+                    h = int(hashlib.md5(f"{i}:3".encode()).hexdigest()[:8], 16) % gt.PRIME
+                    k = sum((h * m + o) % gt.PRIME / gt.PRIME >= t for t in gt.POISSON1)
+                    s, w = s + k * v, w + k
+            means.append(s / w)
+        want = [np.mean(means), *np.quantile(means, [0.025, 0.975])]
+        assert [got[key].estimate, got[key].lower, got[key].upper] == pytest.approx(want)
+
+
+def test_glm_steps(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    counts = rng.poisson(np.exp(0.3 + x @ [0.5, -0.2]))
+    rows = [(int(c), float(a), float(b), 2.0 * a, float(a > 0)) for c, (a, b) in zip(counts, x)]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0, 2.0, 0.0)], "y int, a double, b double, a2 double, s double")
+    fit = {r.term: r for r in reg.glm(df, "y", ["a", "b"], "poisson", "log").collect()}
+    beta = np.zeros(3)
+    design = np.column_stack([np.ones(400), x])
+    for _ in range(50):
+        mu = np.exp(design @ beta)
+        beta = beta + np.linalg.solve(design.T @ (mu[:, None] * design), design.T @ (counts - mu))
+    assert [fit[t].estimate for t in ("(intercept)", "a", "b")] == pytest.approx(beta.tolist(), abs=1e-8)
+    assert all(r.converged and r.n == 400 for r in fit.values())
+    # A singular design has no estimates; separated answers never settle; the others are fitted beside them.
+    assert reg.glm(df, "y", ["a", "a2"], "poisson", "log").filter("estimate is null").count() == 3
+    grid = {r.model: r for r in reg.model_grid(df, "s", {"null": [], "b": ["b"], "sep": ["a"], "twice": ["a", "a2"]}, "binomial", "logit").collect()}
+    assert grid["null"].converged and grid["b"].converged and not grid["sep"].converged and grid["twice"].loglik is None
+    share = np.mean([r[4] for r in rows] + [0.0])
+    assert grid["null"].loglik == pytest.approx(401 * (share * np.log(share) + (1 - share) * np.log(1 - share)), rel=1e-6)

@@ -225,3 +225,39 @@ def test_value_spans_of_empty_null_and_equal_values(spark):
     rows = [("a", i, None if i % 3 else 1.0) for i in range(9)] + [(None, 9, 2.0)]
     out = ordered.value_chunk(spark.createDataFrame(rows, "k string, id long, v double"), "k", "v").collect()
     assert len(out) == 10 and {r["__bucket"] for r in out if r.v is None} == {0}
+
+
+@pytest.mark.parametrize(("k", "block"), [(50, 16), (7, 16), (400, 1 << 16)])
+def test_windows_wider_than_a_chunk(spark, monkeypatch, k, block):
+    """Chunks of eight rows: every row is an edge row, and the blocks of edge rows are shorter than the series."""
+    monkeypatch.setattr(ordered, "EDGE_ROWS", block)
+    rows = [(s, i, float((i * 7919 + len(s)) % 101)) for s, n in (("a", 300), ("bb", 70), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, t long, v double")
+
+    def exprs(w):
+        return {
+            "total": F.sum("v").over(w.rowsBetween(-k, 3)),
+            "high": F.max("v").over(w.rowsBetween(-k, 0)),
+            "back": F.lag("v", k).over(w),
+            "ahead": F.lead("v", 3).over(w),
+        }
+
+    got = {(r.s, r.t): r for r in ordered.neighbourhood(df, "s", "t", exprs, before=k, after=3, chunk=8).collect()}
+    assert len(got) == len(rows)
+    series = {s: [v for x, _, v in rows if x == s] for s in ("a", "bb", "c")}
+    for s, i, _ in rows:
+        v, r = series[s], got[s, i]
+        assert r.total == sum(v[max(0, i - k) : i + 4]) and r.high == max(v[max(0, i - k) : i + 1])
+        assert r.back == (v[i - k] if i >= k else None) and r.ahead == (v[i + 3] if i + 3 < len(v) else None)
+
+
+def test_wide_windows_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "EDGE_ROWS", 64)
+    df = spark.range(5000).select(F.lit("a").alias("s"), F.col("id").alias("t"), (F.col("id") % 7).cast("double").alias("v"))
+    wide = ordered.neighbourhood(df, "s", "t", lambda w: {"m": F.avg("v").over(w.rowsBetween(-60, 0))}, before=60, chunk=8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 5000 and len(sizes) > 1 and max(sizes) < 4000

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.functions.special import log_factorial_expr, normal_cdf_expr, normal_quantile_expr
 from tidemark.operators.ordered import as_list, running, value_chunk, with_group_stats
@@ -13,6 +18,9 @@ from tidemark.operators.series_stats import acf
 from tidemark.operators.windows import p_adjust
 from tidemark.session import cut_lineage
 
+# Executors need not have this package installed: the replicate sums travel with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _group_table(df: DataFrame, group, y: str, by) -> DataFrame:
     """Per group: n, mean, within sum of squares; plus the overall mean of its ``by`` family."""
@@ -134,34 +142,74 @@ def poisson1() -> list[float]:
 POISSON1 = poisson1()
 
 
+# Rows weighted at a time, and groups whose sums a task holds before it passes them on.
+WEIGHTED_ROWS, HELD_GROUPS = 4096, 10_000
+
+
+def _replicate_sums(batches: Iterator[pa.RecordBatch], by: list[str], constants: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Per group and task: the sums of weighted values and of weights in every replicate, as two arrays."""
+    factor, offset = (np.array(c, np.int64) for c in zip(*constants, strict=True))
+    steps, held, kinds = np.array(POISSON1), {}, []
+
+    def passed_on() -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
+        sums = [pa.array([x[i].tolist() for x in held.values()], pa.list_(pa.float64())) for i in (0, 1)]
+        out = pa.RecordBatch.from_arrays([*columns, *sums], [*by, "s", "w"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        kinds = [batch[c].type for c in by]
+        keys = list(zip(*[batch[c].to_pylist() for c in by], strict=True)) if by else [()] * batch.num_rows
+        h, v = batch["__h"].to_numpy(), batch["__v"].to_numpy()
+        for at in range(0, batch.num_rows, WEIGHTED_ROWS):
+            part = slice(at, at + WEIGHTED_ROWS)
+            u = (h[part, None] * factor + offset) % PRIME / float(PRIME)
+            weights = np.searchsorted(steps, u.ravel(), side="right").reshape(u.shape).astype(float)
+            number: dict[tuple, int] = {}
+            code = np.array([number.setdefault(k, len(number)) for k in keys[part]])
+            order = np.argsort(code, kind="stable")
+            starts = np.searchsorted(code[order], np.arange(len(number)))
+            w = np.add.reduceat(weights[order], starts)
+            s = np.add.reduceat((weights * v[part, None])[order], starts)
+            for key, i in number.items():
+                before = held.get(key)
+                held[key] = (s[i], w[i]) if before is None else (before[0] + s[i], before[1] + w[i])
+        if by and len(held) > HELD_GROUPS:
+            yield passed_on()
+    if held and by:
+        yield passed_on()
+    elif held:
+        s, w = held[()]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tolist()], pa.list_(pa.float64())) for x in (s, w)], ["s", "w"])
+
+
 def bootstrap_ci(df: DataFrame, by, row_id: str, c: str, b: int, seed: int = 0, lo: float = 0.025, hi: float = 0.975):
     """Percentile interval of the group mean over ``b`` Poisson bootstrap replicates.
 
-    A row's weight in a replicate comes from a hash of its id, so any partitioning gives the same result. Weighted sums
-    of a task's rows are combined before the shuffle, which then carries ``b`` rows per group.
+    A row's weight in a replicate comes from a hash of its id, so any partitioning gives the same result. Tasks sum all
+    replicates of a group as two vectors, so a group enters the shuffle as one row per task, not once per replicate.
     """
     by = as_list(by)
     digits = F.substring(F.md5(F.concat_ws(":", F.col(row_id).cast("string"), F.lit(str(seed)))), 1, 8)
     h = F.conv(digits, 16, 10).cast("long") % PRIME
-    reps = F.array(*[
-        F.struct(F.lit(i).alias("rep"), F.lit(m).cast("long").alias("m"), F.lit(o).cast("long").alias("o"))
-        for i, (m, o) in enumerate(replicate_constants(b, seed))
-    ])
-    rows = df.filter(F.col(c).isNotNull()).select(*by, F.col(c).alias("__v"), h.alias("__h"))
-    spread = rows.select("*", F.explode(reps).alias("r")).select(*by, "__v", "r.rep", (
-        (F.col("__h") * F.col("r.m") + F.col("r.o")) % PRIME / F.lit(float(PRIME))
-    ).alias("__u"))
-    weight = sum(((F.col("__u") >= t).cast("int") for t in POISSON1), F.lit(0))
-    sums = spread.withColumn("__w", weight).groupBy(*by, "rep").agg(
-        F.sum(F.col("__w") * F.col("__v")).alias("s"), F.sum("__w").alias("w")
-    )
-    means = sums.withColumn("m", F.try_divide("s", "w"))
-    return means.groupBy(*by).agg(
-        F.avg("m").alias("estimate"),
-        F.percentile("m", F.lit(float(lo))).alias("lower"),
-        F.percentile("m", F.lit(float(hi))).alias("upper"),
+    rows = df.filter(F.col(c).isNotNull()).select(*by, F.col(c).cast("double").alias("__v"), h.alias("__h"))
+    constants = replicate_constants(b, seed)
+    vector = T.ArrayType(T.DoubleType())
+    fields = [df.schema[k] for k in by]
+    sums = rows.mapInArrow(
+        lambda batches: _replicate_sums(batches, by, constants), T.StructType([*fields, T.StructField("s", vector), T.StructField("w", vector)])
     )
 
+    def interval(parts: pd.DataFrame) -> pd.DataFrame:
+        s, w = (np.sum(np.stack(parts[n].to_list()), axis=0) for n in ("s", "w"))
+        means = s[w > 0] / w[w > 0]
+        found = [means.mean(), *np.quantile(means, [lo, hi])] if len(means) else [None] * 3
+        return pd.DataFrame([[*parts[by].iloc[0], *found]], columns=[*by, *names])
+
+    names = ["estimate", "lower", "upper"]
+    return sums.groupBy(*by).applyInPandas(interval, T.StructType([*fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
+
 
 def _with_normal_scores(df: DataFrame, by: list[str], row_id: str, c: str) -> DataFrame:
     known = with_group_stats(df.filter(F.col(c).isNotNull()), by, {"__n": F.count(F.lit(1))})

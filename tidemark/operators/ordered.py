@@ -7,8 +7,8 @@ once on (series, chunk). A chunk that still holds too many rows is split again (
 
 
 * ``neighbourhood`` - expressions looking a fixed number of rows back and ahead. Rows away from the
-  chunk edges are computed inside their chunk; only the few edge rows of each chunk meet in a
-  per-series window.
+  chunk edges are computed inside their chunk; the edge rows of the chunks meet in blocks that overlap
+  by the expression's reach.
 * ``running`` - prefix aggregates. Chunk totals are aggregated map-side, their prefix is taken over
   one row per chunk, and the carried value is combined with the prefix inside the chunk.
 * ``with_group_stats`` - whole-series aggregates, written as a small table and joined back (no window).
@@ -37,6 +37,9 @@ SERIES, CHUNK, HEAD, SIZE, CUT = "__series", "__chunk", "__head", "__size", "__c
 HOT_ROWS = 10_000_000
 PARTS_PER_HOT_CHUNK = 16
 
+# Rows of a block of chunk edges; as many as the expression's reach at least.
+EDGE_ROWS = 65_536
+
 # Spans of values: rows a span is to hold, and the least number of spans.
 ROWS_PER_SPAN, LEAST_SPANS = 1_000_000, 32
 
@@ -148,10 +151,23 @@ def neighbourhood(
         named = exprs(w)
         return part.select("*", *[c.alias(n) for n, c in named.items()])
 
-    # Both branches read the same columns of the same shuffle, so Spark runs it once and reuses it.
-    whole = Window.partitionBy(*[F.col(f"{SERIES}.{c}") for c in by]).orderBy(*order)
+    # The branches read the same columns of the same shuffle, so Spark runs it once and reuses it.
     inner = add(numbered, inside).filter(~near_edge)
-    edges = add(numbered.filter((F.col(HEAD) <= span) | (tail <= span)), whole).filter(near_edge)
+    # A chunk passes on its first and last rows, all of it where it is short. They are numbered along the series from one
+    # row per chunk, cut into blocks at least as long as the reach, and only rows within reach of a block's end meet the
+    # next block too: however far an expression looks, a series is spread over tasks.
+    passed = F.least(F.col(SIZE), F.lit(2 * span))
+    along = Window.partitionBy(*[F.col(f"{SERIES}.{c}") for c in by]).orderBy(F.col(f"{SERIES}.{CHUNK}"))
+    offset = F.coalesce(F.sum(passed).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset")
+    starts = numbered.filter(F.col(HEAD) == 1).select(SERIES, SIZE).select(SERIES, offset)
+    edges = numbered.filter((F.col(HEAD) <= span) | (tail <= span)).join(starts, SERIES)
+    gone = F.when(F.col(HEAD) > span, F.greatest(F.col(SIZE) - 2 * span, F.lit(0))).otherwise(F.lit(0))
+    length, place = max(EDGE_ROWS, span), F.col("__offset") + F.col(HEAD) - 1 - gone
+    home = F.floor(place / length)
+    meets = F.array_distinct(F.array(home, F.floor((place - after) / length), F.floor((place + before) / length)))
+    edges = edges.withColumn("__home", home).withColumn("__block", F.explode(meets)).drop("__offset")
+    blocks = Window.partitionBy(*[F.col(f"{SERIES}.{c}") for c in by], "__block").orderBy(*order)
+    edges = add(edges, blocks).filter(near_edge & (F.col("__home") == F.col("__block"))).drop("__home", "__block")
     out = inner.unionByName(edges)
     helpers = {SERIES, CHUNK, HEAD, SIZE}
     return out.select(*keep, *[c for c in out.columns if c not in keep and c not in helpers])

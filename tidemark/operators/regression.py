@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.functions.special import log_factorial_expr
 from tidemark.operators.ordered import all_of, as_list, chunked, lagged, neighbourhood
 from tidemark.operators.windows import row_index, zscore
 from tidemark.session import cut_lineage
@@ -184,36 +185,139 @@ def design(df: DataFrame, factors: dict[str, Sequence], interactions: Sequence[t
     return df.withColumns(columns), list(columns)
 
 
-def glm(df: DataFrame, y: str, xs: Sequence[str], family: str, link: str, weight: str | None = None, tol: float = 1e-10):
-    """Fixed-effects GLM by Spark ML: one row per term with estimate and se."""
-    model = _glm_model(df, y, xs, family, link, weight, tol)
-    summary = model.summary
-    se = list(summary.coefficientStandardErrors)
-    rows = [("(intercept)", float(model.intercept), float(se[-1]))]
-    rows += [(x, float(b), float(s)) for x, b, s in zip(xs, model.coefficients, se)]
-    return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double")
-
-
-def _glm_model(df, y, xs, family, link, weight, tol):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    cols = [y, *xs] + ([weight] if weight else [])
-    complete = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]).dropna()
-    made = VectorAssembler(inputCols=[f"v{i + 1}" for i in range(len(xs))], outputCol="features").transform(complete)
-    est = GeneralizedLinearRegression(family=family, link=link, labelCol="v0", featuresCol="features", tol=tol, maxIter=50)
-    return (est.setWeightCol(f"v{len(cols) - 1}") if weight else est).fit(made)
+def _inverse_link(link: str, eta: Column) -> tuple[Column, Column]:
+    """Mean and its slope at a linear predictor."""
+    if link == "identity":
+        return eta, F.lit(1.0)
+    if link == "log":
+        return F.exp(eta), F.exp(eta)
+    if link == "logit":
+        mu = 1 / (1 + F.exp(-eta))
+        return mu, mu * (1 - mu)
+    raise ValueError(f"unknown link {link}")
+
+
+def _link(link: str, mu: Column) -> Column:
+    return {"identity": mu, "log": F.log(mu), "logit": F.log(mu / (1 - mu))}[link]
+
+
+def _family(family: str, y: Column, mu: Column, w: Column) -> tuple[Column, Column, Column]:
+    """Variance at a mean, a mean to start from, and a row's log likelihood (of the binomial up to its coefficients)."""
+    if family == "gaussian":
+        return F.lit(1.0), y, -w * (y - mu) * (y - mu) / 2
+    if family == "poisson":
+        return mu, y + 0.1, w * (y * F.log(mu) - mu - log_factorial_expr(y))
+    if family == "binomial":
+        sure = F.when(y > 0, y * F.log(mu)).otherwise(0) + F.when(y < 1, (1 - y) * F.log(1 - mu)).otherwise(0)
+        return mu * (1 - mu), (w * y + 0.5) / (w + 1), w * sure
+    raise ValueError(f"unknown family {family}")
+
+
+class Fit:
+    """A candidate model while it is fitted."""
+
+    def __init__(self, use: Sequence[int]):
+        self.use, self.beta, self.inverse, self.loglik, self.pearson, self.n = list(use), None, None, None, None, 0
+        self.converged = self.failed = False
+
+    def sums(self, family: str, link: str, at: str) -> tuple[Column, list[Column]]:
+        """The working response and weight of a row, to be named ``at``, and the sums that one step needs."""
+        y, w, x = F.col("v0"), F.col("w"), [F.lit(1.0), *[F.col(f"v{i}") for i in self.use]]
+        if self.beta is None:
+            mu = _family(family, y, y, w)[1]
+            eta = _link(link, mu)
+        else:
+            eta = sum((F.lit(float(b)) * c for b, c in zip(self.beta, x)), F.lit(0.0))
+            mu = _inverse_link(link, eta)[0]
+        slope = _inverse_link(link, eta)[1]
+        variance, _, loglik = _family(family, y, mu, w)
+        weight, response = F.col(f"{at}.weight"), F.col(f"{at}.response")
+        row = F.struct(
+            (w * slope * slope / variance).alias("weight"),
+            (eta + (y - mu) / slope).alias("response"),
+            loglik.alias("loglik"),
+            (w * (y - mu) * (y - mu) / variance).alias("pearson"),
+        )
+        pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+        found = [F.sum(f"{at}.loglik"), F.sum(f"{at}.pearson"), *[F.sum(weight * x[i] * x[j]) for i, j in pairs]]
+        return row, [*found, *[F.sum(weight * response * c) for c in x]]
+
+    def step(self, values: Sequence[float], n: int, tol: float) -> None:
+        k = len(self.use) + 1
+        values = [float("nan") if v is None else float(v) for v in values]
+        self.n, self.loglik, self.pearson = n, values[0], values[1]
+        square, right = _matrix(values[2 : 2 + k * (k + 1) // 2], k), np.array(values[-k:])
+        scale = np.sqrt(np.abs(np.diag(square)))
+        if n < k or not np.all(np.isfinite(square)) or np.any(scale == 0) or np.linalg.cond(square / np.outer(scale, scale)) > 1e12:
+            self.failed = True
+            return
+        self.inverse = np.linalg.inv(square)
+        beta = self.inverse @ right
+        if self.beta is not None:
+            self.converged = bool(np.max(np.abs(beta - self.beta)) <= tol * (1 + np.max(np.abs(beta))))
+        self.beta = self.beta if self.converged else beta
+
+
+def _irls(df: DataFrame, y: str, fits: dict[str, Fit], xs: Sequence[str], family: str, link: str, weight: str | None, tol: float, most: int = 50) -> None:
+    """Iteratively reweighted least squares of all candidates at once: one scan of a stored narrow table per step.
+
+    A step reads one row of sums; the solves are as small as the candidates.
+    """
+    cols = [y, *xs]
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    rows = cut_lineage(rows.dropna())
+    for _ in range(most):
+        live = {k: f for k, f in fits.items() if not f.converged and not f.failed}
+        if not live:
+            return
+        parts, sums = rows, []
+        for i, fit in enumerate(live.values()):
+            row, found = fit.sums(family, link, f"s{i}")
+            parts = parts.withColumn(f"s{i}", row)
+            sums.append(found)
+        values = parts.agg(F.count(F.lit(1)), *[c for found in sums for c in found]).first()
+        at = 1
+        for fit, found in zip(live.values(), sums):
+            fit.step(values[at : at + len(found)], values[0], tol)
+            at += len(found)
+
+
+def glm(
+    df: DataFrame, y: str, xs: Sequence[str], family: str, link: str, weight: str | None = None, tol: float = 1e-10
+) -> DataFrame:
+    """Fixed-effects GLM over complete rows: one row per term with estimate, se, n and whether the fit converged.
+
+    Families: gaussian, poisson, binomial; links: identity, log, logit. A singular design gives NULL estimates.
+    """
+    fit = Fit(range(1, len(xs) + 1))
+    _irls(df, y, {"": fit}, xs, family, link, weight, tol)
+    terms, k = ["(intercept)", *xs], len(xs) + 1
+    if fit.failed or fit.beta is None:
+        rows = [(t, None, None, fit.n, False) for t in terms]
+    else:
+        dispersion = fit.pearson / (fit.n - k) if family == "gaussian" and fit.n > k else 1.0
+        se = np.sqrt(np.diag(fit.inverse) * dispersion)
+        rows = [(t, float(b), float(s), fit.n, fit.converged) for t, b, s in zip(terms, fit.beta, se)]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, se double, n long, converged boolean")
 
 
 def model_grid(df: DataFrame, y: str, formulas: dict[str, Sequence[str]], family: str = "gaussian", link: str = "log"):
     """Compare candidate formulas: n, k, logLik, AIC, AICc, BIC, best AIC first; a failed fit is a row of NULLs.
 
-    For the gaussian family all candidates come from one covariance aggregate over the union of their predictors.
+    All candidates are fitted to the rows that are complete in the union of their predictors: for the gaussian family from
+    one covariance aggregate, for poisson and binomial in shared steps (with ``converged``).
     """
     schema = "model string, n long, k long, loglik double, aic double, aicc double, bic double"
     if family != "gaussian":
-        rows = [_glm_row(df, name, y, list(xs), family, link) for name, xs in formulas.items()]
-        return df.sparkSession.createDataFrame(rows, schema).orderBy(F.col("aic").asc_nulls_last(), "model")
+        xs = list(dict.fromkeys(x for xs in formulas.values() for x in xs))
+        fits = {name: Fit([xs.index(x) + 1 for x in use]) for name, use in formulas.items()}
+        _irls(df, y, fits, xs, family, link, None, 1e-8)
+        rows = [
+            (name, f.n, *[None] * 5, False) if f.failed else (name, *_criteria(f.loglik, f.n, len(f.use) + 1), f.converged)
+            for name, f in fits.items()
+        ]
+        out = df.sparkSession.createDataFrame(rows, f"{schema}, converged boolean")
+        return out.orderBy(F.col("aic").asc_nulls_last(), "model")
     columns = [y, *dict.fromkeys(x for xs in formulas.values() for x in xs)]
     place = {name: [columns.index(x) for x in xs] for name, xs in formulas.items()}
 
@@ -239,15 +343,6 @@ def _criteria(loglik: float, n: int, k: int):
     return n, k, float(loglik), float(aic), aicc, float(k * np.log(n) - 2 * loglik)
 
 
-def _glm_row(df, name, y, xs, family, link):
-    try:
-        model = _glm_model(df, y, xs, family, link, None, 1e-8)
-        n, k = model.summary.numInstances, len(xs) + 1
-        return (name, *_criteria((2 * k - model.summary.aic) / 2, n, k))
-    except Exception:  # a candidate that does not fit is reported, not fatal
-        return (name, None, None, None, None, None, None)
-
-
 def fit_exp_decay(df: DataFrame, by, t: str, y: str, iters: int = 30, tol: float = 1e-9) -> DataFrame:
     """``y = y0 exp(-lambda t)`` per group by Gauss-Newton from a log-linear start.
 
