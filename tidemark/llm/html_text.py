@@ -100,18 +100,32 @@ class Lines(HTMLParser):
         self.linked = self.elements = 0
         self.tags: dict[tuple[int, ...], int] = defaultdict(int)  # by the wrappers they stand in
         self.articles: dict[int, tuple[bool, tuple[int, ...]]] = {}  # main, wrappers it stands in
-        # tag, passed over, article it is in, number, forms and named blocks it is in
+        # tag, passed over, article it is in, block that holds its lines, forms and named blocks it is in
         self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
+        # Open blocks by tag; inline elements by tag that were opened in each open block; open links.
+        self.blocks: dict[str, int] = defaultdict(int)
+        self.inline: list[dict[str, int]] = [defaultdict(int)]
+        self.links = 0
 
     @property
     def top(self) -> tuple[str, bool, int, int, tuple[int, ...]]:
         return self.open[-1] if self.open else ("", False, 0, 0, ())
 
+    def count(self, tag: str, by: int) -> None:
+        if tag in BLOCKS:
+            self.blocks[tag] += by
+            if by > 0:
+                self.inline.append(defaultdict(int))
+            else:
+                self.inline.pop()
+        else:
+            self.inline[-1][tag] += by
+            self.links += by * (tag == "a")
+
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            container = next((e[3] for e in reversed(self.open) if e[0] in BLOCKS and e[0] not in ENDED_BY_NEXT and e[0][1:].isalpha()), 0)
-            wrappers = self.top[4]
+            container, wrappers = self.top[3:]
             self.lines.append(Line(text, self.tags.pop(wrappers, 0), self.linked, self.top[2], container, wrappers))
         self.parts, self.linked = [], 0
 
@@ -121,7 +135,7 @@ class Lines(HTMLParser):
             if self.open and tag in ENDED_BY_NEXT.get(self.open[-1][0], ()):
                 self.handle_endtag(self.open[-1][0])
             self.cut()
-        _, passed, article, _, wrappers = self.top
+        _, passed, article, container, wrappers = self.top
         if not passed:
             self.tags[wrappers] += 1
             if tag in SPACED:
@@ -137,26 +151,28 @@ class Lines(HTMLParser):
         if not article and (tag in ("article", "main") or ("role", "main") in attrs):
             article = self.elements
             self.articles[article] = (tag != "article", wrappers)
-        self.open.append((tag, passed, article, self.elements, wrappers))
+        if tag in BLOCKS and tag not in ENDED_BY_NEXT and tag[1:].isalpha():
+            container = self.elements
+        self.open.append((tag, passed, article, container, wrappers))
+        self.count(tag, 1)
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.cut()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if any(e[0] in BLOCKS for e in self.open[k:]):
-                    self.cut()
-                del self.open[k:]
-                break
-            if tag not in BLOCKS and self.open[k][0] in BLOCKS:
-                break  # an inline end tag without its start
+        # An inline end tag closes nothing beyond the block it stands in.
+        if self.blocks[tag] if tag in BLOCKS else self.inline[-1][tag]:
+            while True:
+                last = self.open.pop()[0]
+                self.count(last, -1)
+                if last == tag:
+                    break
         if not self.top[1]:
             self.tags[self.top[4]] += 1
 
     def handle_data(self, data):
         if not self.top[1]:
             self.parts.append(data)
-            if any(e[0] == "a" for e in self.open):
+            if self.links:
                 self.linked += len(data.strip())
 
     def close(self):

@@ -36,6 +36,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LABEL = re.compile("[A-Za-z0-9-]*")
 DIGIT_RUN = re.compile("[0-9]*")
 PHONE_RUN = re.compile("[ ().0-9-]*")
+HOST_END, HOST_INNER = re.compile("[/?#]"), re.compile(r"[^.]\.[^.]|\[[0-9A-Fa-f:]+")
 URL_RUN = re.compile(r"[^\s<>\"'`]*")
 CUE_GAP = re.compile(r"""[ \t]{0,3}[:=#]?[ \t]{0,3}["']?""")
 ACCOUNT_RUN = re.compile("[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
@@ -120,12 +121,23 @@ def phone(text: str, at: int) -> tuple[bool, int] | None:
     return 10 <= sum(map(DIGITS.__contains__, text[at:end])) <= 15, end
 
 
-def url(text: str, at: int, scheme: int) -> tuple[int, int] | None:
-    end = URL_RUN.match(text, at + scheme).end()
-    while end > at + scheme and text[end - 1] in ".,;:!?)]}":
-        end -= 1
-    host = re.split("[/?#]", text[at + scheme : end], maxsplit=1)[0]
-    return (at, end) if re.search(r"[^.]\.[^.]|\[[0-9A-Fa-f:]+", host) else None
+def url(text: str, at: int, scheme: int, run: list[int]) -> tuple[int, int] | None:
+    """``run`` keeps what was read last, so that schemes inside one run of address characters read it once: the run's end,
+    the end without closing marks, the end of the host, and where the host's first inner dot or bracket is."""
+    start = at + scheme
+    if start > run[0]:
+        run[0] = end = URL_RUN.match(text, start).end()
+        while end > start and text[end - 1] in ".,;:!?)]}":
+            end -= 1
+        run[1:] = end, -1, -1
+    end = max(run[1], start)
+    if start > run[2]:
+        stop = HOST_END.search(text, start, end)
+        run[2] = stop.start() if stop else end
+    if start > run[3]:
+        inner = HOST_INNER.search(text, start, run[2])
+        run[3] = inner.start() if inner else run[2]
+    return (at, end) if run[3] < run[2] else None
 
 
 def account(text: str, at: int, cue: int) -> tuple[int, int] | None:
@@ -140,7 +152,7 @@ def account(text: str, at: int, cue: int) -> tuple[int, int] | None:
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind in the order of ``KINDS``."""
     out: list[tuple[str, int, int]] = []
-    done = dict.fromkeys(KINDS, 0)
+    done, run = dict.fromkeys(KINDS, 0), [-1] * 4
     for last, (kind, length) in automaton().iter(text):
         at = last - length + 1
         if kind == "digit":
@@ -160,7 +172,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 done["phone"] = number[1]
                 if number[0]:
                     out.append(("phone", at, number[1]))
-        elif at >= done[kind] and (span := (url if kind == "url" else account)(text, at, length)):
+        elif at >= done[kind] and (span := url(text, at, length, run) if kind == "url" else account(text, at, length)):
             out.append((kind, *span))
             done[kind] = span[1]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))

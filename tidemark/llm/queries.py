@@ -167,16 +167,19 @@ v AS (
   FROM r WINDOW o AS (PARTITION BY rid ORDER BY pos)),
 n AS (SELECT rid, count(*) FILTER (WHERE covered) AS n_repeat_words FROM v GROUP BY rid),
 k AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-m AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+m AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM k WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 f AS (
   SELECT d.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM d JOIN w USING (rid) LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (WHERE base_failed) AS failed FROM b GROUP BY source),
+b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines
+      OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS rule_failed FROM f),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (WHERE rule_failed) AS failed FROM b GROUP BY source),
 p AS (
   SELECT sum(docs) AS docs, sum(failed) / sum(docs) AS mean, count(*) AS hosts, sum(failed * failed / docs) AS squares FROM h),
 q AS (
@@ -185,12 +188,12 @@ q AS (
     ELSE greatest(1.0, least(1e6, mean * (1 - mean) / (squares / docs - mean * mean - hosts * mean * (1 - mean) / docs) - 1))
     END AS strength FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (h.failed + mean * strength) / (h.docs + strength) <= 0.8 AS kept
+  NOT rule_failed AND (h.failed + mean * strength) / (h.docs + strength) <= 0.8 AS kept
 FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source CROSS JOIN q
 """
 )
 def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.quality(documents(spark, sf), carry=["doc_id"]).drop("host_docs", "host_failed", "host_rate")
+    return quality.quality(documents(spark, sf), carry=["doc_id"], every_rule=True).drop("host_docs", "host_failed", "host_rate")
 
 
 @query(
