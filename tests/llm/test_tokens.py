@@ -170,3 +170,20 @@ def test_training_order_of_nothing(none):
 def test_training_order_query(spark):
     rows = queries.op9_training_order(spark, SF).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+
+
+def test_training_order_of_a_shuffled_input(spark, odd):
+    """Adaptive execution may coalesce a shuffled input as it likes, and the table may be split anew between passes."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        mixed = odd.unionByName(odd).repartition("source").filter("doc_id IS NULL OR doc_id >= 0")
+        got = O.read_training_order(O.write_training_order(mixed, length=32, shard_rows=100), 32, 100)
+        want = O.read_training_order(O.write_training_order(odd, length=32, shard_rows=100, width=4), 32, 100, width=4)
+        slots = sorted(r["slot"] for r in got.select("slot").collect())
+        assert slots == list(range(2 * want.count())) and len(slots) > 0
+        own = ["doc_id", "piece", "length", "ids_crc32"]
+        assert got.select(own).exceptAll(want.select(own).unionAll(want.select(own))).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -170,15 +170,3 @@ def pieces(size: int, vocabulary: str = VOCABULARY, end: int = END, with_ids: bo
             yield pa.array([cut(ids + last) for block in blocks(batch) for ids in known.of_block(block)], pa.list_(kind))
 
     return of
-
-
-def piece_counts(size: int, vocabulary: str = VOCABULARY):
-    """Expression of a text: the number of its pieces, without making them."""
-
-    @F.arrow_udf("long")
-    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = known_pieces(vocabulary)
-        for batch in texts:
-            yield pa.array([n // size + 1 for block in blocks(batch) for n in known.counts(block)], pa.int64())
-
-    return of

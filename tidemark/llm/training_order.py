@@ -1,12 +1,14 @@
 """Training-order materialisation: sequences in a keyed random order, as fixed-stride files.
 
-Sequences are numbered densely: one pass counts them per task of the scan, the next numbers them from there on, as
-``zipWithIndex`` does, so nothing but the files and one shuffle holds the ids. A keyed Feistel network over the next even power of two, walked on until it lands below
-their number, sends each number to a global slot: a permutation that needs no shuffle buffer and that anyone with the key
-can invert. Slots are cut into shards by range; each shard is sorted by slot in one task and written as one file of
+Texts are tokenized once into a stored table of sequences, each beside the task that wrote it and its place there. One
+task's output is committed once, so the sequences before each task number them densely, however the table is read again:
+shuffled inputs, coalesced partitions, other split sizes and lost executors give the same numbers. A keyed Feistel network
+over the next even power of two, walked on until it lands below their number, sends each number to a global slot: a
+permutation that needs no shuffle buffer and that anyone with the key can invert. Slots are cut into shards by range; each shard is sorted by slot in one task and written as one file of
 fixed-stride records, so a reader finds slot k at (k mod rows per shard) x stride and can resume anywhere.
 
-Record: id (8 bytes), piece (4), length (4), then the token ids, 2 bytes each, padded with zeros; all little-endian. Files
+Record: id (8 bytes), piece (4), length (4), then the token ids, ``width`` bytes each (2 or 4), padded with zeros; all
+little-endian. Files
 are written under a name of the attempt and renamed when whole, with equal contents in every attempt, so a task that is
 run again does no harm. A writer fails unless the slots of its shard follow one another without a gap, which also guards the
 numbering. The manifest lists each shard's rows, bytes and checksum.
@@ -21,16 +23,15 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import written
-from tidemark.llm.tokens import END, VOCABULARY, blocks, known_pieces, piece_counts
+from tidemark.llm.common import small, written
+from tidemark.llm.tokens import END, VOCABULARY, blocks, known_pieces
 from tidemark.session import checkpoint_root
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -40,8 +41,8 @@ HEADER = np.dtype([("id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
 NO_ID = -(1 << 63)
 
 
-def record_type(length: int) -> np.dtype:
-    return np.dtype([*HEADER.descr, ("ids", "<u2", (length,))])
+def record_type(length: int, width: int = 2) -> np.dtype:
+    return np.dtype([*HEADER.descr, ("ids", f"<u{width}", (length,))])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -69,23 +70,21 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS, back:
     return out.astype(np.int64)
 
 
-def _numbered(first: dict[int, int], n: int, key: int, length: int, vocabulary: str, end: int):
-    """Rows (id, text) of a task, whose pieces are numbered from ``first`` of the task on, as rows with their slots."""
+def _sequences(length: int, width: int, vocabulary: str, end: int):
+    """Rows (id, text) as sequences, with the task that makes them and their places in its output."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         known, last = known_pieces(vocabulary), np.array([end], "<u4").tobytes()
-        at = first.get(TaskContext.get().partitionId(), 0)
+        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, row = batch["id"].fill_null(NO_ID).to_numpy(), 0
             for block in blocks(batch["text"]):
                 flat = [np.frombuffer(x + last, "<u4") for x in known.of_block(block)]
-                if any(x.max() > 0xFFFF for x in flat):
-                    raise ValueError("token ids need more than 2 bytes")
+                if width < 4 and any(x.max() >> 8 * width for x in flat):
+                    raise ValueError(f"token ids need more than {width} bytes")
                 parts = [(i, k, x[a : a + length]) for i, x in enumerate(flat) for k, a in enumerate(range(0, len(x), length))]
-                numbers = np.arange(at, at + len(parts))
-                at += len(parts)
                 own = np.fromiter((p[0] for p in parts), np.int64, len(parts)) + row
                 row += len(block)
                 yield pa.RecordBatch.from_arrays(
@@ -93,16 +92,27 @@ def _numbered(first: dict[int, int], n: int, key: int, length: int, vocabulary:
                         pa.array(ids[own]),
                         pa.array(np.fromiter((p[1] for p in parts), np.int32, len(parts))),
                         pa.array(np.fromiter((len(p[2]) for p in parts), np.int32, len(parts))),
-                        pa.array([p[2].astype("<u2").tobytes() for p in parts], pa.binary()),
-                        pa.array(permuted(numbers, n, key)),
+                        pa.array([p[2].astype(f"<u{width}").tobytes() for p in parts], pa.binary()),
+                        pa.array(np.full(len(parts), task, np.int32)),
+                        pa.array(np.arange(at, at + len(parts))),
                     ],
-                    ["id", "piece", "length", "ids", "slot"],
+                    ["id", "piece", "length", "ids", "task", "place"],
                 )
+                at += len(parts)
+
+    return cut
+
 
-    return number
+def _slot(number: Column, n: int, key: int) -> Column:
+    @F.arrow_udf("long")
+    def of(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in numbers:
+            yield pa.array(permuted(batch.to_numpy(zero_copy_only=False), n, key))
 
+    return of(number)
 
-def _writer(folder: str, length: int, shard_rows: int):
+
+def _writer(folder: str, length: int, shard_rows: int, width: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
 
@@ -120,11 +130,11 @@ def _writer(folder: str, length: int, shard_rows: int):
         for batch in batches:
             shard, slot = batch["shard"].to_numpy(), batch["slot"].to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            records = np.zeros(len(shard), record_type(length))
+            records = np.zeros(len(shard), record_type(length, width))
             records["id"] = batch["id"].to_numpy()
             records["piece"], records["length"] = batch["piece"].to_numpy(), batch["length"].to_numpy()
             for k, ids in enumerate(batch["ids"]):
-                tokens = np.frombuffer(ids.as_buffer(), "<u2")
+                tokens = np.frombuffer(ids.as_buffer(), f"<u{width}")
                 records["ids"][k, : len(tokens)] = tokens
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -156,26 +166,28 @@ def write_training_order(
     vocabulary: str = VOCABULARY,
     end: int = END,
     folder: str | None = None,
+    width: int = 2,
 ) -> DataFrame:
     """Writes the shards below ``folder`` (by default a new one in the shared folder) and returns the manifest:
     (shard, rows, bytes, crc32, file)."""
     spark = docs.sparkSession
-    counts = docs.select(F.spark_partition_id().alias("task"), piece_counts(length, vocabulary)(F.col(text_col)).alias("n"))
-    # One row per task of the scan.
-    tasks = sorted(map(tuple, counts.groupBy("task").agg(F.sum("n")).collect()))
-    ends = list(accumulate(k for _, k in tasks))
-    n = ends[-1] if ends else 0
-    first = {task: end_ - k for (task, k), end_ in zip(tasks, ends, strict=True)}
+    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        _sequences(length, width, vocabulary, end), "id long, piece int, length int, ids binary, task int, place long"
+    )
+    stored = written(cut, "sequences")
+    # One row per task.
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = stored.groupBy("task").agg(F.count(F.lit(1)).alias("k")).withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0)))
+    first = written(first, "tasks")
+    tasks, n = first.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
     folder = folder or f"{checkpoint_root(spark)}/tidemark-llm/order-{uuid.uuid4().hex}"
     _make(folder)
-    # Tokenizing, numbering and the permutation share one Python process per task.
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _numbered(first, n, key, length, vocabulary, end), "id long, piece int, length int, ids binary, slot long"
-    )
+    numbered = stored.join(small(first.select("task", "first"), tasks), "task")
+    dealt = numbered.select("id", "piece", "length", "ids", _slot(F.col("first") + F.col("place"), n, key).alias("slot"))
     dealt = dealt.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
     shards = max(1, -(-n // shard_rows))
     sorted_ = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
-    manifest = sorted_.mapInArrow(_writer(folder, length, shard_rows), "shard long, rows long, bytes long, crc32 long, file string")
+    manifest = sorted_.mapInArrow(_writer(folder, length, shard_rows, width), "shard long, rows long, bytes long, crc32 long, file string")
     return written(manifest, "manifest")
 
 
@@ -186,11 +198,13 @@ def _make(folder: str) -> None:
     store.create_dir(path, recursive=True)
 
 
-def read_records(file: str, length: int, first: int = 0, rows: int | None = None, block: int = 4096) -> Iterator[np.ndarray]:
+def read_records(
+    file: str, length: int, first: int = 0, rows: int | None = None, block: int = 4096, width: int = 2
+) -> Iterator[np.ndarray]:
     """Records of a shard from row ``first`` on, in blocks; a reader that stopped goes on with the row it stopped at."""
     from pyarrow.fs import FileSystem
 
-    kind = record_type(length)
+    kind = record_type(length, width)
     store, path = FileSystem.from_uri(file)
     with store.open_input_file(path) as f:
         last = f.size() // kind.itemsize
@@ -200,14 +214,14 @@ def read_records(file: str, length: int, first: int = 0, rows: int | None = None
             yield np.frombuffer(f.read((min(a + block, last) - a) * kind.itemsize), kind)
 
 
-def read_training_order(manifest: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def read_training_order(manifest: DataFrame, length: int = LENGTH, shard_rows: int = SHARD_ROWS, width: int = 2) -> DataFrame:
     """The sequences as the files hold them: (doc_id, piece, length, slot, shard, ids_crc32)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, file in zip(batch["shard"].to_pylist(), batch["file"].to_pylist(), strict=True):
                 slot = shard * shard_rows
-                for records in read_records(file, length):
+                for records in read_records(file, length, width=width):
                     sums = [crc32(r[:n].astype("<u4").tobytes()) for r, n in zip(records["ids"], records["length"], strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
