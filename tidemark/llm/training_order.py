@@ -23,7 +23,7 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,16 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS, back:
     return out.astype(np.int64)
 
 
+def squeezed(ids: np.ndarray, width: int) -> bytes:
+    """Ids as compressed planes of their low, second, ... bytes: the stored and shuffled form of a sequence."""
+    return compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
+
+
+def unsqueezed(data, width: int) -> np.ndarray:
+    planes = np.frombuffer(decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
 def _sequences(length: int, width: int, vocabulary: str, end: int):
     """Rows (id, text) as sequences, with the task that makes them and their places in its output."""
 
@@ -92,7 +102,7 @@ def _sequences(length: int, width: int, vocabulary: str, end: int):
                         pa.array(ids[own]),
                         pa.array(np.fromiter((p[1] for p in parts), np.int32, len(parts))),
                         pa.array(np.fromiter((len(p[2]) for p in parts), np.int32, len(parts))),
-                        pa.array([p[2].astype(f"<u{width}").tobytes() for p in parts], pa.binary()),
+                        pa.array([squeezed(p[2], width) for p in parts], pa.binary()),
                         pa.array(np.full(len(parts), task, np.int32)),
                         pa.array(np.arange(at, at + len(parts))),
                     ],
@@ -134,7 +144,7 @@ def _writer(folder: str, length: int, shard_rows: int, width: int):
             records["id"] = batch["id"].to_numpy()
             records["piece"], records["length"] = batch["piece"].to_numpy(), batch["length"].to_numpy()
             for k, ids in enumerate(batch["ids"]):
-                tokens = np.frombuffer(ids.as_buffer(), f"<u{width}")
+                tokens = unsqueezed(ids.as_buffer(), width)
                 records["ids"][k, : len(tokens)] = tokens
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
