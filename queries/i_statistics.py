@@ -56,6 +56,48 @@ def _i02(spark, sf):
     return out.withColumns({"rss": F.round("rss", 2), "r2": F.round("r2", 7)})
 
 
+# With two predictors dropped, the upper tail of F is (1 + 2 F / df2) ^ (-df2 / 2).
+@query(
+    "i02_compare_nested",
+    f"""WITH {OLS2}, f AS (SELECT *, (n * vy - rss) / 2 / (rss / (n - 3)) AS f FROM t)
+    SELECT g, n, CAST(2 AS BIGINT) AS df1, n - 3 AS df2, round(n * vy, 2) AS rss_reduced, round(rss, 2) AS rss_full, round(f, 4) AS f,
+      round(pow(1 + 2 * f / (n - 3), -(n - 3) / 2.0), 7) AS p FROM f""",
+)
+def _i02b(spark, sf):
+    out = reg.compare_nested(items(spark, sf), "g", "y", [], ["q", "d"])
+    return rounded(rounded(rounded(out, 2, "rss_reduced", "rss_full"), 4, "f"), 7, "p")
+
+
+@query(
+    "i02_variance_inflation",
+    f"""WITH c AS (SELECT g, count(*) AS n, corr(q, d) AS a, corr(q, y) AS b, corr(d, y) AS c FROM {LI} GROUP BY g),
+      e AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c)
+    SELECT g, 'q' AS term, n, round((1 - c * c) / det, 6) AS vif FROM e UNION ALL SELECT g, 'd', n, round((1 - b * b) / det, 6) FROM e
+    UNION ALL SELECT g, 'y', n, round((1 - a * a) / det, 6) FROM e""",
+)
+def _i02c(spark, sf):
+    return rounded(reg.variance_inflation(items(spark, sf), "g", ["q", "d", "y"]), 6, "vif")
+
+
+# The t quantile of the band, expanded around the normal one as its groups are large.
+Z = 1.959963984540054
+T_SQL = f"({Z} + ({Z**3 + Z}) / 4 / (n - 2) + ({5 * Z**5 + 16 * Z**3 + 3 * Z}) / 96 / (n - 2) ** 2)"
+
+
+@query(
+    "i01_fitted_band",
+    f"""WITH m AS (SELECT g, count(*) AS n, avg(q) AS mx, avg(y) AS my, regr_sxx(y, q) AS sxx, regr_syy(y, q) AS syy, regr_slope(y, q) AS b
+        FROM {LI} GROUP BY g),
+      r AS (SELECT g, q, y, n, my + b * (q - mx) AS fitted,
+        sqrt((syy - b * b * sxx) / (n - 2) * (1.0 / n + (q - mx) ** 2 / sxx)) AS se FROM {LI} JOIN m USING (g))
+    SELECT g, q, y, round(fitted, 6) AS fitted, round(se, 6) AS fit_se, round(fitted - {T_SQL} * se, 5) AS lower,
+      round(fitted + {T_SQL} * se, 5) AS upper FROM r""",
+)
+def _i01b(spark, sf):
+    out = reg.fitted_band(items(spark, sf).drop("d", "x"), "g", "y", "q")
+    return rounded(rounded(out, 6, "fitted", "fit_se"), 5, "lower", "upper")
+
+
 @query("i03_path_model")
 def _i03(spark, sf):
     t = telemetry(spark, sf).withColumn("load", F.col("event_id") % 17).withColumn("hour", F.hour("timestamp"))
@@ -269,6 +311,24 @@ def _i16(spark, sf):
     return rounded(gt.poisson_gof(counts, "n"), 4, "expected")
 
 
+@query(
+    "i16_chi_square",
+    """WITH c AS (SELECT n AS k, count(*) AS observed FROM (SELECT count(*) AS n FROM (SELECT DISTINCT ps.user_id, ps.event_type,
+        CAST(ps.ts AS DATE) AS day FROM events ps) GROUP BY day) GROUP BY 1),
+      s AS (SELECT *, sum(observed) OVER () AS n, sum(k * observed) OVER () / sum(observed) OVER () AS lam FROM c),
+      p AS (SELECT *, exp(k * ln(lam) - lam - lgamma(k + 1)) AS p FROM s),
+      x AS (SELECT observed, n * p / sum(p) OVER () AS e FROM p),
+      t AS (SELECT sum((observed - e) ** 2 / e) AS x, count(*) - 1 AS df FROM x)
+    SELECT round(x, 4) AS chi2, df, round(1 - list_sum([exp((df / 2.0 + j) * ln(x / 2) - x / 2 - lgamma(df / 2.0 + j + 1))
+      for j in range(0, 2000)]), 7) + 0.0 AS p FROM t""",
+)
+def _i16b(spark, sf):
+    ev = table(spark, sf, "events").select("user_id", "event_type", F.to_date("ts").alias("day")).distinct()
+    counts = ev.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    out = gt.chi_square(gt.poisson_gof(counts, "n"))
+    return rounded(rounded(out, 4, "chi2"), 7, "p")
+
+
 @query(
     "i17_normality",
     """WITH m AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM events GROUP BY 1),

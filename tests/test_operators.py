@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from tidemark.functions import special
 from tidemark.operators import (
     aggregate as agg,
     control as ctl,
@@ -359,3 +360,39 @@ def test_glm_steps(spark):
     assert grid["null"].converged and grid["b"].converged and not grid["sep"].converged and grid["twice"].loglik is None
     share = np.mean([r[4] for r in rows] + [0.0])
     assert grid["null"].loglik == pytest.approx(401 * (share * np.log(share) + (1 - share) * np.log(1 - share)), rel=1e-6)
+
+
+def test_tails_agree_with_closed_forms(spark):
+    for df2, f in [(5, 0.3), (40, 2.5), (300, 8.0)]:
+        assert special.f_sf(f, 2, df2) == pytest.approx((1 + 2 * f / df2) ** (-df2 / 2), rel=1e-9)
+    rows = [(x, d) for x in (0.0, 0.7, 3.84, 25.0) for d in (1, 2, 3, 4, 9, 10)]
+    found = spark.createDataFrame(rows, "x double, df int")
+    for d in (1, 2, 3, 4, 9, 10):
+        part = found.filter(F.col("df") == d).select(special.chi2_sf_at(F.col("x"), F.col("df")), special.chi2_sf_expr(F.col("x"), d))
+        for at, fixed in part.collect():
+            assert at == pytest.approx(fixed, abs=1e-10)
+
+
+def test_nested_models_inflation_and_band(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=60), rng.normal(size=60)
+    y = 1 + 2 * a + rng.normal(size=60)
+    rows = [("g", *map(float, v)) for v in zip(a, b, y)] + [("few", 1.0, 2.0, 3.0), ("g", None, 1.0, 1.0), ("g", 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y double")
+
+    def rss(*cols):
+        x = np.column_stack([np.ones(60), *cols])
+        return float(np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2))
+
+    got = {r.g: r for r in reg.compare_nested(df, "g", "y", ["a"], ["a", "b"]).collect()}
+    want = (rss(a) - rss(a, b)) / (rss(a, b) / 57)
+    assert got["g"].f == pytest.approx(want) and 0 < got["g"].p < 1 and got["few"].f is None
+    vif = {(r.g, r.term): r.vif for r in reg.variance_inflation(df.dropna(), "g", ["a", "b"]).collect()}
+    assert vif["g", "a"] == pytest.approx(1 / (1 - np.corrcoef(a, b)[0, 1] ** 2)) and vif["few", "a"] is None
+    band = reg.fitted_band(df, "g", "y", "a").collect()
+    line = np.polyfit(a, y, 1)
+    for r in band:
+        if r.g == "g" and r.a is not None:
+            assert r.fitted == pytest.approx(np.polyval(line, r.a)) and r.lower < r.fitted < r.upper
+        elif r.g == "few" or r.a is None:
+            assert r.lower is None

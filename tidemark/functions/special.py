@@ -123,6 +123,27 @@ def chi2_sf_expr(x: Column, df: int) -> Column:
     return tail + F.exp(-half) * math.sqrt(2 / math.pi) * root * total
 
 
+def chi2_sf_at(x: Column, df: Column) -> Column:
+    """Upper tail of chi-square whose whole degrees of freedom are a column: the finite sums, df / 2 terms per row."""
+    half, odd = x / 2, df % 2 == 1
+    start = F.when(odd, F.sqrt(2 * x / math.pi)).otherwise(F.lit(1.0))
+    steps = F.sequence(F.lit(1), F.greatest(F.floor(df / 2), F.lit(1)).cast("int"))
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(0.0))
+    sums = F.aggregate(
+        steps,
+        F.struct(F.lit(0.0).alias("total"), start.alias("term")),
+        lambda a, k: F.struct((a["total"] + a["term"]).alias("total"), (a["term"] * half / (k + shift)).alias("term")),
+    )["total"]
+    tail = F.exp(-half) * sums
+    p = F.when(odd, 2 * normal_cdf_expr(-F.sqrt(x)) + F.when(df > 1, tail).otherwise(0.0)).otherwise(tail)
+    return F.when(df < 1, F.lit(None)).when(x <= 0, F.lit(1.0)).otherwise(p)
+
+
+def f_sf(f: float, df1: float, df2: float) -> float:
+    """Upper tail of the F distribution."""
+    return 1.0 if f <= 0 else _beta_inc(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+
+
 def log_factorial_expr(k: Column) -> Column:
     """ln k! for whole k >= 0: exact to 20, Stirling's series beyond (error below 1e-13)."""
     x = k.cast("double") + 1.0

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.special import log_factorial_expr, normal_cdf_expr, normal_quantile_expr
+from tidemark.functions.special import chi2_sf_at, log_factorial_expr, normal_cdf_expr, normal_quantile_expr
 from tidemark.operators.ordered import as_list, running, value_chunk, with_group_stats
 from tidemark.operators.series_stats import acf
 from tidemark.operators.windows import p_adjust
@@ -116,9 +116,10 @@ def poisson_gof(df: DataFrame, c: str) -> DataFrame:
 
 
 def chi_square(gof: DataFrame) -> DataFrame:
-    """Statistic and degrees of freedom of an observed / expected table."""
+    """Statistic, degrees of freedom and upper-tail p of an observed / expected table (one kind only: no test, p is NULL)."""
     d = F.col("observed") - F.col("expected")
-    return gof.agg(F.sum(d * d / F.col("expected")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
+    out = gof.agg(F.sum(d * d / F.col("expected")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
+    return out.withColumn("p", chi2_sf_at(F.col("chi2"), F.col("df")))
 
 
 # Modulus and generators of the replicate hash.

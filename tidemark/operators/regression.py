@@ -14,14 +14,16 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.functions.special import log_factorial_expr
-from tidemark.operators.ordered import all_of, as_list, chunked, lagged, neighbourhood
+from tidemark.functions import special
+from tidemark.functions.special import log_factorial_expr, t_quantile_expr
+from tidemark.operators.ordered import all_of, as_list, chunked, lagged, neighbourhood, with_group_stats
 from tidemark.operators.windows import row_index, zscore
 from tidemark.session import cut_lineage
 
 
 # Executors need not have this package installed: the small solvers travel with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(special)
 
 
 def ols_line(df: DataFrame, by, y: str, x: str) -> DataFrame:
@@ -107,6 +109,86 @@ def ols(df: DataFrame, by, y: str, xs: Sequence[str]) -> DataFrame:
     return fit.select(*by, "n", "means", "covs").mapInPandas(solve, out)
 
 
+def compare_nested(df: DataFrame, by, y: str, reduced: Sequence[str], full: Sequence[str]) -> DataFrame:
+    """F test per group of a model against one that holds its predictors and more, over the rows complete in both.
+
+    Both residual sums come from one pass of covariances. A singular fit, too few rows or an exact full fit leave the
+    statistic NULL.
+    """
+    if not set(reduced) < set(full):
+        raise ValueError("the reduced model's predictors are a proper part of the full model's")
+    by = as_list(by)
+    place = {x: i for i, x in enumerate(full, start=1)}
+    df1 = len(full) - len(reduced)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                small, large = (_solve(row.n, row.means, row.covs, [place[x] for x in xs]) for xs in (reduced, full))
+                key, df2 = tuple(row)[: len(by)], row.n - len(full) - 1
+                rss = [None if m is None else m[2] for m in (small, large)]
+                if None in rss or rss[1] <= 0:
+                    rows.append((*key, row.n, df1, df2, *rss, None, None))
+                    continue
+                f = (rss[0] - rss[1]) / df1 / (rss[1] / df2)
+                rows.append((*key, row.n, df1, df2, *rss, f, special.f_sf(f, df1, df2)))
+            yield pd.DataFrame(rows, columns=[*by, *names])
+
+    kinds = {"n": T.LongType(), "df1": T.LongType(), "df2": T.LongType()}
+    names = [*kinds, "rss_reduced", "rss_full", "f", "p"]
+    out = T.StructType(_fields(df, by) + [T.StructField(c, kinds.get(c, T.DoubleType())) for c in names])
+    return moments(df, by, [y, *full]).select(*by, "n", "means", "covs").mapInPandas(solve, out)
+
+
+def variance_inflation(df: DataFrame, by, xs: Sequence[str]) -> DataFrame:
+    """Variance inflation factor of each predictor per group: the diagonal of the inverse correlation matrix.
+
+    A group with a constant predictor or an exact dependence has NULL factors.
+    """
+    by = as_list(by)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                cov = _matrix(np.asarray(row.covs, dtype=float), len(xs))
+                scale = np.sqrt(np.diag(cov))
+                known = np.all(scale > 0) and np.linalg.cond(cov / np.outer(scale, scale)) <= 1e12
+                vif = np.diag(np.linalg.inv(cov / np.outer(scale, scale))).tolist() if known else [None] * len(xs)
+                rows += [(*tuple(row)[: len(by)], x, row.n, v) for x, v in zip(xs, vif, strict=True)]
+            yield pd.DataFrame(rows, columns=[*by, "term", "n", "vif"])
+
+    kinds = {"term": T.StringType(), "n": T.LongType(), "vif": T.DoubleType()}
+    out = T.StructType(_fields(df, by) + [T.StructField(c, k) for c, k in kinds.items()])
+    return moments(df, by, xs).select(*by, "n", "means", "covs").mapInPandas(solve, out)
+
+
+def fitted_band(df: DataFrame, by, y: str, x: str, level: float = 0.95) -> DataFrame:
+    """Rows with their group's straight line and the confidence band of its mean: ``fitted``, ``fit_se``, ``lower``, ``upper``.
+
+    The line uses rows where both are known; a row without ``x`` has no fit, one without ``y`` has. Groups of fewer than
+    three such rows have no band.
+    """
+    by, known = as_list(by), F.col(x).isNotNull() & F.col(y).isNotNull()
+    own = F.when(known, F.col(x).cast("double"))
+    stats = {
+        "__n": F.count(own),
+        "__mx": F.avg(own),
+        "__sxx": F.regr_sxx(y, x),
+        "__syy": F.regr_syy(y, x),
+        "__slope": F.regr_slope(y, x),
+        "__my": F.avg(F.when(known, F.col(y).cast("double"))),
+    }
+    out = with_group_stats(df, by, stats)
+    free, away = F.col("__n") - 2, F.col(x) - F.col("__mx")
+    rest = F.greatest(F.col("__syy") - F.col("__slope") * F.col("__slope") * F.col("__sxx"), F.lit(0.0))
+    spread = F.try_divide(rest, free) * (1 / F.col("__n") + F.try_divide(away * away, "__sxx"))
+    reach = t_quantile_expr((1 + level) / 2, free) * F.col("fit_se")
+    out = out.withColumn("fitted", F.col("__my") + F.col("__slope") * away).withColumn("fit_se", F.sqrt(spread))
+    return out.withColumns({"lower": F.col("fitted") - reach, "upper": F.col("fitted") + reach}).drop(*stats)
+
+
 def path_model(df: DataFrame, by_time: tuple, equations: dict[str, Sequence[str]], cluster: str, lags=(1,), chunk=None):
     """Recursive path model: each equation is a regression on z-scored and lagged variables, complete rows only.
 
