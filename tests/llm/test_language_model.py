@@ -134,3 +134,48 @@ def test_odd_rows(spark, odd, none, frequent):
 def test_without_training_texts(spark, odd):
     got = L.scored(odd, L.F.lit(False)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["held_out"] and r["score"] < 0 for r in got)
+
+
+def test_stride_gradients_are_those_of_overlapping_windows():
+    rng = np.random.default_rng(3)
+    weights, of, slot, prior = model()
+    weights = {n: w.astype(float) for n, w in weights.items()}
+    texts = [rng.integers(0, TOKENS, n) for n in (0, 15, 16, 70)]
+    inputs, target, counts, opening, _ = A.laid(texts, 1)
+    slots = slot[np.concatenate([np.full(A.STRIDE, 1), inputs])]
+    got = A.stride_gradients(weights, slots, prior.classes[slots[A.STRIDE :]].astype(float), of[target], counts.astype(float), opening)
+    want = {n: 0 for n in weights}
+    for text in texts:
+        ids = np.array([1, *text.tolist(), 1])
+        for at in range(0, len(ids) - 1, A.STRIDE):
+            first, last = max(0, at - A.STRIDE), min(at + A.STRIDE, len(ids) - 1)
+            window = np.full(A.WINDOW + 1, 1)
+            window[: last + 1 - first] = ids[first : last + 1]
+            mask = np.zeros((1, A.WINDOW))
+            mask[0, at - first : last - first] = 1
+            given = (slot[window[None, :-1]], prior.classes[slot[window[None, :-1]]].astype(float), of[window[None, 1:]], mask)
+            for name, g in A.loss_and_gradients(weights, *given)[1].items():
+                want[name] = want[name] + g * mask.sum() / sum(len(t) + 1 for t in texts)
+    for name, g in got.items():
+        assert g == pytest.approx(want[name], rel=1e-6, abs=1e-12)
+
+
+def test_training_looks_at_every_token_of_every_text():
+    _, of, slot, prior = model()
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, TOKENS, n).astype(L.ID) for n in (9000, 0, 40)]
+
+    class Model:
+        value = (of, slot, prior)
+
+    def weights(texts):
+        batch = L.pa.record_batch([L.pa.array([t.tobytes() for t in texts], L.pa.binary())], ["ids"])
+        (out,) = L._trained(iter([batch]), A.flat(A.start()), Model, 1)
+        return out["n"][0].as_py(), out["total"].to_numpy()
+
+    n, plain = weights(texts)
+    assert n == sum(len(t) + 1 for t in texts)
+    for text, place in [(0, 0), (0, 1234), (0, 4095), (0, 7777), (0, 8999), (2, 0), (2, 39)]:
+        other = [t.copy() for t in texts]
+        other[text][place] = (other[text][place] + 150) % TOKENS
+        assert (weights(other)[1] != plain).any()

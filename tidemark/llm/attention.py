@@ -1,4 +1,4 @@
-"""A small causal self-attention model over token ids, in numpy: training on windows, and scoring whole texts.
+"""A small causal self-attention model over token ids, in numpy: training on whole texts, and scoring them.
 
 The probability of a token is that of its class, given the tokens before it, times that of the token in its class, given
 the last token. The most frequent tokens are classes of their own; the others share classes of about equal weight. A
@@ -6,9 +6,9 @@ class's logits are the logarithm of its smoothed frequency behind the last token
 self-attention reads from the last ``WINDOW`` tokens, with a learned bias per distance. Frequencies are counted over the
 whole corpus. Tokens are told apart by slots: the most frequent have one of their own, the others share one per class.
 
-Scoring cuts a text into strides of ``STRIDE`` tokens. Each stride is one row of a batch and sees the tokens of the
+Training and scoring cut a text into strides of ``STRIDE`` tokens. Each stride is one row of a batch and sees the tokens of the
 stride before as context; a mask hides later tokens and everything before the text. So windows overlap by half, each token
-is scored once, and it sees at least ``STRIDE`` tokens before it where the text has them. Projections depend on a token
+is a target once, and it sees at least ``STRIDE`` tokens before it where the text has them. Projections depend on a token
 alone and are looked up.
 """
 
@@ -28,8 +28,10 @@ SLOTS = 2048
 HIDDEN = -1e9
 #: Weight of the wider distribution in a smoothed one, in tokens.
 SMOOTHING = 5.0
-#: Training: windows a step, first step size.
-STEP_WINDOWS, RATE = 32, 0.02
+#: Bytes of a block that stays with the process when it is freed.
+KEPT = 24 << 20
+#: Training: strides a step, step size.
+STEP_STRIDES, RATE = 256, 0.02
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,39 +133,142 @@ def loss_and_gradients(weights: dict, slots: np.ndarray, prior: np.ndarray, targ
     }
 
 
-def trained(
-    weights: dict, windows: np.ndarray, lengths: np.ndarray, of: np.ndarray, slot: np.ndarray, prior: Prior, rate: float = RATE
-) -> dict:
-    """The weights after one pass over windows (n x (WINDOW + 1) token ids; the first ``length`` of a row count)."""
-    weights = {n: w.copy() for n, w in weights.items()}
-    mean = {n: np.zeros_like(w) for n, w in weights.items()}
-    square = {n: np.zeros_like(w) for n, w in weights.items()}
-    for step, at in enumerate(range(0, len(windows), STEP_WINDOWS), 1):
-        ids = windows[at : at + STEP_WINDOWS]
-        inputs, target = ids[:, :-1], of[ids[:, 1:]]
-        mask = (np.arange(WINDOW) < lengths[at : at + STEP_WINDOWS, None] - 1).astype(np.float32)
-        slots = slot[inputs]
-        _, grads = loss_and_gradients(weights, slots, prior.classes[slots], target, mask)
+def laid(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in whole strides, one behind another: input ids, target ids, which places count, which strides open a text,
+    and each text's first place. An end stands before each text and behind it."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    strides = -(-sizes // STRIDE)
+    first = np.cumsum(strides) - strides
+    total = int(strides.sum())
+    ids = np.full(total * STRIDE + 1, end, np.int64)
+    for text, at in zip(texts, (first * STRIDE).tolist(), strict=True):
+        ids[at + 1 : at + 1 + len(text)] = text
+    # A text's first input is an end: the place behind it may hold the end of the text before.
+    inputs = ids[:-1].copy()
+    inputs[first * STRIDE] = end
+    target = ids[1:].copy()
+    target[first * STRIDE + sizes - 1] = end
+    place = np.arange(total * STRIDE) - np.repeat(first * STRIDE, strides * STRIDE)
+    counts = place < np.repeat(sizes, strides * STRIDE)
+    opening = np.zeros(total, bool)
+    opening[first] = True
+    return inputs, target, counts, opening, first * STRIDE
+
+
+#: Rows are the queries of a stride, columns its keys: the stride before, then its own.
+STRIDE_BEFORE = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
+
+
+def stride_gradients(weights: dict, slots: np.ndarray, prior: np.ndarray, target: np.ndarray, mask: np.ndarray, opening: np.ndarray) -> dict:
+    """Gradients as of :func:`loss_and_gradients`, each place seen as in scoring: strides that follow one another, the
+    stride before the first of them ahead in ``slots``. What a slot gives is projected once for all its places."""
+    n, scale = len(opening), np.float32(WIDTH**-0.5)
+    joint = np.concatenate([weights["query"] * scale, weights["key"], weights["value"]], axis=1)
+    table = weights["embedding"] @ joint
+    rows = table.take(slots, axis=0)
+    q, seen_k, seen_v = (rows[:, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+    q = q[STRIDE:].reshape(n, STRIDE, WIDTH)
+    both = ((n, 2 * STRIDE, WIDTH), (STRIDE * rows.strides[0], *rows.strides))
+    k, v = (np.lib.stride_tricks.as_strided(x, *both) for x in (seen_k, seen_v))
+    longest = [np.sqrt(np.einsum("ij,ij->i", x, x).max()) for x in np.split(table, 3, axis=1)]
+    reach = longest[0] * longest[1] + np.abs(weights["distance"]).max()
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(STRIDE_BEFORE >= 0, weights["distance"][np.maximum(STRIDE_BEFORE, 0)], np.float32(HIDDEN))
+    a[opening, :, :STRIDE] = HIDDEN
+    _softmax(a.reshape(-1, 2 * STRIDE), reach)
+    seen = a @ v
+    flat_seen = seen.reshape(-1, WIDTH)
+    g = flat_seen @ weights["out"]
+    g += prior
+    share = mask / max(mask.sum(), 1)
+    _softmax(g, longest[2] * np.sqrt((weights["out"] ** 2).sum(axis=0).max()), share)
+    g[np.arange(len(g)), target] -= share
+    g_seen = (g @ weights["out"].T).reshape(n, STRIDE, WIDTH)
+    g_s = g_seen @ v.transpose(0, 2, 1)
+    g_s -= np.einsum("ijk,ijk->ij", g_seen, seen)[:, :, None]
+    g_s *= a
+    g_rows = np.zeros_like(rows)
+    np.matmul(g_s, k, out=g_rows[STRIDE:, :WIDTH].reshape(n, STRIDE, WIDTH))
+    for i, part in ((1, g_s.transpose(0, 2, 1) @ q), (2, a.transpose(0, 2, 1) @ g_seen)):
+        of = g_rows.reshape(n + 1, STRIDE, -1)[:, :, i * WIDTH : (i + 1) * WIDTH]
+        of[:-1] += part[:, :STRIDE]
+        of[1:] += part[:, STRIDE:]
+    cell = slots.astype(np.int64)[:, None] * (3 * WIDTH) + np.arange(3 * WIDTH)
+    g_table = np.bincount(cell.ravel(), g_rows.ravel(), SLOTS * 3 * WIDTH).astype(rows.dtype).reshape(SLOTS, -1)
+    g_joint = weights["embedding"].T @ g_table
+    by_distance = np.where(STRIDE_BEFORE >= 0, g_s.sum(axis=0), 0)
+    return {
+        "embedding": g_table @ joint.T,
+        "query": g_joint[:, :WIDTH] * scale,
+        "key": g_joint[:, WIDTH : 2 * WIDTH],
+        "value": g_joint[:, 2 * WIDTH :],
+        "distance": np.bincount(np.maximum(STRIDE_BEFORE, 0).ravel(), by_distance.ravel(), WINDOW).astype(rows.dtype),
+        "out": flat_seen.T @ g,
+    }
+
+
+def keep_memory() -> None:
+    """The C library hands blocks as large as one freed before, and twice that, back to the system only when more is free;
+    else each step's arrays would be mapped and cleared anew."""
+    np.empty(KEPT, np.uint8)
+
+
+def _softmax(x: np.ndarray, reach: float, share: np.ndarray | None = None) -> None:
+    """Rows of logits become shares of 1 (or of ``share``). Exponents that cannot leave the range of floats (``reach``)
+    need no maximum taken off."""
+    if not reach < 40:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x *= ((1 if share is None else share) / total)[:, None]
+
+
+class Trainer:
+    """Weights that learn from whole texts: every token, and the end behind each text, is a target once."""
+
+    def __init__(self, weights: dict, of: np.ndarray, slot: np.ndarray, prior: Prior, rate: float = RATE):
+        keep_memory()
+        self.of, self.slot, self.prior, self.rate = of.astype(np.int16), slot.astype(np.int16), prior, rate
+        self.weights = {n: w.copy() for n, w in weights.items()}
+        self.mean = {n: np.zeros_like(w) for n, w in weights.items()}
+        self.square = {n: np.zeros_like(w) for n, w in weights.items()}
+        self.steps = self.targets = 0
+
+    def learn(self, texts: list[np.ndarray], end: int) -> None:
+        if not len(texts):
+            return
+        inputs, target, counts, opening, _ = laid(texts, end)
+        slots = self.slot[np.concatenate([np.full(STRIDE, end), inputs])]
+        target, mask = self.of[target], counts.astype(np.float32)
+        for at in range(0, len(opening), STEP_STRIDES):
+            n = min(STEP_STRIDES, len(opening) - at)
+            own = slice(at * STRIDE, (at + n) * STRIDE)
+            seen = slots[own.start : own.stop + STRIDE]
+            prior = self.prior.classes[seen[STRIDE:]]
+            self.step(stride_gradients(self.weights, seen, prior, target[own], mask[own], opening[at : at + n]))
+        self.targets += int(counts.sum())
+
+    def step(self, grads: dict) -> None:
+        self.steps += 1
+        square = np.float32(1 / (1 - 0.99**self.steps))
+        rate = np.float32(self.rate / (1 - 0.9**self.steps))
         for n, g in grads.items():
-            mean[n] += 0.1 * (g - mean[n])
-            square[n] += 0.01 * (g * g - square[n])
-            unbiased = np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8
-            weights[n] -= np.float32(rate / (1 - 0.9**step)) * mean[n] / unbiased
-    return weights
+            self.mean[n] += np.float32(0.1) * (g - self.mean[n])
+            self.square[n] += np.float32(0.01) * (g * g - self.square[n])
+            self.weights[n] -= rate * self.mean[n] / (np.sqrt(square * self.square[n]) + np.float32(1e-8))
 
 
 class Scorer:
     """Log probabilities of texts under trained weights."""
 
     def __init__(self, weights: dict, of: np.ndarray, slot: np.ndarray, prior: Prior):
+        keep_memory()
         self.of, self.slot, self.prior, self.out = of.astype(np.int16), slot.astype(np.int32), prior, weights["out"]
         e = weights["embedding"]
         self.query = e @ weights["query"] * np.float32(WIDTH**-0.5)
         self.key, self.value = e @ weights["key"], e @ weights["value"]
-        # Rows are the queries of a stride, columns its keys: the stride before, then its own.
-        before = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
-        bias = weights["distance"][np.clip(before, 0, WINDOW - 1)]
-        self.bias = np.where(before >= 0, bias, np.float32(HIDDEN)).astype(np.float32)
+        bias = weights["distance"][np.maximum(STRIDE_BEFORE, 0)]
+        self.bias = np.where(STRIDE_BEFORE >= 0, bias, np.float32(HIDDEN)).astype(np.float32)
         # Exponents that cannot leave the range of floats need no maximum taken off.
         most = np.linalg.norm(self.query, axis=1).max() * np.linalg.norm(self.key, axis=1).max() + np.abs(bias).max()
         read = np.linalg.norm(self.value, axis=1).max() * np.linalg.norm(self.out, axis=0).max()
@@ -171,28 +276,16 @@ class Scorer:
 
     def scores(self, texts: list[np.ndarray], end: int) -> np.ndarray:
         """Natural log probability of each text's ids and the end behind them; each text starts behind an end."""
-        sizes = np.array([len(t) + 1 for t in texts])
-        strides = -(-sizes // STRIDE)
-        first = np.cumsum(strides) - strides
-        total = int(strides.sum())
-        ids = np.full(total * STRIDE + 1, end, np.int64)
-        for text, at in zip(texts, (first * STRIDE).tolist(), strict=True):
-            ids[at + 1 : at + 1 + len(text)] = text
-        # A text's first input is an end: the place behind it may hold the end of the text before.
-        inputs = ids[:-1].copy()
-        inputs[first * STRIDE] = end
-        target = ids[1:].copy()
-        target[first * STRIDE + sizes - 1] = end
-        place = np.arange(total * STRIDE) - np.repeat(first * STRIDE, strides * STRIDE)
-        counts = place < np.repeat(sizes, strides * STRIDE)
-        opening = np.zeros(total, bool)
-        opening[first] = True
+        if not len(texts):
+            return np.zeros(0)
+        inputs, target, counts, opening, first = laid(texts, end)
+        total = len(opening)
         found = np.zeros(total * STRIDE)
         for at in range(0, total, 256):
             n = min(256, total - at)
             own = slice(at * STRIDE, (at + n) * STRIDE)
             found[own] = self.strides(inputs, target[own], at, n, opening[at : at + n])
-        return np.add.reduceat(np.where(counts, found, 0.0), first * STRIDE) if len(texts) else np.zeros(0)
+        return np.add.reduceat(np.where(counts, found, 0.0), first)
 
     def strides(self, inputs: np.ndarray, target: np.ndarray, at: int, n: int, opening: np.ndarray) -> np.ndarray:
         ids = inputs[at * STRIDE : (at + n) * STRIDE]

@@ -6,9 +6,10 @@
 Words are counted in one pass, all of them. Texts then meet the counts in two ways with one result: the most frequent words
 (``FREQUENT`` at most) are looked up where the text is read, the others are joined by word. The texts' subword ids are
 stored once. From them come, over every training text, the tokens' counts and the counts of slots behind slots; what a driver
-holds of these is bounded by the vocabulary and the number of slots. The attention model is trained on windows of every training text (one
-for each ``SPREAD`` tokens begun), so what it learns from grows with the input: the windows are dealt to groups, each group
-trains from the same weights, and Spark averages the weights, once a round. Every window is used in one round.
+holds of these is bounded by the vocabulary and the number of slots. The attention model is trained on every token of every
+training text, each a target once with the context it has when scored: texts are dealt to rounds, in a round each task trains
+from the same weights on all its texts, and Spark averages the weights by the tokens learned from. Tasks follow the splits of
+the stored texts, so other splits give slightly other weights.
 
 Cases: a null or empty text is its end alone; with no training texts all counts are zero and the attention reads nothing;
 rows of equal id are scored by themselves; an empty table gives no rows. Input columns named like an output are replaced.
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
@@ -37,12 +37,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FREQUENT = 1 << 18
 #: Steps per doubling of a frequency in the choice of frequent words.
 STEPS = 16
-#: Tokens of a text for each window of training, windows of a group, rounds of training.
-SPREAD, GROUP_WINDOWS, ROUNDS = 4096, 8192, 4
+#: Rounds of training.
+ROUNDS = 4
 #: Characters whose words are looked up at a time.
 WORDS = 2 << 20
-#: Ids counted at a time.
-PART = 1 << 20
+#: Ids counted at a time, ids of texts that are trained on or scored at a time (a longer text by itself).
+PART, TOKENS = 1 << 20, 1 << 18
 #: Bytes in which an id is stored.
 ID = "<u2"
 
@@ -175,43 +175,38 @@ def summed(parts: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
-def _windows(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[pa.RecordBatch]:
-    """A window at a place drawn by the row's number in every ``SPREAD`` tokens of a text."""
-    size = attention.WINDOW + 1
+def _blocks(batch: pa.Array) -> Iterator[list[np.ndarray]]:
+    """Ids of a batch's texts, some tokens at a time."""
+    block, held = [], 0
+    for x in batch:
+        block.append(np.frombuffer(x.as_buffer(), ID))
+        held += len(block[-1])
+        if held > TOKENS:
+            yield block
+            block, held = [], 0
+    yield block
+
+
+def _trained(batches: Iterator[pa.RecordBatch], weights: np.ndarray, model: Broadcast, end: int) -> Iterator[pa.RecordBatch]:
+    """Weights that one task's texts lead to, times the tokens it learned from."""
+    trainer = attention.Trainer(attention.shaped(weights), *model.value)
     for batch in batches:
-        out = []
-        for rid, text in zip(batch["rid"].to_pylist(), batch["ids"], strict=True):
-            ids = np.concatenate([[end], np.frombuffer(text.as_buffer(), ID), [end]])
-            for k, at in enumerate(range(0, len(ids) - 1, SPREAD)):
-                room = max(1, min(SPREAD, len(ids) - at) - size + 1)
-                at += (rid * 0x9E3779B97F4A7C15 + k * 0xBF58476D1CE4E5B9 >> 16) % room
-                part = ids[at : at + size].astype(ID)
-                out.append((rid, k, len(part), np.pad(part, (0, size - len(part)), constant_values=end).tobytes()))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["rid", "k", "length", "ids"])
-
-
-def _trained(rows: pd.DataFrame, weights: np.ndarray, model: Broadcast) -> pd.DataFrame:
-    """Weights that one group arrives at, times its windows."""
-    rows = rows.sort_values(["rid", "k"])
-    windows = np.frombuffer(b"".join(rows["ids"]), ID).reshape(len(rows), -1).astype(np.int64)
-    found = attention.trained(attention.shaped(weights), windows, rows["length"].to_numpy(), *model.value)
-    values = attention.flat(found).astype(float)
-    return pd.DataFrame({"at": np.arange(len(values), dtype=np.int32), "total": values * len(rows), "n": len(rows)})
-
-
-def learned(windows: DataFrame, model: Broadcast) -> np.ndarray:
-    """Weights after ``ROUNDS`` rounds of training in groups and averaging."""
+        for texts in _blocks(batch["ids"]):
+            trainer.learn(texts, end)
+    if trainer.targets:
+        values = attention.flat(trainer.weights).astype(float)
+        columns = [np.arange(len(values), dtype=np.int32), values * trainer.targets, np.full(len(values), trainer.targets)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["at", "total", "n"])
+
+
+def learned(texts: DataFrame, model: Broadcast, end: int) -> np.ndarray:
+    """Weights after ``ROUNDS`` rounds of training in tasks and averaging; every text (rid, ids) is learned in one round."""
     weights = attention.flat(attention.start())
-    groups = -(-windows.count() // (GROUP_WINDOWS * ROUNDS)) or 1
-    dealt = F.xxhash64("rid", "k")
-    rows = windows.withColumn("round", F.pmod(dealt, F.lit(ROUNDS)))
-    rows = rows.withColumn("group", F.pmod(F.floor(dealt / ROUNDS), F.lit(groups)))
     for k in range(ROUNDS):
-        train = _grouped(partial(_trained, weights=weights, model=model))
-        parts = rows.filter(F.col("round") == k).groupBy("group").applyInPandas(train, "at int, total double, n long")
-        mean = parts.groupBy("at").agg((F.sum("total") / F.sum("n")).alias("value")).toPandas()
+        dealt = texts.filter(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == k).select("ids")
+        train = partial(_trained, weights=weights, model=model, end=end)
+        mean = dealt.mapInArrow(train, "at int, total double, n long").groupBy("at")
+        mean = mean.agg((F.sum("total") / F.sum("n")).alias("value")).toPandas()
         if len(mean):
             weights[mean["at"].to_numpy()] = mean["value"].to_numpy()
     return weights
@@ -220,14 +215,7 @@ def learned(windows: DataFrame, model: Broadcast) -> np.ndarray:
 def _scores(ids: Iterator[pa.Array], weights: np.ndarray, model: Broadcast, end: int) -> Iterator[pa.Array]:
     scorer = attention.Scorer(attention.shaped(weights), *model.value)
     for batch in ids:
-        out, block, held = [], [], 0
-        for x in batch:
-            block.append(np.frombuffer(x.as_buffer(), ID))
-            held += len(block[-1])
-            if held > 1 << 18:
-                out.append(scorer.scores(block, end))
-                block, held = [], 0
-        out.append(scorer.scores(block, end))
+        out = [scorer.scores(block, end) for block in _blocks(batch)]
         yield pa.array(np.concatenate(out) / np.log(10))
 
 
@@ -273,8 +261,7 @@ def scored(
     pairs = summed(learnt.select("ids").mapInArrow(partial(_pair_counts, slot=slot, end=end), CELLS), attention.SLOTS**2)
     prior = attention.Prior(counts, of, slot, pairs.reshape(attention.SLOTS, -1))
     model = spark.sparkContext.broadcast((of, slot, prior))
-    windows = written(learnt.mapInArrow(partial(_windows, end=end), "rid long, k long, length int, ids binary"), "windows")
-    weights = learned(windows, model)
+    weights = learned(learnt, model, end)
 
     score = F.arrow_udf(_iterated(partial(_scores, weights=weights, model=model, end=end)), "double")
     every = texts.withColumn("score", score("ids")).withColumn("unknown", F.size("rare")).drop("ids", "rare")
@@ -299,10 +286,3 @@ def _iterated(fn):
         yield from fn(batches)
 
     return of
-
-
-def _grouped(fn):
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        return fn(rows)
-
-    return of
