@@ -187,3 +187,15 @@ def test_training_order_of_a_shuffled_input(spark, odd):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_training_order_bundles_are_small():
+    """What is shuffled takes little more than half of the ids of sequences that share words."""
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 49_000, 12, "<u2") for _ in range(300)]
+    ids = [np.concatenate([words[w] for w in rng.integers(0, 300, 40)]).tobytes() for _ in range(500)]
+    columns = [np.arange(500), np.arange(500), np.zeros(500, np.int32), np.full(500, 480, np.int32), O.pa.array(ids, O.pa.binary())]
+    batch = O.pa.record_batch([O.pa.array(c) for c in columns], ["number", "id", "piece", "length", "ids"])
+    (out,) = O._bundled(500, 3, 128, 2)(iter([batch]))
+    assert out["shard"].to_pylist() == [0, 1, 2, 3] and out["n"].to_pylist() == [128, 128, 128, 116]
+    assert sum(map(len, out["data"].to_pylist())) < 0.55 * sum(map(len, ids))

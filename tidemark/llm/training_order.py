@@ -4,8 +4,9 @@ Texts are tokenized once into a stored table of sequences, each beside the task
 task's output is committed once, so the sequences before each task number them densely, however the table is read again:
 shuffled inputs, coalesced partitions, other split sizes and lost executors give the same numbers. A keyed Feistel network
 over the next even power of two, walked on until it lands below their number, sends each number to a global slot: a
-permutation that needs no shuffle buffer and that anyone with the key can invert. Slots are cut into shards by range; each shard is sorted by slot in one task and written as one file of
-fixed-stride records, so a reader finds slot k at (k mod rows per shard) x stride and can resume anywhere.
+permutation that needs no shuffle buffer and that anyone with the key can invert. Slots are cut into shards by range. A batch's
+sequences for one shard travel as one compressed bundle; each shard is put in order in one task, which holds its
+``shard_rows`` records, and written as one file of fixed-stride records, so a reader finds slot k at (k mod rows per shard) x stride and can resume anywhere.
 
 Record: id (8 bytes), piece (4), length (4), then the token ids, ``width`` bytes each (2 or 4), padded with zeros; all
 little-endian. Files
@@ -23,12 +24,12 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
-from zlib import compress, crc32, decompress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.llm.common import small, written
 from tidemark.llm.tokens import END, VOCABULARY, blocks, known_pieces
@@ -39,6 +40,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, SHARD_ROWS, ROUNDS = 512, 65_536, 6
 HEADER = np.dtype([("id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
 NO_ID = -(1 << 63)
+#: A sequence in a bundle, before its ids; compression of bundles.
+HEAD = np.dtype([("slot", "<i8"), *HEADER.descr])
+LEVEL = 9
 
 
 def record_type(length: int, width: int = 2) -> np.dtype:
@@ -70,16 +74,6 @@ def permuted(numbers: np.ndarray, n: int, key: int, rounds: int = ROUNDS, back:
     return out.astype(np.int64)
 
 
-def squeezed(ids: np.ndarray, width: int) -> bytes:
-    """Ids as compressed planes of their low, second, ... bytes: the stored and shuffled form of a sequence."""
-    return compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes(), 1)
-
-
-def unsqueezed(data, width: int) -> np.ndarray:
-    planes = np.frombuffer(decompress(data), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
-
-
 def _sequences(length: int, width: int, vocabulary: str, end: int):
     """Rows (id, text) as sequences, with the task that makes them and their places in its output."""
 
@@ -102,7 +96,7 @@ def _sequences(length: int, width: int, vocabulary: str, end: int):
                         pa.array(ids[own]),
                         pa.array(np.fromiter((p[1] for p in parts), np.int32, len(parts))),
                         pa.array(np.fromiter((len(p[2]) for p in parts), np.int32, len(parts))),
-                        pa.array([squeezed(p[2], width) for p in parts], pa.binary()),
+                        pa.array([p[2].astype(f"<u{width}").tobytes() for p in parts], pa.binary()),
                         pa.array(np.full(len(parts), task, np.int32)),
                         pa.array(np.arange(at, at + len(parts))),
                     ],
@@ -113,13 +107,29 @@ def _sequences(length: int, width: int, vocabulary: str, end: int):
     return cut
 
 
-def _slot(number: Column, n: int, key: int) -> Column:
-    @F.arrow_udf("long")
-    def of(numbers: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in numbers:
-            yield pa.array(permuted(batch.to_numpy(zero_copy_only=False), n, key))
+def _bundled(n: int, key: int, shard_rows: int, width: int):
+    """Sequences (number, id, piece, length, ids) as bundles: those of one batch that go to one shard, compressed together."""
 
-    return of(number)
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", LEVEL)
+        for batch in batches:
+            slot = permuted(batch["number"].to_numpy(), n, key)
+            head = np.zeros(len(slot), HEAD)
+            head["slot"] = slot
+            for name in ("id", "piece", "length"):
+                head[name] = batch[name].to_numpy()
+            order = np.argsort(slot)
+            shard, ids = slot[order] // shard_rows, batch["ids"]
+            cuts = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(shard)]
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                data = head[order[a:b]].tobytes() + b"".join(ids[k].as_py() for k in order[a:b].tolist())
+                out.append((int(shard[a]), b - a, len(data), codec.compress(data, asbytes=True)))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "n", "size", "data"])
+
+    return bundle
 
 
 def _writer(folder: str, length: int, shard_rows: int, width: int):
@@ -127,38 +137,41 @@ def _writer(folder: str, length: int, shard_rows: int, width: int):
         from pyarrow.fs import FileSystem
 
         store, path = FileSystem.from_uri(folder)
-        attempt, now = uuid.uuid4().hex, None
+        attempt, codec, now = uuid.uuid4().hex, pa.Codec("zstd"), None
+        records, held = np.zeros(0, record_type(length, width)), np.zeros(0, np.int64)
         done: list[dict] = []
 
         def end() -> None:
-            if now is not None:
-                now["out"].close()
-                name = f"shard-{now['shard']:06d}.bin"
-                store.move(f"{path}/.{name}.{attempt}", f"{path}/{name}")
-                done.append({"shard": now["shard"], "rows": now["rows"], "bytes": now["bytes"], "crc32": now["crc32"], "file": f"{folder}/{name}"})
+            if now is None:
+                return
+            rows = int(np.count_nonzero(held))
+            if (held > 1).any() or not held[:rows].all():
+                raise ValueError(f"shard {now}: slots with gaps or repeats")
+            name, sum_, size = f"shard-{now:06d}.bin", 0, 0
+            with store.open_output_stream(f"{path}/.{name}.{attempt}") as out:
+                for a in range(0, rows, 4096):
+                    data = records[a : min(a + 4096, rows)].tobytes()
+                    out.write(data)
+                    sum_, size = crc32(data, sum_), size + len(data)
+            store.move(f"{path}/.{name}.{attempt}", f"{path}/{name}")
+            done.append({"shard": now, "rows": rows, "bytes": size, "crc32": sum_, "file": f"{folder}/{name}"})
 
         for batch in batches:
-            shard, slot = batch["shard"].to_numpy(), batch["slot"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            records = np.zeros(len(shard), record_type(length, width))
-            records["id"] = batch["id"].to_numpy()
-            records["piece"], records["length"] = batch["piece"].to_numpy(), batch["length"].to_numpy()
-            for k, ids in enumerate(batch["ids"]):
-                tokens = unsqueezed(ids.as_buffer(), width)
-                records["ids"][k, : len(tokens)] = tokens
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if now is None or now["shard"] != shard[a]:
+            for shard, n, size, packed in zip(*(batch[c] for c in ("shard", "n", "size", "data")), strict=True):
+                if now != shard.as_py():
                     end()
-                    s = int(shard[a])
-                    out = store.open_output_stream(f"{path}/.shard-{s:06d}.bin.{attempt}")
-                    now = {"shard": s, "rows": 0, "bytes": 0, "crc32": 0, "out": out}
-                if (slot[a:b] != np.arange(b - a) + shard[a] * shard_rows + now["rows"]).any():
-                    raise ValueError(f"shard {shard[a]}: slots with gaps or repeats")
-                data = records[a:b].tobytes()
-                now["out"].write(data)
-                now |= {"rows": now["rows"] + b - a, "bytes": now["bytes"] + len(data), "crc32": crc32(data, now["crc32"])}
+                    now = shard.as_py()
+                    records, held = np.zeros(shard_rows, records.dtype), np.zeros(shard_rows, np.int64)
+                data = codec.decompress(packed.as_buffer(), size.as_py())
+                head = np.frombuffer(data, HEAD, n.as_py())
+                ids, at = np.frombuffer(data, f"<u{width}", offset=head.nbytes), 0
+                place = head["slot"] - now * shard_rows
+                np.add.at(held, place, 1)
+                for name in ("id", "piece", "length"):
+                    records[name][place] = head[name]
+                for k, size in zip(place.tolist(), head["length"].tolist(), strict=True):
+                    records["ids"][k, :size] = ids[at : at + size]
+                    at += size
         end()
         kinds = [("shard", pa.int64()), ("rows", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("file", pa.string())]
         yield pa.RecordBatch.from_pylist(done, pa.schema(kinds))
@@ -193,10 +206,10 @@ def write_training_order(
     folder = folder or f"{checkpoint_root(spark)}/tidemark-llm/order-{uuid.uuid4().hex}"
     _make(folder)
     numbered = stored.join(small(first.select("task", "first"), tasks), "task")
-    dealt = numbered.select("id", "piece", "length", "ids", _slot(F.col("first") + F.col("place"), n, key).alias("slot"))
-    dealt = dealt.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("long"))
+    numbered = numbered.select((F.col("first") + F.col("place")).alias("number"), "id", "piece", "length", "ids")
+    bundles = numbered.mapInArrow(_bundled(n, key, shard_rows, width), "shard long, n long, size long, data binary")
     shards = max(1, -(-n // shard_rows))
-    sorted_ = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
+    sorted_ = bundles.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
     manifest = sorted_.mapInArrow(_writer(folder, length, shard_rows, width), "shard long, rows long, bytes long, crc32 long, file string")
     return written(manifest, "manifest")
 
