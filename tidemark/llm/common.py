@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,3 +56,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python process of a worker, across tasks."""
     return vars(sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")))
+
+
+def give_back() -> None:
+    """What a worker has freed goes back to the system: workers outlive their tasks, beside the executor's next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import give_back, packed, unpacked, written
 from tidemark.llm.simhash import components, shingle_hashes, unite
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,6 +44,8 @@ BANDS, ROWS, SEED = 40, 6, 42
 #: Fingerprints of a text.
 MARKS = 4
 PART_ROWS, PART_SHINGLES = 4096, 1 << 22
+#: Shingles of a unit from which its memory goes back to the system.
+LARGE = 1 << 17
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -86,6 +88,7 @@ def _hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         (banded,) = _banded(iter([batch]))
         marked = pa.array([marks(t.as_py() or "", *maps) for t in batch], pa.list_(pa.int64()))
         yield pa.StructArray.from_arrays([*banded.flatten(), marked], ["size", "keys", "marks"])
+        give_back()
 
 
 def marks(text: str, factors: np.ndarray, shifts: np.ndarray) -> list[int]:
@@ -126,7 +129,11 @@ def confirmed(rows: pd.DataFrame) -> pd.DataFrame:
         unite(label, np.full(len(hit), i), hit)
     out = np.flatnonzero(label != np.arange(len(sets)))
     rid = rows["rid"].to_numpy()
-    return pd.DataFrame({"a": rid[out], "b": rid[label[out]]})
+    found = pd.DataFrame({"a": rid[out], "b": rid[label[out]]})
+    if len(codes) > LARGE:
+        del sets, codes, holders
+        give_back()
+    return found
 
 
 def members(roots: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import worker_cache
+from tidemark.llm.common import give_back, worker_cache
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -30,6 +30,8 @@ VOCABULARY = "word_bpe_49k.json"
 END, REMEMBERED = 1, 400_000
 #: Bytes of text that are reduced to distinct chunks at a time.
 BLOCK = 12 << 20
+#: The same where pieces are cut, whose rows take memory of their own.
+CUT = 4 << 20
 
 #: Fixed values of the tokenizer's format: its white space, plain text, and the pieces of plain text in lower case.
 SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -87,7 +89,7 @@ class Pieces(dict):
         # Marks that end a word are pieces of their own; apart from it, fewer chunks differ.
         chunks = pc.ascii_split_whitespace(pc.replace_substring_regex(block, *MARKS))
         found = chunks.flatten().dictionary_encode()
-        known = list(map(self.of_chunk, found.dictionary.to_pylist()))
+        known = list(map(self.of_chunk, found.dictionary.to_numpy(zero_copy_only=False)))
         return plain, known, found.indices.to_numpy(), chunks.offsets.to_numpy()
 
     def of_block(self, texts: list[str]) -> Iterator[bytes]:
@@ -129,13 +131,13 @@ def known_pieces(vocabulary: str) -> Pieces:
     return cache[vocabulary]
 
 
-def blocks(batch: pa.Array) -> Iterator[list[str]]:
+def blocks(batch: pa.Array, size: int = BLOCK) -> Iterator[list[str]]:
     """The texts of a batch, null as empty, some bytes at a time."""
     block, held = [], 0
     for value in batch:
         block.append(text := value.as_py() or "")
         held += len(text)
-        if held > BLOCK:
+        if held > size:
             yield block
             block, held = [], 0
     yield block
@@ -167,6 +169,7 @@ def pieces(size: int, vocabulary: str = VOCABULARY, end: int = END, with_ids: bo
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = known_pieces(vocabulary)
         for batch in texts:
-            yield pa.array([cut(ids + last) for block in blocks(batch) for ids in known.of_block(block)], pa.list_(kind))
+            yield pa.array([cut(ids + last) for block in blocks(batch, CUT) for ids in known.of_block(block)], pa.list_(kind))
+            give_back()
 
     return of
