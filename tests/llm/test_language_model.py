@@ -179,3 +179,35 @@ def test_training_looks_at_every_token_of_every_text():
         other = [t.copy() for t in texts]
         other[text][place] = (other[text][place] + 150) % TOKENS
         assert (weights(other)[1] != plain).any()
+
+
+def test_gradients_where_exponents_are_large():
+    rng = np.random.default_rng(5)
+    weights, of, slot, prior = model()
+    weights = {n: 4 * w.astype(float) for n, w in weights.items()}
+    ids = rng.integers(0, TOKENS, A.STRIDE + 1)
+    slots = np.concatenate([np.zeros(A.STRIDE, int), slot[ids[:-1]]])
+    given = (prior.classes[slots[A.STRIDE :]].astype(float), of[ids[1:]], np.ones(A.STRIDE), np.array([True]))
+    got = A.stride_gradients(weights, slots, *given)
+    window = np.concatenate([slots[A.STRIDE :], np.zeros(A.STRIDE, int)])[None]
+    target = np.concatenate([of[ids[1:]], np.zeros(A.STRIDE, int)])[None]
+    mask = np.repeat([1.0, 0.0], A.STRIDE)[None]
+    want = A.loss_and_gradients(weights, window, prior.classes[window].astype(float), target, mask)[1]
+    for name, g in got.items():
+        assert g == pytest.approx(want[name], rel=1e-6, abs=1e-12)
+
+
+def test_frequent_words_are_not_hashed_anew_for_each_block(monkeypatch):
+    def hashed(*_):
+        raise AssertionError("all frequent words are hashed for a block")
+
+    monkeypatch.setattr(L.pc, "index_in", hashed)
+
+    class Frequent:
+        value = L.pa.table({"word": ["a", "é"], "n": [3, 0]})
+
+    texts = L.pa.array(["a A é b", None, ""])
+    (out,) = L._read(iter([texts]), Frequent, 2, L.VOCABULARY)
+    got = out.to_pylist()
+    assert [(r["n_tokens"], r["n_known"], r["rare"]) for r in got] == [(5, 3, ["b"]), (1, 1, []), (1, 1, [])]
+    assert got[0]["base"] == pytest.approx(2 * math.log10(3.5) + math.log10(0.5) + math.log10(2.5))

@@ -26,6 +26,9 @@ WIDTH, WINDOW, STRIDE = 16, 32, 16
 #: Embeddings and rows of frequencies.
 SLOTS = 2048
 HIDDEN = -1e9
+#: Strides that are taken at once; rows of a part of a long product, which stays in the processor's cache.
+AT_ONCE = 256
+PART = 128
 #: Weight of the wider distribution in a smoothed one, in tokens.
 SMOOTHING = 5.0
 #: Bytes of a block that stays with the process when it is freed.
@@ -159,51 +162,91 @@ def laid(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.
 STRIDE_BEFORE = STRIDE + np.arange(STRIDE)[:, None] - np.arange(2 * STRIDE)[None, :]
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of each stride's rows with the rows of the stride before and of its own."""
+    return left @ np.ascontiguousarray(_windows(right).transpose(0, 2, 1))
+
+
+def _crossed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``left.T @ right`` in parts that stay in the processor's cache."""
+    whole = len(left) // PART * PART
+    parts = left[:whole].reshape(-1, PART, left.shape[1]).transpose(0, 2, 1) @ right[:whole].reshape(-1, PART, right.shape[1])
+    return parts.sum(axis=0) + left[whole:].T @ right[whole:]
+
+
+def _longest(rows: np.ndarray) -> float:
+    return np.sqrt(((rows * rows) @ np.ones(rows.shape[1], rows.dtype)).max())
+
+
+def _spread(weight: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """Adds what the queries' ``rows`` give to the keys of the stride before and of their own."""
+    part = weight.transpose(0, 2, 1) @ rows
+    out[:-1] += part[:, :STRIDE]
+    out[1:] += part[:, STRIDE:]
+
+
+def _windows(rows: np.ndarray) -> np.ndarray:
+    """Each stride but the first behind the one before, without a copy."""
+    step = rows.strides[1]
+    return np.lib.stride_tricks.as_strided(rows, (len(rows) - 1, 2 * STRIDE, WIDTH), (STRIDE * step, step, rows.strides[2]))
+
+
+#: Places of the embeddings' numbers by slot.
+CELLS = np.arange(SLOTS * WIDTH).reshape(SLOTS, WIDTH)
+
+
 def stride_gradients(weights: dict, slots: np.ndarray, prior: np.ndarray, target: np.ndarray, mask: np.ndarray, opening: np.ndarray) -> dict:
     """Gradients as of :func:`loss_and_gradients`, each place seen as in scoring: strides that follow one another, the
-    stride before the first of them ahead in ``slots``. What a slot gives is projected once for all its places."""
-    n, scale = len(opening), np.float32(WIDTH**-0.5)
-    joint = np.concatenate([weights["query"] * scale, weights["key"], weights["value"]], axis=1)
-    table = weights["embedding"] @ joint
-    rows = table.take(slots, axis=0)
-    q, seen_k, seen_v = (rows[:, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-    q = q[STRIDE:].reshape(n, STRIDE, WIDTH)
-    both = ((n, 2 * STRIDE, WIDTH), (STRIDE * rows.strides[0], *rows.strides))
-    k, v = (np.lib.stride_tricks.as_strided(x, *both) for x in (seen_k, seen_v))
-    longest = [np.sqrt(np.einsum("ij,ij->i", x, x).max()) for x in np.split(table, 3, axis=1)]
+    stride before the first of them ahead in ``slots``. Rows are divided by their sums where they are narrowest."""
+    n, to_query = len(opening), weights["query"] * np.float32(WIDTH**-0.5)
+    x = weights["embedding"].take(slots, axis=0)
+    every = x[STRIDE:] @ to_query, x @ weights["key"], x @ weights["value"]
+    longest = [_longest(m) for m in every]
+    q, k, v = (m.reshape(-1, STRIDE, WIDTH) for m in every)
     reach = longest[0] * longest[1] + np.abs(weights["distance"]).max()
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(STRIDE_BEFORE >= 0, weights["distance"][np.maximum(STRIDE_BEFORE, 0)], np.float32(HIDDEN))
-    a[opening, :, :STRIDE] = HIDDEN
-    _softmax(a.reshape(-1, 2 * STRIDE), reach)
-    seen = a @ v
-    flat_seen = seen.reshape(-1, WIDTH)
-    g = flat_seen @ weights["out"]
-    g += prior
+    reach_out = longest[2] * np.sqrt((weights["out"] ** 2).sum(axis=0).max())
+    bias = np.where(STRIDE_BEFORE >= 0, weights["distance"][np.maximum(STRIDE_BEFORE, 0)], np.float32(HIDDEN))
     share = mask / max(mask.sum(), 1)
-    _softmax(g, longest[2] * np.sqrt((weights["out"] ** 2).sum(axis=0).max()), share)
-    g[np.arange(len(g)), target] -= share
-    g_seen = (g @ weights["out"].T).reshape(n, STRIDE, WIDTH)
-    g_s = g_seen @ v.transpose(0, 2, 1)
-    g_s -= np.einsum("ijk,ijk->ij", g_seen, seen)[:, :, None]
-    g_s *= a
-    g_rows = np.zeros_like(rows)
-    np.matmul(g_s, k, out=g_rows[STRIDE:, :WIDTH].reshape(n, STRIDE, WIDTH))
-    for i, part in ((1, g_s.transpose(0, 2, 1) @ q), (2, a.transpose(0, 2, 1) @ g_seen)):
-        of = g_rows.reshape(n + 1, STRIDE, -1)[:, :, i * WIDTH : (i + 1) * WIDTH]
-        of[:-1] += part[:, :STRIDE]
-        of[1:] += part[:, STRIDE:]
-    cell = slots.astype(np.int64)[:, None] * (3 * WIDTH) + np.arange(3 * WIDTH)
-    g_table = np.bincount(cell.ravel(), g_rows.ravel(), SLOTS * 3 * WIDTH).astype(rows.dtype).reshape(SLOTS, -1)
-    g_joint = weights["embedding"].T @ g_table
-    by_distance = np.where(STRIDE_BEFORE >= 0, g_s.sum(axis=0), 0)
+    g_q, g_k, g_v, g_out, by_distance = np.empty_like(q), np.zeros_like(k), np.zeros_like(v), 0, 0
+    for at in range(0, n, AT_ONCE):
+        own, around = slice(at, min(at + AT_ONCE, n)), slice(at, min(at + AT_ONCE, n) + 1)
+        places = slice(at * STRIDE, own.stop * STRIDE)
+        a = _joined(q[own], k[around])
+        a += bias
+        a[opening[own], :, :STRIDE] = HIDDEN
+        total = _exponents(a.reshape(-1, 2 * STRIDE), reach).reshape(-1, STRIDE, 1)
+        seen = a @ _windows(v[around])
+        seen /= total
+        g = (seen @ weights["out"]).reshape(-1, CLASSES)
+        g += prior[places]
+        total_out = _exponents(g, reach_out)
+        g.reshape(-1)[np.arange(0, g.size, CLASSES) + target[places]] -= total_out
+        part = (share[places] / total_out)[:, None]
+        g_seen = g @ weights["out"].T
+        g_seen *= part
+        g_seen = g_seen.reshape(seen.shape)
+        g_seen /= total
+        g_s = _joined(g_seen, v[around])
+        g_s -= np.einsum("ijk,ijk->ij", g_seen, seen)[:, :, None]
+        g_s *= a
+        np.matmul(g_s, _windows(k[around]), out=g_q[own])
+        _spread(g_s, q[own], g_k[around])
+        _spread(a, g_seen, g_v[around])
+        g_out = g_out + _crossed(seen.reshape(-1, WIDTH) * part, g)
+        by_distance = by_distance + g_s.sum(axis=0)
+    g_q, g_k, g_v = (m.reshape(-1, WIDTH) for m in (g_q, g_k, g_v))
+    g_x = g_k @ weights["key"].T
+    g_x += g_v @ weights["value"].T
+    g_x[STRIDE:] += g_q @ to_query.T
+    embedding = np.bincount(CELLS.take(slots, axis=0).ravel(), g_x.ravel(), CELLS.size)
+    by_distance = np.where(STRIDE_BEFORE >= 0, by_distance, 0)
     return {
-        "embedding": g_table @ joint.T,
-        "query": g_joint[:, :WIDTH] * scale,
-        "key": g_joint[:, WIDTH : 2 * WIDTH],
-        "value": g_joint[:, 2 * WIDTH :],
-        "distance": np.bincount(np.maximum(STRIDE_BEFORE, 0).ravel(), by_distance.ravel(), WINDOW).astype(rows.dtype),
-        "out": flat_seen.T @ g,
+        "embedding": embedding.astype(x.dtype).reshape(SLOTS, WIDTH),
+        "query": _crossed(x[STRIDE:], g_q) * np.float32(WIDTH**-0.5),
+        "key": _crossed(x, g_k),
+        "value": _crossed(x, g_v),
+        "distance": np.bincount(np.maximum(STRIDE_BEFORE, 0).ravel(), by_distance.ravel(), WINDOW).astype(x.dtype),
+        "out": g_out,
     }
 
 
@@ -213,14 +256,13 @@ def keep_memory() -> None:
     np.empty(KEPT, np.uint8)
 
 
-def _softmax(x: np.ndarray, reach: float, share: np.ndarray | None = None) -> None:
-    """Rows of logits become shares of 1 (or of ``share``). Exponents that cannot leave the range of floats (``reach``)
-    need no maximum taken off."""
+def _exponents(x: np.ndarray, reach: float) -> np.ndarray:
+    """Rows of logits become exponents; their sums are returned. Exponents that cannot leave the range of floats
+    (``reach``) need no maximum taken off."""
     if not reach < 40:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    x *= ((1 if share is None else share) / total)[:, None]
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 class Trainer:
@@ -243,8 +285,8 @@ class Trainer:
         for at in range(0, len(opening), STEP_STRIDES):
             n = min(STEP_STRIDES, len(opening) - at)
             own = slice(at * STRIDE, (at + n) * STRIDE)
-            seen = slots[own.start : own.stop + STRIDE]
-            prior = self.prior.classes[seen[STRIDE:]]
+            seen = slots[own.start : own.stop + STRIDE].astype(np.intp)
+            prior = self.prior.classes.take(seen[STRIDE:], axis=0)
             self.step(stride_gradients(self.weights, seen, prior, target[own], mask[own], opening[at : at + n]))
         self.targets += int(counts.sum())
 
@@ -281,8 +323,8 @@ class Scorer:
         inputs, target, counts, opening, first = laid(texts, end)
         total = len(opening)
         found = np.zeros(total * STRIDE)
-        for at in range(0, total, 256):
-            n = min(256, total - at)
+        for at in range(0, total, AT_ONCE):
+            n = min(AT_ONCE, total - at)
             own = slice(at * STRIDE, (at + n) * STRIDE)
             found[own] = self.strides(inputs, target[own], at, n, opening[at : at + n])
         return np.add.reduceat(np.where(counts, found, 0.0), first)
@@ -290,27 +332,24 @@ class Scorer:
     def strides(self, inputs: np.ndarray, target: np.ndarray, at: int, n: int, opening: np.ndarray) -> np.ndarray:
         ids = inputs[at * STRIDE : (at + n) * STRIDE]
         back = inputs[(at - 1) * STRIDE : at * STRIDE] if at else np.zeros(STRIDE, np.int64)
-        slots = self.slot[np.concatenate([back, ids])]
+        slots = self.slot.take(np.concatenate([back, ids])).astype(np.intp)
         own = slots[STRIDE:]
-        q = self.query[own].reshape(n, STRIDE, WIDTH)
-        k, v = (t[slots].reshape(n + 1, STRIDE, WIDTH) for t in (self.key, self.value))
-        a = np.empty((n, STRIDE, 2 * STRIDE), np.float32)
-        np.matmul(q, k[:-1].transpose(0, 2, 1), out=a[:, :, :STRIDE])
-        np.matmul(q, k[1:].transpose(0, 2, 1), out=a[:, :, STRIDE:])
+        q = self.query.take(own, axis=0).reshape(n, STRIDE, WIDTH)
+        k, v = (t.take(slots, axis=0).reshape(n + 1, STRIDE, WIDTH) for t in (self.key, self.value))
+        a = _joined(q, k)
         a += self.bias
         a[opening, :, :STRIDE] = HIDDEN
         if not self.bounded:
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        seen = a[:, :, :STRIDE] @ v[:-1]
-        seen += a[:, :, STRIDE:] @ v[1:]
-        seen /= a.sum(axis=2)[:, :, None]
-        logits = seen.reshape(-1, WIDTH) @ self.out
-        logits += self.prior.classes[own]
+        seen = (a @ _windows(v)).reshape(-1, WIDTH)
+        seen /= a.reshape(-1, 2 * STRIDE) @ np.ones((2 * STRIDE, 1), np.float32)
+        logits = self.prior.classes.take(own, axis=0)
+        logits += seen @ self.out
         if not self.bounded:
             logits -= logits.max(axis=1, keepdims=True)
         right = self.of[target]
         chosen = logits[np.arange(len(ids)), right]
         np.exp(logits, out=logits)
         behind = self.prior.slots[own, self.slot[target]] + self.prior.tokens[target]
-        return chosen - np.log(logits.sum(axis=1)) + behind
+        return chosen - np.log(logits @ np.ones(CLASSES, np.float32)) + behind

@@ -28,7 +28,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm import attention
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import give_back, packed, unpacked, written
 from tidemark.llm.tokens import END, VOCABULARY, blocks, known_pieces, vocabulary_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,7 +68,7 @@ def smaller(batch: pa.Array) -> Iterator[list[str]]:
                 yield block[at : k + 1]
                 at, held = k + 1, 0
         yield block[at:]
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,15 +98,15 @@ READ = "struct<n_tokens: long, n_known: long, base: double, rare: array<string>,
 def _read(texts: Iterator[pa.Array], frequent: Broadcast, ends: int, vocabulary: str) -> Iterator[pa.Array]:
     """What the frequent words of each text give, its other words, and its subword ids."""
     table = frequent.value
-    known, counts = table["word"].combine_chunks(), table["n"].to_numpy()
+    known, counts = {w: k for k, w in enumerate(table["word"].to_pylist())}, table["n"].to_numpy()
     logs = np.log10(np.append(counts, 0) + 0.5)
     pieces = known_pieces(vocabulary)
     for batch in texts:
         sizes, n_known, base, rare, ids = [], [], [], [], []
         for block in smaller(batch):
             words, at, of = words_of(block)
-            place = pc.index_in(words.cast(pa.string()), known).fill_null(-1).to_numpy()
-            found = place[at]
+            place = (known.get(w, -1) for w in words.to_numpy(zero_copy_only=False))
+            found = np.fromiter(place, np.int64, len(words))[at]
             n = np.bincount(of, minlength=len(block))
             sizes.append(n + 1)
             n_known.append(np.bincount(of, np.append(counts, 0)[found] > 0, len(block)).astype(np.int64) + (ends > 0))
