@@ -49,8 +49,17 @@ def unpacked(df: DataFrame, *outputs: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` (a stored table of ``rows`` rows) marked for broadcast if it is small; else Spark joins it by its key."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """``df``, of at most ``rows`` rows, marked for broadcast if they are few, and else to be joined by its key.
+
+    Spark itself sizes a table by its compressed files and takes an explode for one row each, so it would pass large tables
+    through the driver.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else by_key(df)
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` marked to be joined by its key, whatever Spark takes for its size: it may be large."""
+    return df.hint("merge")
 
 
 def worker_cache() -> dict:

@@ -21,7 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import by_key, packed, unpacked, written
 
 FIRST_DIGIT = 64
 SECOND_DIGIT = 4096
@@ -53,7 +53,7 @@ def exact_groups(
     first = rows.select("length", _digit(text, 0, FIRST_DIGIT).alias("digit"))
     shared = first.groupBy("length", "digit").agg(F.count("*").alias("n")).filter("n > 1")
     tagged = rows.withColumn("digit", _digit(text, 0, FIRST_DIGIT)).join(
-        shared.select("length", "digit", F.lit(True).alias("more")), ["length", "digit"], "left"
+        by_key(shared.select("length", "digit", F.lit(True).alias("more"))), ["length", "digit"], "left"
     )
     one = ~F.coalesce(F.col("more"), F.lit(False))
     table = written(
@@ -79,7 +79,7 @@ def exact_groups(
             F.count("*").alias("n"), F.max(F.struct("id", "rid")).alias("last")
         )
         ended = F.col("length") <= at + width
-        split = left.drop("keep_id", "group_size", "kept").join(counted, ["group", "length", "digit"])
+        split = left.drop("keep_id", "group_size", "kept").join(by_key(counted), ["group", "length", "digit"])
         table = written(
             split.select(
                 "row",

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import packed, unpacked, written
+from tidemark.llm.common import packed, small, unpacked, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -175,7 +175,8 @@ def _linker(radius: int):
 
 def links(distinct: DataFrame, radius: int = RADIUS, part_rows: int = PART_ROWS) -> DataFrame:
     """Links (a, b) that connect every two fingerprints (column ``fp``, distinct) within the radius, few per fingerprint."""
-    every = masks(distinct.count(), radius)
+    n = distinct.count()
+    every = masks(n, radius)
     shards = distinct.select(
         "fp",
         F.explode(
@@ -184,7 +185,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, part_rows: int = PART_ROWS)
     ).select("s.mask", "s.key", "fp")
     sizes = shards.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
     sizes = sizes.select("mask", "key", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    cut = shards.join(sizes, ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    # Two fingerprints or more in each shard counted, and no more shards than a mask has values.
+    counted = sum(min(n // 2, 1 << (m & ((1 << 64) - 1)).bit_count()) for m in every)
+    cut = shards.join(small(sizes, counted), ["mask", "key"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     units = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "mask",
         "key",
@@ -202,17 +205,18 @@ def components(found: DataFrame) -> DataFrame:
     """(node, root) of every linked node but the roots; the root is a component's smallest node."""
     edges = found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, before = written(edges, "links"), None
+    nodes = 2 * edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(small(least, nodes), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v"))
-        edges = written(small.filter("u <> v").distinct(), "links")
+        lower = large.join(small(lowest, nodes), "u").select(F.explode(F.array(F.col("v"), F.col("u"))).alias("u"), F.col("m").alias("v"))
+        edges = written(lower.filter("u <> v").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, nodes = now, 2 * now[0]
     return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
@@ -235,11 +239,12 @@ def near_duplicates(
     rows = written(rows, "fingerprints")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
     distinct = written(rows.groupBy("fp").agg(first), "distinct")
-    roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = written(components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp"), "roots")
+    named = distinct.join(small(roots, roots.count()), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("first"))
-    of = named.select("fp", "root").join(least, "root").select("fp", "first")
-    out = rows.join(of, "fp").select(
+    n = distinct.count()
+    of = named.select("fp", "root").join(small(least, n), "root").select("fp", "first")
+    out = rows.join(small(of, n), "fp").select(
         "row",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.id").alias("component_id"),

@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import give_back, packed, unpacked, written
+from tidemark.llm.common import by_key, give_back, packed, small, unpacked, written
 from tidemark.llm.simhash import components, shingle_hashes, unite
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -146,9 +146,10 @@ def near(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that connect every two rows (rid, marks) with fingerprints near each other, few per row."""
     marked = rows.select("rid", F.explode("marks").alias("fp"))
     heads = written(marked.groupBy("fp").agg(F.min("rid").alias("b")), "heads")
-    equal = marked.join(heads, "fp").filter("rid <> b").select(F.col("rid").alias("a"), "b")
+    n = heads.count()
+    equal = marked.join(small(heads, n), "fp").filter("rid <> b").select(F.col("rid").alias("a"), "b")
     found = simhash.links(heads.select("fp"))
-    ends = [heads.select(F.col("fp").alias(side), F.col("b").alias(f"rid_{side}")) for side in ("a", "b")]
+    ends = [small(heads.select(F.col("fp").alias(side), F.col("b").alias(f"rid_{side}")), n) for side in ("a", "b")]
     apart = found.join(ends[0], "a").join(ends[1], "b").select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
     return equal.unionByName(apart)
 
@@ -157,7 +158,7 @@ def sharing(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) that connect every two rows (rid, keys, linked) with a common key whose rows are not all linked."""
     keyed = rows.select("rid", "linked", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("rid").alias("b"), F.min("linked").alias("low"), F.max("linked").alias("high"))
-    shared = keyed.join(heads.filter("low < high").select("key", "b"), "key")
+    shared = keyed.join(by_key(heads.filter("low < high").select("key", "b")), "key")
     return shared.filter("rid <> b").select(F.col("rid").alias("a"), "b")
 
 
@@ -165,14 +166,17 @@ def settled(
     candidates: DataFrame, rows: DataFrame, part_rows: int = PART_ROWS, part_shingles: int = PART_SHINGLES
 ) -> DataFrame:
     """Links (a, b) that connect every two similar candidates among rows (rid, text, size, linked), few per row."""
-    units = written(members(components(candidates)).join(rows.select("rid", "size", "linked"), "rid"), "candidates")
+    found = written(members(components(candidates)), "members")
+    units = written(rows.select("rid", "size", "linked").join(small(found, found.count()), "rid"), "candidates")
     parts = F.ceil(F.greatest(F.count("*") / part_rows, F.sum("size") / part_shingles)).cast("int").alias("parts")
-    cut = units.join(units.groupBy("root").agg(parts), "root")
+    sizes = written(units.groupBy("root").agg(F.count("*").alias("n"), parts), "parts")
+    n, placed = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()
+    cut = units.join(small(sizes.drop("n"), n), "root")
     cut = cut.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rid", "linked"
     )
-    texts = cut.join(rows.select("rid", "text"), "rid")
+    texts = rows.select("rid", "text").join(small(cut, placed), "rid")
     return texts.groupBy("root", "low", "high").applyInPandas(confirmed, "a long, b long")
 
 
@@ -195,13 +199,15 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = rows.select("rid", "size", "keys", "marks", F.col(f"row.{text_col}").alias("text"))
     by_trees = settled(near(texts), texts.withColumn("linked", F.col("rid")))
     linked = written(components(by_trees), "linked")
-    rest = texts.join(linked.select(F.col("node").alias("rid"), "root"), "rid", "left")
+    rest = texts.join(small(linked.select(F.col("node").alias("rid"), "root"), linked.count()), "rid", "left")
     rest = rest.withColumn("linked", F.coalesce("root", "rid")).drop("root")
     found = settled(sharing(rest), rest).unionByName(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    joined = written(members(components(found)), "similar").join(rows.select("rid", "id"), "rid")
+    similar = written(members(components(found)), "similar")
+    n = similar.count()
+    joined = rows.select("rid", "id").join(small(similar, n), "rid")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first")
-    of = joined.select("root", "rid").join(joined.groupBy("root").agg(first), "root").select("rid", "first")
-    out = rows.join(written(of, "first"), "rid", "left").select(
+    of = joined.select("root", "rid").join(small(joined.groupBy("root").agg(first), n), "root").select("rid", "first")
+    out = rows.join(small(written(of, "first"), n), "rid", "left").select(
         "row",
         F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
         F.coalesce(F.col("rid") == F.col("first.rid"), F.lit(True)).alias("kept"),
