@@ -396,3 +396,24 @@ def test_nested_models_inflation_and_band(spark):
             assert r.fitted == pytest.approx(np.polyval(line, r.a)) and r.lower < r.fitted < r.upper
         elif r.g == "few" or r.a is None:
             assert r.lower is None
+
+
+def test_cross_sums_on_both_sides_of_a_block(spark, monkeypatch):
+    values = sample(5, 300)
+    rows = [(v["id"], v["g"], v["x"], v["y"]) for v in values] + [(300 + k, f"few{k % 4}", 1.0, 2.0) for k in range(6)]
+    df = spark.createDataFrame(rows, "id int, g string, x double, y double")
+    seen = []
+
+    def counted(df, *args, **kwargs):
+        seen.append(df.count())
+        return running(df, *args, **kwargs)
+
+    running = dist.running
+    monkeypatch.setattr(dist, "running", counted)
+    for small in (dist.SMALL_LEVEL, 3):
+        monkeypatch.setattr(dist, "SMALL_LEVEL", small)
+        got = {r.id: r.s for r in dist.cross_sums(df, "g", "id", "x", "y").groupBy("id").agg(F.sum("part").alias("s")).collect()}
+        for i, g, x, y in rows:
+            assert got[i] == pytest.approx(sum(abs(x - p[2]) * abs(y - p[3]) for p in rows if p[1] == g), abs=1e-9)
+    # Blocks above the limit alone are copied, once for each of their high bits: none of these rows under the usual limit.
+    assert seen[:2] == [len(rows), 0] and 0 < seen[3] < 6 * len(rows)
