@@ -417,3 +417,9 @@ def test_cross_sums_on_both_sides_of_a_block(spark, monkeypatch):
             assert got[i] == pytest.approx(sum(abs(x - p[2]) * abs(y - p[3]) for p in rows if p[1] == g), abs=1e-9)
     # Blocks above the limit alone are copied, once for each of their high bits: none of these rows under the usual limit.
     assert seen[:2] == [len(rows), 0] and 0 < seen[3] < 6 * len(rows)
+
+
+def test_permutations_are_not_broadcast(spark):
+    df = spark.range(50_000).selectExpr("id", "CAST(id % 3 AS string) AS g")
+    plan = dist.shuffled_labels(df, None, "id", "g", 9, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "[__k" not in "".join(x for x in plan.split("\n") if "BroadcastHashJoin" in x)
