@@ -9,15 +9,15 @@ import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.session import checkpoint_root
 
 # Functions for Python workers travel by value, so executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows up to which a side of a join is broadcast; their number is counted before.
-BROADCAST_ROWS = 20_000
+#: Rows up to which a side of a join is broadcast; their number is counted before. The second holds for rows of a few numbers.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 20_000, 200_000
 #: A word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -54,7 +54,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     Spark itself sizes a table by its compressed files and takes an explode for one row each, so it would pass large tables
     through the driver.
     """
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else by_key(df)
+    numbers = all(isinstance(field.dataType, T.NumericType) for field in df.schema)
+    return F.broadcast(df) if rows <= (BROADCAST_NUMBERS if numbers else BROADCAST_ROWS) else by_key(df)
 
 
 def by_key(df: DataFrame) -> DataFrame:
